@@ -1,0 +1 @@
+"""No streaming operators: the covered workload is batch only."""
