@@ -16,7 +16,8 @@ SHARED_SOURCES = ("harmonized", "mssm")
 SHARED_SOURCES_BY_TYPE = {"washu": ("tumor_purity", "hla_typing")}
 
 _OUTER_SPACE = r"(?U)^\s+|\s+$"
-_QUOTED_LEVEL = r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""
+# One level of a header tuple: quoted text, or a bare missing mark.
+_LEVEL = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|\b(?:nan|None)\b"""
 
 
 def _strip(text: Column) -> Column:
@@ -67,11 +68,16 @@ def source_prefix(source: Column, cohort: Column, data_type: Column) -> Column:
 
 
 def header_levels(label: Column) -> Column:
-    """Levels of a column label such as ``('raw', 'G0', 'ENSG0')``; a plain
-    label has one level."""
-    quoted = F.regexp_extract_all(label, F.lit(_QUOTED_LEVEL), F.lit(0))
-    bare = F.transform(quoted, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
-    plain = F.transform(bare, lambda t: F.regexp_replace(t, r"\\(.)", "$1"))
-    return F.when(label.rlike(r"^\(.*\)$") & (F.size(quoted) > 0), plain).otherwise(
+    """Levels of a column label such as ``('raw', 'G0', 'ENSG0')``; a missing
+    level is NULL, and a plain label has one level."""
+    found = F.regexp_extract_all(label, F.lit(_LEVEL), F.lit(0))
+    levels = F.transform(
+        found,
+        lambda level: F.when(
+            level.rlike("^['\"]"),
+            F.regexp_replace(F.substring(level, F.lit(2), F.length(level) - 2), r"\\(.)", "$1"),
+        ),
+    )
+    return F.when(label.rlike(r"^\(.*\)$") & (F.size(found) > 0), levels).otherwise(
         F.array(label)
     )
