@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.operators.ranking import seeded_position
@@ -39,14 +39,18 @@ def train_test_split(
     ).drop("_position", "_rows")
 
 
-def assign_folds(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """Contiguous folds (numbered from 0) of the training rows in split order;
-    the first ``n_train % folds`` folds hold one row more."""
+def fold_number(folds: int = FOLDS) -> Column:
+    """Fold of a training row from its position: contiguous folds numbered from
+    0, of which the first ``n_train % folds`` hold one row more. NULL for test
+    rows."""
     size, larger = F.floor(F.col("n_train") / folds), F.col("n_train") % folds
     start = F.col("train_position") - 1
     edge = larger * (size + 1)
     in_larger = F.floor(start / (size + 1))
     in_rest = larger + F.floor(F.try_divide(start - edge, size))
-    return rows.filter(F.col("split") == "train").withColumn(
-        "fold", F.when(start < edge, in_larger).otherwise(in_rest).cast("int")
-    )
+    return F.when(start < edge, in_larger).otherwise(in_rest).cast("int")
+
+
+def assign_folds(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """Training rows with their fold."""
+    return rows.filter(F.col("split") == "train").withColumn("fold", fold_number(folds))
