@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayframe.operators import align, combine, reports, selection, split
 from assayframe.operators.joins import first_per_key
+from assayframe.sources.scratch import materialize
 from workload import views
 from workload.registry import query
 from workload.tables import rounded
@@ -14,41 +15,36 @@ from workload.tables import rounded
 # ---- stages shared by the queries below -------------------------------------
 
 
-def resolved(spark, folder):
-    asked = align.requested_targets(spark, views.TARGETS)
-    return align.resolve_targets(asked, views.protein_matrix(spark, folder))
-
-
-def kept_samples(spark, folder):
-    return align.complete_samples(
-        views.rna_matrix(spark, folder), views.protein_matrix(spark, folder)
+def matrices(spark, folder):
+    """Both matrices as stored tables: every later stage reads them again."""
+    return (
+        materialize(views.rna_matrix(spark, folder), "rna"),
+        materialize(views.protein_matrix(spark, folder), "protein"),
     )
 
 
-def labels(spark, folder):
-    return align.target_values(
-        resolved(spark, folder), views.protein_matrix(spark, folder), kept_samples(spark, folder)
-    )
+def resolved(protein):
+    asked = align.requested_targets(protein.sparkSession, views.TARGETS)
+    return align.resolve_targets(asked, protein)
 
 
-def placed(spark, folder):
-    return split.train_test_split(labels(spark, folder))
+def labels(rna, protein):
+    return align.target_values(resolved(protein), protein, align.complete_samples(rna, protein))
 
 
-def train_labels(spark, folder):
-    return placed(spark, folder).filter(F.col("split") == "train").select(
-        "target", "sample_id", "y"
-    )
+def placed(rna, protein):
+    return split.train_test_split(labels(rna, protein))
 
 
-def training(spark, folder):
-    rows = train_labels(spark, folder)
-    return align.align_target(rows, views.rna_matrix(spark, folder)), rows
+def training(rna, protein):
+    """Training cells and rows, stored as in a modelling run."""
+    rows = placed(rna, protein).filter(F.col("split") == "train")
+    rows = materialize(rows.select("target", "sample_id", "y"), "rows")
+    return materialize(align.align_target(rows, rna), "observed"), rows
 
 
 def statistics(spark, folder):
-    observed, rows = training(spark, folder)
-    return selection.feature_statistics(observed, rows)
+    return selection.feature_statistics(*training(*matrices(spark, folder)))
 
 
 # ---- alignment ----------------------------------------------------------------
@@ -85,12 +81,14 @@ def common_samples(spark, folder):
 
 @query("sample_filter", "SELECT sample_id, n_missing, n_features FROM kept_samples")
 def sample_filter(spark, folder):
-    return kept_samples(spark, folder).select("sample_id", "n_missing", "n_features")
+    kept = align.complete_samples(*matrices(spark, folder))
+    return kept.select("sample_id", "n_missing", "n_features")
 
 
 @query("resolve_targets", "SELECT target, resolved, found FROM resolved")
 def resolve_targets(spark, folder):
-    return resolved(spark, folder).select("target", "resolved", "found")
+    found = resolved(views.protein_matrix(spark, folder))
+    return found.select("target", "resolved", "found")
 
 
 @query(
@@ -99,7 +97,8 @@ def resolve_targets(spark, folder):
        FROM labels_y l JOIN rna_matrix m USING (sample_id)""",
 )
 def target_xy(spark, folder):
-    aligned = align.align_target(labels(spark, folder), views.rna_matrix(spark, folder))
+    rna, protein = matrices(spark, folder)
+    aligned = align.align_target(labels(rna, protein), rna)
     return aligned.select("target", "sample_id", "feature", rounded("x"), rounded("y"))
 
 
@@ -141,12 +140,12 @@ def infer_orientation(spark, folder):
        FROM placed""",
 )
 def train_test_split(spark, folder):
-    return placed(spark, folder).select("target", "sample_id", "split")
+    return placed(*matrices(spark, folder)).select("target", "sample_id", "split")
 
 
 @query("cv_folds", "SELECT target, sample_id, fold FROM folds")
 def cv_folds(spark, folder):
-    return split.assign_folds(placed(spark, folder)).select("target", "sample_id", "fold")
+    return split.assign_folds(placed(*matrices(spark, folder))).select("target", "sample_id", "fold")
 
 
 # ---- imputation, scaling and selection ------------------------------------------

@@ -24,11 +24,9 @@ SETTINGS = plan.Settings(k_best=10, n_iter=2, grid=SMALL_GRID, folds=3)
 
 
 def ridge_design(spark, folder, k=2):
-    rows = design.folded_rows(modelling.placed(spark, folder))
-    rows = materialize(rows, "rows")
-    observed = materialize(
-        design.observed_cells(rows, views.rna_matrix(spark, folder)), "observed"
-    )
+    rna, protein = modelling.matrices(spark, folder)
+    rows = materialize(design.folded_rows(modelling.placed(rna, protein)), "rows")
+    observed = materialize(design.observed_cells(rows, rna), "observed")
     train = rows.filter("split = 'train'")
     statistics = selection.feature_statistics(
         observed.filter("split = 'train'"), train
