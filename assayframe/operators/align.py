@@ -184,3 +184,19 @@ def infer_orientation(
         "transpose",
         F.when(rows != columns, rows).otherwise(F.col("n_cols") > F.col("n_rows")),
     )
+
+
+def oriented(
+    cells: DataFrame, row_axis: str | None = None, column_axis: str | None = None
+) -> DataFrame:
+    """``(sample_id, feature, value)`` of a foreign matrix ``(row, row_ord,
+    column, column_ord, value)``, whichever way it was laid out."""
+    decision = infer_orientation(
+        cells, "row", "row_ord", "column", "column_ord", row_axis, column_axis
+    )
+    rows_are_samples = decision.select("transpose").scalar()
+    return cells.select(
+        F.when(rows_are_samples, F.col("row")).otherwise(F.col("column")).alias("sample_id"),
+        F.when(rows_are_samples, F.col("column")).otherwise(F.col("row")).alias("feature"),
+        "value",
+    )

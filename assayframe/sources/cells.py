@@ -36,8 +36,9 @@ def write_cells(cells: DataFrame, path: str, partition_by: Sequence[str] = ("ass
     are stored in single precision.
     """
     order = [*partition_by, "feature_name", "sample_id"]
+    single = {name: F.col(name).cast("float") for name in ("value", "z") if name in cells.columns}
     (
-        cells.withColumn("value", F.col("value").cast("float"))
+        cells.withColumns(single)
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .write.partitionBy(*partition_by)

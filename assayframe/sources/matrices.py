@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.functions import header_levels, null_if_nan
+from assayframe.operators.align import oriented
 
 # Accepted names of the columns of a long table, first match
 # wins, and the labels of value blocks in a header.
@@ -76,6 +77,34 @@ def unpivot_matrix(
     )
 
 
+def load_matrix(frame: DataFrame, index: str | None = None) -> DataFrame:
+    """``(sample_id, feature, value)`` of a long or wide table in either
+    orientation.
+
+    A long table is known by its column names. A wide one needs ``index``, the
+    column with the row labels; its other numeric columns are the other axis.
+    """
+    if long_columns(frame.columns) is not None:
+        return read_long(frame)
+    if index is None:
+        raise ValueError("a wide table needs the column of its row labels")
+    columns = [name for name in numeric_columns(frame.drop(index)) if name != index]
+    places = F.create_map(
+        *[part for i, name in enumerate(columns) for part in (F.lit(name), F.lit(i))]
+    )
+    numbered = frame.select(
+        F.col(f"`{index}`").cast("string").alias("row"),
+        F.monotonically_increasing_id().alias("row_ord"),
+        *[null_if_nan(F.col(f"`{name}`")).alias(name) for name in columns],
+    )
+    quoted = [F.col(f"`{name}`") for name in columns]
+    # Missing cells still count for the shape of the matrix.
+    cells = numbered.unpivot(["row", "row_ord"], quoted, "column", "value").withColumn(
+        "column_ord", places[F.col("column")]
+    )
+    return oriented(cells, row_axis=index).filter(F.col("value").isNotNull())
+
+
 def pivot_mean(
     cells: DataFrame, rows: str, columns: str, labels: Sequence, value: str = "value"
 ) -> DataFrame:

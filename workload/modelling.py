@@ -55,7 +55,8 @@ def statistics(spark, folder):
     """SELECT 'raw' AS value_type, count(*) AS n FROM rna_genes""",
 )
 def select_value_type(spark, folder):
-    blocks = combine.value_blocks(combine.zscore(views.rna_genes(spark, folder)))
+    genes = materialize(views.rna_genes(spark, folder), "genes")
+    blocks = combine.value_blocks(combine.zscore(genes))
     return align.select_value_type(blocks).groupBy("value_type").agg(
         F.count(F.lit(1)).alias("n")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayframe.operators import combine, quality
 from assayframe.schema import PROTEIN, RNA
+from assayframe.sources.scratch import materialize
 from workload import views
 from workload.registry import query
 
@@ -53,7 +54,8 @@ ZSCORE_SQL = """
 
 @query("zscore", ZSCORE_SQL)
 def zscore(spark, folder):
-    return combine.zscore(views.rna_genes(spark, folder)).select(
+    genes = materialize(views.rna_genes(spark, folder), "genes")
+    return combine.zscore(genes).select(
         "cohort", "sample_id", "feature_name", "database_id", rounded("value"), rounded("z")
     )
 
@@ -72,7 +74,7 @@ def zscore(spark, folder):
        GROUP BY ALL""",
 )
 def combine_cohorts(spark, folder):
-    genes = views.rna_genes(spark, folder)
+    genes = materialize(views.rna_genes(spark, folder), "genes", ["cohort"])
     names = [row.r_name for row in views.table(spark, folder, "region").collect()]
     tables = {name: genes.filter(F.col("cohort") == name).drop("cohort") for name in names}
     blocks = combine.value_blocks(combine.zscore(combine.combine_cohorts(tables)))
@@ -120,8 +122,11 @@ QUALITY_SQL = """
 
 @query("qc_table_stats", QUALITY_SQL)
 def qc_table_stats(spark, folder):
-    cells = views.all_cells(spark, folder).withColumn(
-        "transcript_id", F.coalesce("transcript_id", F.lit(""))
+    cells = materialize(
+        views.all_cells(spark, folder).withColumn(
+            "transcript_id", F.coalesce("transcript_id", F.lit(""))
+        ),
+        "cells",
     )
     report = quality.table_quality(
         cells,
@@ -186,7 +191,8 @@ def qc_sample_overlap(spark, folder):
        LEFT JOIN binned k ON k.assay = r.assay AND k.cohort = r.cohort AND k.bin = g.bin""",
 )
 def qc_histogram(spark, folder):
-    return quality.value_histogram(views.all_cells(spark, folder)).select(
+    cells = materialize(views.all_cells(spark, folder), "cells")
+    return quality.value_histogram(cells).select(
         "assay", "cohort", "bin", rounded("lo"), rounded("hi"), "n"
     )
 
@@ -207,7 +213,7 @@ def qc_histogram(spark, folder):
        WHERE s.rk <= 200 AND f.rk <= 2000""",
 )
 def qc_sample_values(spark, folder):
-    matrix = views.rna_matrix(spark, folder).withColumn("assay", F.lit(RNA))
+    matrix = materialize(views.rna_matrix(spark, folder).withColumn("assay", F.lit(RNA)), "rna")
     sampled = quality.sample_values(
         matrix,
         combine.sample_dimension(matrix),
