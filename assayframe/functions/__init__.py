@@ -9,6 +9,7 @@ from assayframe.functions.ids import (
     k_from_run_dir,
     source_prefix,
     split_list,
+    strip,
 )
 from assayframe.functions.numeric import (
     f_statistic,
@@ -34,4 +35,5 @@ __all__ = [
     "safe_divide",
     "source_prefix",
     "split_list",
+    "strip",
 ]

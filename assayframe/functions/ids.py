@@ -20,19 +20,24 @@ _OUTER_SPACE = r"(?U)^\s+|\s+$"
 _LEVEL = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|\b(?:nan|None)\b"""
 
 
-def _strip(text: Column) -> Column:
-    # trim() drops blanks only; tabs and line ends have to go as well.
-    return F.regexp_replace(text, _OUTER_SPACE, "")
+def strip(text: Column) -> Column:
+    """Strip any white space; ``trim`` drops blanks only.
+
+    Labels that begin and end with a printable ASCII character, nearly all of
+    them, skip the pattern."""
+    clean = F.ascii(text).between(33, 126) & F.ascii(F.right(text, F.lit(1))).between(33, 126)
+    return F.when(clean, text).otherwise(F.regexp_replace(text, _OUTER_SPACE, ""))
 
 
 def clean_feature_id(raw: Column) -> Column:
     """Strip an id and drop the version of an Ensembl id; missing becomes ''."""
-    text = _strip(F.coalesce(raw.cast("string"), F.lit("")))
-    return F.regexp_replace(text, VERSIONED_ENSEMBL_ID, "$1")
+    text = strip(F.coalesce(raw.cast("string"), F.lit("")))
+    unversioned = F.regexp_replace(text, VERSIONED_ENSEMBL_ID, "$1")
+    return F.when(F.contains(text, F.lit(".")), unversioned).otherwise(text)
 
 
 def clean_sample_id(raw: Column) -> Column:
-    return _strip(raw.cast("string"))
+    return strip(raw.cast("string"))
 
 
 def camel_case(name: Column) -> Column:
@@ -51,7 +56,7 @@ def k_from_run_dir(name: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Items of a comma list, stripped, blanks left out."""
-    return F.filter(F.transform(F.split(text, ","), _strip), lambda item: item != "")
+    return F.filter(F.transform(F.split(text, ","), strip), lambda item: item != "")
 
 
 def has_digit_and_letter(label: Column) -> Column:

@@ -67,5 +67,5 @@ def build_tables(
             ["table"],
         ).withColumn("path", F.lit(path))
         shapes = shape if shapes is None else shapes.unionByName(shape)
-    write_summary(shapes, f"{out}/processed_summary")
+    write_summary(shapes, f"{out}/processed_summary.json")
     return tables

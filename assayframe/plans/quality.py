@@ -47,7 +47,7 @@ def quality_report(
         quality.value_histogram(cells),
     )
     if out:
-        write_summary(report.tables, f"{out}/qc_tables")
-        write_summary(report.overlap, f"{out}/qc_overlap")
+        write_summary(report.tables, f"{out}/qc_tables.json")
+        write_summary(report.overlap, f"{out}/qc_overlap.json")
         report.histogram.write.parquet(f"{out}/qc_histogram")
     return report

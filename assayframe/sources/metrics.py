@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayframe.functions import k_from_run_dir, null_if_nan
+from assayframe.functions import k_from_run_dir, null_if_nan, strip
 from assayframe.operators.ranking import sliced_position
 
 # Names of metrics files. A CSV written by Spark is a folder of
@@ -71,9 +71,8 @@ def normalize_metrics(rows: DataFrame) -> DataFrame:
         return null_if_nan(F.col(name).try_cast("double"))
 
     k = k_from_run_dir(F.col("run_dir"))
-    target = F.regexp_replace("target", r"(?U)^\s+|\s+$", "")
     return rows.select(
-        target.alias("protein"),
+        strip(F.col("target")).alias("protein"),
         F.col("iteration").cast("long").alias("iteration"),
         F.coalesce(number("rf_r2"), number("r2")).alias("r2"),
         F.coalesce(number("rf_mae"), number("mae")).alias("mae"),

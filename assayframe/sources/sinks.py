@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayframe.schema import RUN_EVENTS
+from assayframe.sources.scratch import materialize
 
 
 def write_csv(records: DataFrame, path: str) -> None:
@@ -35,12 +35,10 @@ def upsert_summary(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
     return new.unionByName(kept)
 
 
-def write_summary(summary: DataFrame, folder: str) -> str:
-    """Write a summary below ``folder`` under a new name: the old one may still
-    be read by the plan."""
-    path = f"{folder.rstrip('/')}/summary-{uuid.uuid4().hex}.json"
-    summary.write.option("ignoreNullFields", "false").json(path)
-    return path
+def write_summary(summary: DataFrame, path: str) -> None:
+    """Replace the summary at ``path``, which ``summary`` may be built from."""
+    settled = materialize(summary, "summary")
+    settled.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def summary_documents(summary: DataFrame, entry: str, keys: Sequence[str]) -> DataFrame:
