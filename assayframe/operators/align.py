@@ -48,7 +48,10 @@ def feature_matrix(cells: DataFrame) -> DataFrame:
 
 
 def common_samples(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.select("sample_id").intersect(right.select("sample_id"))
+    """Samples of both matrices. Each side is reduced to its samples before the
+    two meet: an intersection alone would shuffle every cell."""
+    own = left.select("sample_id").distinct()
+    return own.intersect(right.select("sample_id").distinct())
 
 
 def sample_missingness(matrix: DataFrame, features: DataFrame | None = None) -> DataFrame:

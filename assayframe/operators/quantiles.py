@@ -26,7 +26,7 @@ def exact_median(
     keys: Sequence[str],
     value: str,
     name: str = "median",
-    accuracy: int = 10_000,
+    accuracy: int = 2_000,
 ) -> DataFrame:
     """Exact median of the non-null values of each group.
 

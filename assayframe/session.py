@@ -13,9 +13,9 @@ SESSION_CONF = {
     # Top-k selections keep up to this many rows per group before the shuffle;
     # the default of 1000 is below the usual 2000 selected features.
     "spark.sql.optimizer.windowGroupLimitThreshold": "4096",
-    # Quantile sketches over many features stay hash based instead of sorting
-    # all cells after 128 groups.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    # Quantile sketches stay hash based for some more groups than the default of
+    # 128; a sketch of a large group takes about half a megabyte.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "512",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }

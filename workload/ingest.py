@@ -14,7 +14,7 @@ from assayframe.functions import (
 from assayframe.operators import combine, search
 from assayframe.schema import PROTEIN, RNA
 from assayframe.sources import catalog, cells, matrices, metrics, sinks
-from assayframe.sources.scratch import scratch_path
+from assayframe.sources.scratch import materialize, scratch_path
 from workload import views
 from workload.registry import query
 from workload.tables import rounded
@@ -105,6 +105,85 @@ def long_alias_scan(spark, folder):
     return matrices.read_long(foreign).select("sample_id", "feature", rounded("value"))
 
 
+@query(
+    "load_matrix",
+    """SELECT user_id::VARCHAR AS sample_id, event_type AS feature, round(avg(value), 6) AS value
+       FROM events GROUP BY ALL HAVING avg(value) IS NOT NULL""",
+)
+def load_matrix(spark, folder):
+    """A wide table whose orientation is told by its row axis."""
+    wide = events_wide(spark, folder).withColumnRenamed("user_id", "patient_id")
+    return matrices.load_matrix(wide, "patient_id").select(
+        "sample_id", "feature", rounded("value")
+    )
+
+
+@query(
+    "header_parse",
+    """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'raw' END AS value_type,
+              p_name AS feature_name, CASE WHEN p_size % 3 = 1 THEN p_brand END AS transcript_id,
+              p_type AS database_id
+       FROM part""",
+)
+def header_parse(spark, folder):
+    """Column labels of two and three levels back to their parts."""
+    kind = F.col("p_size") % 3
+    levels = (
+        F.when(kind == 0, F.array(F.lit("raw"), "p_name", "p_type"))
+        .when(kind == 1, F.array("p_name", "p_brand", "p_type"))
+        .otherwise(F.array("p_name", "p_type"))
+    )
+    label = F.concat(F.lit("('"), F.array_join(levels, "', '"), F.lit("')"))
+    labels = views.table(spark, folder, "part").select("p_partkey", label.alias("label"))
+    return matrices.with_header(labels).select(
+        "p_partkey", "value_type", "feature_name", "transcript_id", "database_id"
+    )
+
+
+@query(
+    "current_stage",
+    """SELECT run_id, stage FROM (
+           SELECT user_id::VARCHAR AS run_id, event_type AS stage,
+                  row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn
+           FROM events) WHERE rn = 1""",
+)
+def current_stage(spark, folder):
+    log = views.table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("run_id"),
+        F.col("event_id").alias("seq"),
+        F.col("event_type").alias("stage"),
+    )
+    return sinks.current_stage(log).select("run_id", "stage")
+
+
+def recorded_runs(spark, folder):
+    """Metrics of one run per k, as a finished sweep leaves them."""
+    return views.metric_rows(spark, folder).select(
+        F.concat(F.lit("outputs_k"), F.col("k").cast("string")).alias("run_dir"),
+        F.col("protein").alias("target"),
+        F.col("r2").alias("rf_r2"),
+        F.lit(None).cast("double").alias("rf_mae"),
+        "k",
+    )
+
+
+@query(
+    "metrics_files",
+    """SELECT protein, k, count(*) AS n, round(sum(r2), 6) AS sum_r2 FROM metric_rows GROUP BY ALL""",
+)
+def metrics_files(spark, folder):
+    """Metrics written as files, one run folder per k, and read back."""
+    root = scratch_path(spark, "runs")
+    runs = materialize(recorded_runs(spark, folder), "runs", ["k"])
+    for k in [row.k for row in runs.select("k").distinct().collect()]:
+        own = runs.filter(F.col("k") == k).select("target", "rf_r2", "rf_mae")
+        sinks.write_csv(own, f"{root}/outputs_k{k}/metrics.csv")
+    found = metrics.read_metrics(spark, [f"{root}/outputs*"])
+    return found.groupBy("protein", "k").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("r2"), 6).alias("sum_r2")
+    )
+
+
 @query(
     "standardize_ids",
     r"""SELECT p_partkey, raw_id, sample_id,

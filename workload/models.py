@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayframe.operators import design, models, selection, split
+from assayframe.operators import design, models, ranking, selection, split
 from assayframe.plans import modelling as plan
 from assayframe.sources.scratch import materialize
 from workload import modelling, views
@@ -37,9 +37,8 @@ def ridge_design(spark, folder, k=2):
     return materialize(table, "design", design.FIT), selected
 
 
-@query(
-    "ridge_baseline",
-    """WITH top AS (SELECT target, feature, rank, n, mean, CASE WHEN std = 0 THEN 1 ELSE std END AS s
+# Ridge on the two best features, solved in closed form.
+RIDGE_SQL = """top AS (SELECT target, feature, rank, n, mean, CASE WHEN std = 0 THEN 1 ELSE std END AS s
                     FROM ranked WHERE rank <= 2),
        z AS (SELECT f.target, f.sample_id, f.y, t.rank, (f.x - t.mean) / t.s AS z
              FROM filled f JOIN top t USING (target, feature)),
@@ -49,23 +48,35 @@ def ridge_design(spark, folder, k=2):
        g AS (SELECT target, sum(z1 * z1) + 1 AS a, sum(z1 * z2) AS b, sum(z2 * z2) + 1 AS d,
                     sum(z1 * (y - m)) AS u, sum(z2 * (y - m)) AS v, any_value(m) AS m
              FROM p JOIN (SELECT target, avg(y) AS m FROM train GROUP BY ALL) USING (target)
-             GROUP BY target)
-       SELECT target, feature,
-              round(CASE WHEN rank = 1 THEN (d * u - b * v) ELSE (a * v - b * u) END / (a * d - b * b), 6)
-                  AS coefficient,
-              round(m, 6) AS intercept
-       FROM g JOIN top USING (target)""",
+             GROUP BY target),
+       w AS (SELECT target, feature, rank, mean, s, m,
+                    CASE WHEN rank = 1 THEN (d * u - b * v) ELSE (a * v - b * u) END
+                        / (a * d - b * b) AS coefficient
+             FROM g JOIN top USING (target))"""
+
+
+def fitted_ridges(table):
+    """One ridge per target over its training rows."""
+    found = {}
+    for target in [r.target for r in table.select("target").distinct().collect()]:
+        train = table.filter((F.col("target") == target) & (F.col("role") == "train"))
+        found[target] = models.fit_ridge(train, 2)
+    return found
+
+
+@query(
+    "ridge_baseline",
+    f"""WITH {RIDGE_SQL}
+       SELECT target, feature, round(coefficient, 6) AS coefficient, round(m, 6) AS intercept
+       FROM w""",
 )
 def ridge_baseline(spark, folder):
     table, selected = ridge_design(spark, folder)
-    fitted = []
-    for target in [r.target for r in table.select("target").distinct().collect()]:
-        train = table.filter((F.col("target") == target) & (F.col("role") == "train"))
-        model = models.fit_ridge(train, 2)
-        fitted += [
-            (target, rank, float(weight), float(model.intercept))
-            for rank, weight in enumerate(model.coefficients, start=1)
-        ]
+    fitted = [
+        (target, rank, float(weight), float(model.intercept))
+        for target, model in fitted_ridges(table).items()
+        for rank, weight in enumerate(model.coefficients, start=1)
+    ]
     weights = spark.createDataFrame(
         fitted, "target string, rank long, coefficient double, intercept double"
     )
@@ -74,6 +85,89 @@ def ridge_baseline(spark, folder):
     )
 
 
+@query(
+    "ridge_predictions",
+    f"""WITH {RIDGE_SQL},
+       t AS (SELECT target, sample_id, y FROM placed WHERE pos <= n_test),
+       e AS (SELECT t.target, t.sample_id, t.y, w.m,
+                    w.coefficient * (coalesce(r.value, d.median) - w.mean) / w.s AS part
+             FROM t JOIN w USING (target) JOIN medians d USING (target, feature)
+             LEFT JOIN rna_matrix r ON r.sample_id = t.sample_id AND r.feature = w.feature)
+       SELECT target, sample_id, round(any_value(y), 6) AS y,
+              round(any_value(m) + sum(part), 6) AS prediction
+       FROM e GROUP BY target, sample_id""",
+)
+def ridge_predictions(spark, folder):
+    table, _ = ridge_design(spark, folder)
+    frames = [
+        models.predict(
+            model, table.filter((F.col("target") == target) & (F.col("role") == "test")), "scaled"
+        )
+        for target, model in fitted_ridges(table).items()
+    ]
+    predicted = frames[0]
+    for frame in frames[1:]:
+        predicted = predicted.unionByName(frame)
+    return predicted.select("target", "sample_id", rounded("y"), rounded("prediction"))
+
+
+# Every fit ranks on its own training rows: the full one (-1) and one per fold.
+FITS_SQL = """fits AS (SELECT i::INTEGER AS fit FROM range(-1, 5) t(i)),
+    ft AS (SELECT target, fit, sample_id, y FROM folds JOIN fits ON fit <> fold),
+    fo AS (SELECT ft.*, m.feature, m.value AS x FROM ft JOIN rna_matrix m USING (sample_id)),
+    fm AS (SELECT target, fit, feature, median(x) AS median FROM fo GROUP BY ALL),
+    ff AS (SELECT ft.target, ft.fit, ft.y, fm.feature, coalesce(fo.x, fm.median) AS x, fm.median
+           FROM ft JOIN fm ON ft.target = fm.target AND ft.fit = fm.fit
+           LEFT JOIN fo ON fo.target = ft.target AND fo.fit = ft.fit
+                       AND fo.sample_id = ft.sample_id AND fo.feature = fm.feature),
+    fr AS (SELECT target, fit, feature, count(*) AS n, any_value(median) AS median,
+                  covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS r
+           FROM ff GROUP BY ALL),
+    fk AS (SELECT target, fit, feature, median,
+                  row_number() OVER (PARTITION BY target, fit
+                      ORDER BY coalesce(r * r / nullif(1 - r * r, 0) * (n - 2), 0) DESC,
+                               feature DESC) AS rank
+           FROM fr)"""
+
+
+def fold_design(spark, folder, k=5):
+    rna, protein = modelling.matrices(spark, folder)
+    rows = materialize(design.folded_rows(modelling.placed(rna, protein)), "rows")
+    observed = materialize(design.observed_cells(rows, rna), "observed")
+    statistics = design.fit_statistics(observed, rows)
+    selected = materialize(selection.rank_features(statistics, k, design.FIT), "selected")
+    return rows, observed, selected
+
+
+@query(
+    "fold_selection",
+    f"""WITH {FITS_SQL}
+        SELECT target, fit, feature, rank, round(median, 6) AS median FROM fk WHERE rank <= 5""",
+)
+def fold_selection(spark, folder):
+    _, _, selected = fold_design(spark, folder)
+    return selected.select("target", "fit", "feature", "rank", rounded("median"))
+
+
+@query(
+    "design_rows",
+    f"""WITH {FITS_SQL},
+        roles AS (SELECT target, sample_id, y, -1 AS fit, 'test' AS role FROM placed WHERE pos <= n_test
+                  UNION ALL
+                  SELECT target, sample_id, y, fit,
+                         CASE WHEN fit = fold THEN 'valid' ELSE 'train' END FROM folds CROSS JOIN fits)
+        SELECT r.target, r.fit, r.role, r.sample_id, (k.rank - 1)::INTEGER AS pos,
+               round(coalesce(m.value, k.median), 6) AS x
+        FROM roles r JOIN fk k ON k.target = r.target AND k.fit = r.fit AND k.rank <= 5
+        LEFT JOIN rna_matrix m ON m.sample_id = r.sample_id AND m.feature = k.feature""",
+)
+def design_rows(spark, folder):
+    table = design.design_rows(*fold_design(spark, folder))
+    return table.select(
+        "target", "fit", "role", "sample_id", F.posexplode("features").alias("pos", "x")
+    ).withColumn("x", F.round("x", 6))
+
+
 def _embedding_run(spark, folder):
     cells = views.embedding_cells(spark, folder)
     keys = [F.lit("all").alias("cohort"), "sample_id", F.lit(0).cast("long").alias("occ")]
@@ -91,6 +185,25 @@ def embedding_result(spark, folder):
     return plan.run_targets(rna, protein, ["LABEL", "NOPE"], SETTINGS)
 
 
+@query("rf_fit")
+def rf_fit(spark, folder):
+    """A forest on all rows and all features of the embeddings."""
+    cells = views.embedding_cells(spark, folder)
+    packed = cells.groupBy("target", "sample_id").agg(
+        F.first("y").alias("y"),
+        F.sort_array(F.collect_list(F.struct("feature", "x"))).alias("_cells"),
+    )
+    rows = materialize(
+        packed.select("target", "sample_id", "y", F.col("_cells.x").alias("features")), "rows"
+    )
+    params = {"model__n_estimators": 10, "model__max_depth": 5, "model__max_features": "sqrt"}
+    model = models.fit_forest(rows, params, split.SEED)
+    names = cells.select("target", "feature").distinct()
+    return models.importances(
+        model, ranking.top_per_group(names, ["target"], ["feature"], 4096)
+    )
+
+
 @query("rf_search")
 def rf_search(spark, folder):
     result = embedding_result(spark, folder)
