@@ -132,8 +132,10 @@ def target_values(resolved: DataFrame, matrix: DataFrame, samples: DataFrame) ->
 
 
 def first_occurrences(matrix: DataFrame) -> DataFrame:
-    """The occurrence that stands for each sample."""
-    firsts = matrix.groupBy("sample_id").agg(F.min(F.struct("cohort", "occ")).alias("_o"))
+    """The occurrence that stands for each sample. Cells are reduced to their
+    occurrences by hash before the ordered minimum, which would sort them."""
+    seen = matrix.select(*OCCURRENCE).distinct()
+    firsts = seen.groupBy("sample_id").agg(F.min(F.struct("cohort", "occ")).alias("_o"))
     return firsts.select("_o.cohort", "sample_id", "_o.occ")
 
 
@@ -141,11 +143,12 @@ def align_target(labels: DataFrame, matrix: DataFrame) -> DataFrame:
     """Observed features next to ``y``: ``(target, sample_id, feature, x, y)``.
 
     The first occurrence of each sample is looked up on the labels, so cells
-    take part in a single join.
+    take part in a single join, and stay in place while the labels fit the
+    broadcast bounds.
     """
-    placed = labels.join(first_occurrences(matrix), "sample_id")
+    placed = checked_broadcast(labels.join(first_occurrences(matrix), "sample_id"))
     cells = matrix.filter(F.col("value").isNotNull()).withColumnRenamed("value", "x")
-    return placed.join(cells, list(OCCURRENCE)).select(
+    return cells.join(placed, list(OCCURRENCE)).select(
         *labels.columns, "feature", "x"
     )
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayframe.operators.joins import checked_broadcast
@@ -27,6 +27,7 @@ def exact_median(
     value: str,
     name: str = "median",
     accuracy: int = 2_000,
+    alongside: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact median of the non-null values of each group.
 
@@ -34,23 +35,39 @@ def exact_median(
     buffer. Here a mergeable quantile sketch first brackets the middle within
     its error bound; the second pass collapses everything below the bracket to
     one count, drops everything above, and orders only the bracket, about
-    ``8 / accuracy`` of the group.
+    ``8 / accuracy`` of the group. Aggregates given ``alongside`` are computed in
+    the first pass over the same rows.
     """
-    observed = rows.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    observed = rows.filter(F.col(value).isNotNull())
+    others = alongside or {}
     margin = 4.0 / accuracy
-    edges = F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], accuracy)
-    brackets = (
+    edges = F.percentile_approx(value, [0.5 - margin, 0.5 + margin], accuracy)
+    first_pass = checked_broadcast(
         observed.groupBy(*keys)
-        .agg(edges.alias("_edges"), F.count("_v").alias("_total"))
-        .select(*keys, F.col("_edges")[0].alias("_lo"), F.col("_edges")[1].alias("_hi"), "_total")
+        .agg(
+            edges.alias("_edges"),
+            F.count(value).alias("_total"),
+            *[column.alias(label) for label, column in others.items()],
+        )
+        .select(
+            *keys,
+            F.col("_edges")[0].alias("_lo"),
+            F.col("_edges")[1].alias("_hi"),
+            "_total",
+            *others,
+        )
     )
-    near = observed.join(checked_broadcast(brackets), list(keys)).filter(
-        F.col("_v") <= F.col("_hi")
+    brackets = first_pass.select(*keys, "_lo", "_hi", "_total")
+    near = (
+        observed.select(*keys, F.col(value).alias("_v"))
+        .join(brackets, list(keys))
+        .filter(F.col("_v") <= F.col("_hi"))
     )
     tallies = near.groupBy(
         *keys, "_total", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")
     ).agg(F.count(F.lit(1)).alias("_n"))
-    return _middle(tallies, keys, "_v", name, "_total")
+    middle = _middle(tallies, keys, "_v", name, "_total")
+    return middle.join(first_pass.select(*keys, *others), list(keys)) if others else middle
 
 
 def _middle(

@@ -37,18 +37,18 @@ def feature_statistics(
 
     ``observed`` holds the training cells ``(keys, feature, x, y)``, ``labels``
     one row ``(keys, y)`` per training sample. Features without a training value
-    do not appear. Work is one aggregate over the cells plus the median passes;
+    do not appear. The cells are read twice, by the two passes of the median;
     nothing is pivoted.
     """
     by_feature = [*keys, "feature"]
-    blocks = observed.groupBy(*by_feature).agg(
-        F.count("x").alias("n_observed"),
-        F.avg("x").alias("_mx"),
-        F.avg("y").alias("_my"),
-        F.var_pop("x").alias("_vx"),
-        F.covar_pop("x", "y").alias("_cxy"),
-    )
-    medians = exact_median(observed, by_feature, "x")
+    moments = {
+        "n_observed": F.count("x"),
+        "_mx": F.avg("x"),
+        "_my": F.avg("y"),
+        "_vx": F.var_pop("x"),
+        "_cxy": F.covar_pop("x", "y"),
+    }
+    blocks = exact_median(observed, by_feature, "x", alongside=moments)
     n, seen = F.col("n"), F.col("n_observed")
     filled = n - seen
     # Mean of y over the filled rows, and the shift between the two blocks.
@@ -61,8 +61,7 @@ def feature_statistics(
     variance = safe_divide(F.col("_sxx"), n)
     r = safe_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * n * F.col("var_y")))
     return (
-        blocks.join(medians, by_feature)
-        .join(label_totals(labels, keys), list(keys))
+        blocks.join(label_totals(labels, keys), list(keys))
         .withColumns({"_sxx": sxx, "_sxy": sxy})
         .withColumns(
             {
