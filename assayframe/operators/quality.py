@@ -16,6 +16,7 @@ from assayframe.operators.combine import table_shapes
 from assayframe.operators.joins import checked_broadcast
 from assayframe.operators.quantiles import weighted_median
 from assayframe.operators.ranking import seeded_digest, top_per_group
+from assayframe.sources.scratch import materialize
 
 TABLE = ("assay", "cohort")
 SAMPLE = ("sample_id", "occ")
@@ -76,9 +77,16 @@ def table_quality(
     missing fraction over its samples and over its features. Only cohorts with
     both assays are reported."""
     paired = with_both_assays(samples)
-    shapes = table_shapes(samples, features).join(paired, "cohort", "left_semi")
-    by_sample = _missing(samples, cells, [*TABLE, *SAMPLE], shapes, "n_cols")
-    by_feature = _missing(features, cells, [*TABLE, *feature], shapes, "n_rows")
+    shapes = checked_broadcast(
+        table_shapes(samples, features).join(paired, "cohort", "left_semi")
+    )
+    # Each tally takes a pass over the cells and is used for several measures.
+    by_sample = materialize(
+        _missing(samples, cells, [*TABLE, *SAMPLE], shapes, "n_cols"), "by_sample"
+    )
+    by_feature = materialize(
+        _missing(features, cells, [*TABLE, *feature], shapes, "n_rows"), "by_feature"
+    )
     counts = by_sample.groupBy(*TABLE).agg(
         F.sum(F.col("missing") * F.col("members")).alias("missing_count")
     )

@@ -7,7 +7,7 @@ import time
 import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +89,8 @@ def prepare(
         align.resolve_targets(align.requested_targets(spark, targets), protein), "resolved"
     )
     kept = align.complete_samples(rna, protein, settings.max_missing)
-    labels = align.target_values(resolved, protein, kept)
+    # The split numbers the labels and counts them, so it reads them twice.
+    labels = materialize(align.target_values(resolved, protein, kept), "labels")
     placed = split.train_test_split(
         labels, test_share=settings.test_share, seed=settings.seed
     )
@@ -301,8 +302,6 @@ def run_sweep(
         )
     if not pending:
         return {}
-    from dataclasses import replace
-
     largest = max(pending) if min(pending) >= 2 else None
     prepared = prepare(rna, protein, targets, replace(settings, k_best=largest))
     results = {}

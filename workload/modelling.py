@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from assayframe.operators import align, combine, reports, selection, split
@@ -17,10 +20,11 @@ from workload.tables import rounded
 
 def matrices(spark, folder):
     """Both matrices as stored tables: every later stage reads them again."""
-    return (
-        materialize(views.rna_matrix(spark, folder), "rna"),
-        materialize(views.protein_matrix(spark, folder), "protein"),
-    )
+    store = inheritable_thread_target(spark)(materialize)
+    with ThreadPoolExecutor(2) as pool:
+        rna = pool.submit(store, views.rna_matrix(spark, folder), "rna")
+        protein = pool.submit(store, views.protein_matrix(spark, folder), "protein")
+        return rna.result(), protein.result()
 
 
 def resolved(protein):
@@ -33,7 +37,8 @@ def labels(rna, protein):
 
 
 def placed(rna, protein):
-    return split.train_test_split(labels(rna, protein))
+    # The split numbers the rows and counts them, so it reads them twice.
+    return split.train_test_split(materialize(labels(rna, protein), "labels"))
 
 
 def training(rna, protein):

@@ -128,12 +128,9 @@ def qc_table_stats(spark, folder):
         ),
         "cells",
     )
-    report = quality.table_quality(
-        cells,
-        combine.sample_dimension(cells),
-        combine.feature_dimension(cells, feature=TRANSCRIPT),
-        TRANSCRIPT,
-    )
+    samples = materialize(combine.sample_dimension(cells), "samples")
+    features = materialize(combine.feature_dimension(cells, feature=TRANSCRIPT), "features")
+    report = quality.table_quality(cells, samples, features, TRANSCRIPT)
     return report.select(
         "assay",
         "cohort",
