@@ -21,9 +21,9 @@ UNDETERMINED = "und"
 LETTERS = regex.compile(r"\p{L}+")
 LONGEST_GRAM = 5
 # Size of a model, in (entry, language) counts: the commonest are kept. They bound
-# what is broadcast, to some 40 MB, not which texts are read.
-MODEL_WORDS = 300_000
-MODEL_GRAMS = 300_000
+# what is broadcast, to some 15 MB, not which texts are read.
+MODEL_WORDS = 80_000
+MODEL_GRAMS = 80_000
 # A word counts for at least this much where a language never had it.
 SMOOTHING = 0.5
 
@@ -112,6 +112,11 @@ def _commonest(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(level >= F.lit(float(least)))
 
 
+def _rows(counts: DataFrame) -> Iterator[tuple[str, str, int]]:
+    found = counts.toArrow()
+    return zip(*(found.column(c).to_pylist() for c in found.column_names))
+
+
 def _logs(rows, languages, totals):
     column = {lang: i for i, lang in enumerate(languages)}
     index: dict[str, int] = {}
@@ -132,13 +137,13 @@ def train(labelled: DataFrame) -> LanguageModel:
     the model has no language and answers ``und``.
     """
     known = labelled.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
-    columns = "lang string, entry string, n long"
+    counted = "lang string, entry string, n long"
     words = materialize(
-        in_batches(known, _count_words, columns).groupBy("lang", "entry").agg(F.sum("n").alias("n")),
+        in_batches(known, _count_words, counted).groupBy("lang", "entry").agg(F.sum("n").alias("n")),
         "language-words",
     )
     grams = materialize(
-        in_batches(words, _count_grams, columns, rows=10_000)
+        in_batches(words, _count_grams, counted, rows=10_000)
         .groupBy("lang", F.length("entry").alias("size"), "entry")
         .agg(F.sum("n").alias("n")),
         "language-grams",
@@ -150,8 +155,9 @@ def train(labelled: DataFrame) -> LanguageModel:
         for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()
     }
     languages = sorted(word_totals)
-    word_rows = _commonest(words, MODEL_WORDS).select("lang", "entry", "n").collect()
-    gram_rows = _commonest(grams, MODEL_GRAMS).select("lang", "entry", "n").collect()
+    columns = ("lang", "entry", "n")
+    word_rows = _rows(_commonest(words, MODEL_WORDS).select(*columns))
+    gram_rows = _rows(_commonest(grams, MODEL_GRAMS).select(*columns))
     smoothed = lambda total: total + SMOOTHING * 10_000
     index, logs = _logs(word_rows, languages, [smoothed(word_totals[g]) for g in languages])
     gram_index, gram_logs = _logs(gram_rows, languages, [1.0] * len(languages))
