@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import language_id
+from assayframe.llm import language_id, simhash_dedup, topk_search, url_filters
 from assayframe.llm.common import crc_of_id, table
 from assayframe.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -17,3 +17,70 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     model = language_id.train(docs.where(~held_out))
     texts = docs.select("doc_id", held_out.alias("held_out"), "text")
     return language_id.predict(texts, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+OP2_SQL = """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM vectors q JOIN vectors c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+    WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place
+    FROM scored
+)
+SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <= 5
+"""
+
+
+@query("op2_topk_search", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return topk_search.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+OP3_SQL = r"""
+WITH rules(host, path, verdict) AS (
+    VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+           ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), located AS (
+    SELECT page_id,
+        translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+    FROM pages
+), fitting AS (
+    SELECT l.page_id, l.host, l.path, r.host || r.path AS rule, r.verdict,
+        row_number() OVER (PARTITION BY l.page_id
+            ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS place
+    FROM located l LEFT JOIN rules r
+      ON (l.host = r.host OR ends_with(l.host, '.' || r.host)) AND starts_with(l.path, r.path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM fitting WHERE place = 1
+"""
+
+
+@query("op3_url_filters", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge(table(spark, folder, "pages"), rules)
+
+
+@query("op5_simhash_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash_dedup.classes(simhash_dedup.fingerprints(table(spark, folder, "documents")))
+    return found.select(
+        "doc_id", simhash_dedup.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id"
+    )
