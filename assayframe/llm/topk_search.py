@@ -112,7 +112,7 @@ def cover_tree(points: np.ndarray) -> CoverTree:
         start, end = tree.start[node], tree.end[node]
         if end - start <= LEAF or tree.radius[node] == 0:
             continue
-        rows = tree.order[start:end]
+        rows = tree.order[start:end].copy()
         own = int(np.flatnonzero(rows == tree.centre[node])[0])
         centres, nearest = net_of(floats[rows], own, tree.radius[node] / 2, len(rows))
         sizes = np.bincount(nearest, minlength=len(centres))
