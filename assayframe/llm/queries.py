@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import language_id, simhash_dedup, topk_search, url_filters
+from assayframe.llm import (
+    decontamination,
+    language_id,
+    lm_scoring,
+    packing,
+    simhash_dedup,
+    substring_dedup,
+    token_files,
+    topk_search,
+    url_filters,
+)
 from assayframe.llm.common import crc_of_id, table
 from assayframe.llm.registry import QUERIES, SQL, query  # noqa: F401
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 @query("op1_language_id")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,3 +97,45 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", simhash_dedup.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    files = token_files.new_folder(spark)
+    manifest = token_files.write(table(spark, folder, "documents"), files, TOKENIZER, end_id=1)
+    return token_files.read(manifest, files).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), TOKENIZER, end_id=2).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+@query("op4_lm_scoring")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = crc_of_id(F.col("doc_id")) % 10 == 0
+    scored = lm_scoring.score(docs, docs.where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, folder, "documents")).drop("key_a")
+
+
+@query("op8_decontamination")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
