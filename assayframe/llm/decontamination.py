@@ -93,7 +93,7 @@ def near_fingerprints(windows: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, first_word, similarity`` of each benchmark item of which a
+    """``doc_id, text_key, item_id, first_word, similarity`` of each benchmark item of which a
     document has a window with as many words and a weighted similarity of 0.8 or more:
     shared over all occurrences of five-word shingles. The most similar window is
     given, of equal ones the first.
@@ -104,7 +104,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are compared exactly.
 
     Items of fewer than five words never match, nor do null and empty texts. Rows that
-    repeat count once; a null doc_id is returned as such.
+    repeat count once; a null doc_id is returned as such. ``text_key`` is the hash of the
+    text, for rows that share an id.
     """
     items = benchmark.select("item_id", words_of(F.col("text")).alias("item_words")).where(
         F.size("item_words") >= SHINGLE
@@ -156,10 +157,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         laid.join(found, ["window", "size"])
         .groupBy("doc_id", "text_key", "item_id")
         .agg(F.max(best).alias("best"))
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("best").alias("best"))
         .select(
             "doc_id",
+            "text_key",
             "item_id",
             (-F.col("best.first")).alias("first_word"),
             F.col("best.similarity").alias("similarity"),

@@ -1,0 +1,113 @@
+"""Near copies for the pipeline: SimHash links, widened and verified exactly.
+
+Fingerprints within three bits miss most texts of which some words were changed: at
+a similarity of 0.8 of five-word shingles some ten of 64 bits differ. So candidates
+also come from bands of min-hashes, and each is held against the exact similarity.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from assayframe.llm.common import content_key, in_batches
+from assayframe.llm.simhash_dedup import components, fingerprint, links, shingle_hashes
+from assayframe.llm.substring_dedup import SHINGLE, SIMILARITY, held_against
+from assayframe.sources.scratch import materialize
+
+# A pair of similarity 0.8 shares a band with a probability of 0.998.
+BANDS, ROWS = 12, 4
+_random = np.random.default_rng(3)
+MULTIPLIERS = _random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """A key per band from the min-hashes of a set of shingles; none of an empty one."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.empty(BANDS * ROWS, np.uint64)
+    folded = hashes ^ (hashes >> np.uint64(31))
+    for i, multiplier in enumerate(MULTIPLIERS):
+        mixed = folded * multiplier
+        least[i] = (mixed ^ (mixed >> np.uint64(32))).min()
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * MIX
+        keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = [shingle_hashes(t, SHINGLE) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array([fingerprint(h) for h in hashes], pa.int64()),
+                pa.array([bands_of(h) for h in hashes], pa.list_(pa.int64())),
+            ],
+            names=["doc_id", "fingerprint", "bands"],
+        )
+
+
+def _similar(row, hashes, source, order):
+    own, other = np.unique(hashes), np.unique(source)
+    common = len(np.intersect1d(own, other, assume_unique=True))
+    alike = common >= SIMILARITY * (len(own) + len(other) - common)
+    return [(row["doc_id"], row["source_id"])] if alike else []
+
+
+def _starred(rows: DataFrame, key: str) -> DataFrame:
+    """Each document with the smallest id of its key."""
+    first = rows.groupBy(key).agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last_id"))
+    first = materialize(first.where("source_id < last_id").drop("last_id"), "copies-first")
+    return rows.join(first, key).where("doc_id <> source_id").select("doc_id", "source_id")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` of documents that have a near copy: texts whose sets of
+    five-word shingles have a similarity of 0.8 or more, and chains of such.
+
+    Ids must tell documents apart; rows with a null id or text are left out. Equal
+    texts are one text. Documents that share a fingerprint or a band are held against
+    the smallest id there, so a group of n copies makes n - 1 pairs.
+    """
+    given = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", *content_key(F.col("text"))
+    )
+    keys = ["key_a", "key_b"]
+    firsts = materialize(given.groupBy(*keys).agg(F.min("doc_id").alias("source_id")), "copies-texts")
+    unique = given.join(firsts.withColumnRenamed("source_id", "doc_id"), [*keys, "doc_id"], "left_semi")
+    sketches = materialize(
+        in_batches(unique.select("doc_id", "text"), _sketch, "doc_id long, fingerprint long, bands array<bigint>"),
+        "copies-sketches",
+    )
+    prints = sketches.select("doc_id", "fingerprint")
+    nodes = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "copies-nodes")
+    linked = (
+        links(nodes.select("fingerprint"))
+        .join(nodes.select(F.col("fingerprint").alias("a"), F.col("id").alias("id_a")), "a")
+        .join(nodes.select(F.col("fingerprint").alias("b"), F.col("id").alias("id_b")), "b")
+        .select(F.greatest("id_a", "id_b").alias("doc_id"), F.least("id_a", "id_b").alias("source_id"))
+    )
+    banded = sketches.select("doc_id", F.explode("bands").alias("band"))
+    pairs = _starred(prints, "fingerprint").union(linked).union(_starred(banded, "band")).distinct()
+    verified = held_against(
+        unique.select("doc_id", "text", "key_a"),
+        materialize(pairs, "copies-pairs"),
+        _similar,
+        "doc_id long, source_id long",
+    )
+    same = (
+        given.select("doc_id", *keys)
+        .join(firsts, keys)
+        .where("doc_id <> source_id")
+        .select("doc_id", "source_id")
+    )
+    edges = verified.union(same).select(F.col("doc_id").alias("a"), F.col("source_id").alias("b"))
+    return components(edges).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id")

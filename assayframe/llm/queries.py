@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.llm import (
+    chat_format,
     decontamination,
     language_id,
     lm_scoring,
@@ -138,4 +139,88 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    ).drop("text_key")
+
+
+TOOL_SCHEMAS = [
+    ("search", "query", "string", True),
+    ("search", "limit", "integer", True),
+    ("lookup", "query", "string", True),
+    ("forecast", "query", "string", True),
+    ("forecast", "limit", "integer", False),
+    ("forecast", "unit", "string", True),
+    ("weather", "query", "string", True),
+    ("weather", "limit", "boolean", True),
+]
+TOOLS = ["search", "lookup", "forecast", "weather"]
+OP6_SQL = r"""
+WITH roles AS (
+    SELECT conv_id, turn, role, text,
+        CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'text' END AS kind,
+        lag(role) OVER w AS before_role, lag(turn) OVER w AS before_turn,
+        lead(role) OVER w AS next_role, lead(turn) OVER w AS next_turn
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), steps AS (
+    SELECT *,
+        before_turn = turn - 1
+            AND ((kind = 'call' AND before_role = 'assistant') OR (kind = 'result' AND before_role = 'user')) AS goes_on
+    FROM roles
+), runs AS (
+    SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run
+    FROM steps
+), leveled AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS level FROM runs
+), named AS (
+    SELECT *,
+        CASE kind WHEN 'call' THEN 'c' || turn WHEN 'result' THEN 'c' || (turn - 1) END AS call_id,
+        CASE kind WHEN 'call' THEN ['search', 'lookup', 'forecast', 'weather'][(turn // 2) % 4 + 1]
+            WHEN 'result' THEN CASE WHEN goes_on THEN ['search', 'lookup', 'forecast', 'weather'][((turn - 1) // 2) % 4 + 1] END
+        END AS name
+    FROM leveled
+)
+SELECT conv_id, turn, call_id, kind, level::INTEGER AS level,
+    CASE kind WHEN 'call' THEN coalesce(next_turn = turn + 1 AND next_role = 'assistant', false)
+        WHEN 'result' THEN coalesce(goes_on, false) ELSE false END AS linked,
+    CASE WHEN kind = 'call' THEN CASE name WHEN 'lookup' THEN 'unexpected limit'
+        WHEN 'forecast' THEN 'missing unit' WHEN 'weather' THEN 'type of limit' END END AS problem,
+    '{' || CASE WHEN kind = 'call'
+        THEN '"arguments":{"limit":' || (length(text) % 10) || ',"query":' || to_json(text)::VARCHAR || '},' ELSE '' END
+    || '"content":' || to_json(text)::VARCHAR
+    || CASE WHEN kind <> 'text' THEN ',"id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null') ELSE '' END
+    || ',"role":"' || role || '"}' AS json
+FROM named
+"""
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """Conversations read as tool use: a user's turn calls a tool with its text and uses
+    the result before it, an assistant's turn is the result of the call before it."""
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    call_id = lambda turn: F.concat(F.lit("c"), turn.cast("string"))
+    turn = F.col("turn")
+    name = F.element_at(F.array(*map(F.lit, TOOLS)), (F.floor(turn / 2) % 4 + 1).cast("int"))
+    # Neither compact nor in order, for the operator to mend.
+    arguments = F.concat(
+        F.lit('{ "query": '),
+        chat_format.quoted(F.col("text")),
+        F.lit(', "limit": '),
+        (F.length("text") % 10).cast("string"),
+        F.lit(" }"),
+    )
+    return conversations.select(
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+        F.when(user, "call").when(assistant, "result").alias("kind"),
+        F.when(user, call_id(turn)).when(assistant, call_id(turn - 1)).alias("call_id"),
+        F.when(user, name).alias("name"),
+        F.when(user, arguments).alias("arguments"),
+        F.when(user, F.array(call_id(turn - 2))).alias("after"),
     )
+
+
+@query("op6_chat_format", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    schemas = spark.createDataFrame(TOOL_SCHEMAS, "name string, field string, kind string, required boolean")
+    return chat_format.format_chats(tool_messages(table(spark, folder, "conversations")), schemas)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import language_id
+from assayframe.llm import decontamination, language_id, near_copies, packing, substring_dedup
 from assayframe.llm.common import table
 from assayframe.sources.scratch import materialize
 
@@ -15,6 +16,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # Below this, no language holds the larger part of the likelihood.
 LEAST_LANGUAGE_SCORE = 0.5
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -27,8 +30,41 @@ def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     return kept.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near copies."""
+    copies = near_copies.near_copies(docs).where("doc_id <> component_id")
+    return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Cut passages that an earlier document has; what was nothing else goes."""
+    spans = materialize(substring_dedup.repeated_passages(docs), "pipeline-spans")
+    kept = substring_dedup.without_passages(docs.select(COLUMNS), spans)
+    return (
+        kept.where(F.trim("text", F.lit(" \t\n\v\f\r")) != "")
+        .withColumn("n_chars", F.length("text").cast("long"))
+        .select(COLUMNS)
+    )
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Drop documents with a passage of the benchmark."""
+    found = decontamination.contaminated(docs, table(spark, folder, "benchmark"))
+    keys = found.select("text_key").distinct()
+    return docs.join(keys, F.xxhash64(docs["text"]) == keys["text_key"], "left_anti").select(COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Pieces of the remaining documents in full sequences."""
+    return packing.pack(docs, TOKENIZER, END_ID)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", identify_language),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeated_passages),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
 ]
 # Language scores and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
