@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from assayframe.sources.scratch import materialize
 
 CALL, RESULT = "call", "result"
+MESSAGE = ["conv_id", "turn", "role", "text", "kind", "call_id", "name", "arguments", "after"]
 # Names of JSON Schema types and how Spark calls the type of such a value.
 KINDS = {
     "string": "^STRING$",
@@ -152,6 +153,7 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     call or result without an id is not linked.
     """
     keys = ["conv_id", "call_id"]
+    messages = messages.select(*MESSAGE)
     calls = messages.where((F.col("kind") == CALL) & F.col("call_id").isNotNull() & F.col("conv_id").isNotNull())
     first = calls.groupBy(*keys).agg(
         F.min("turn").alias("call_turn"), F.min_by("name", "turn").alias("call_name")
@@ -160,7 +162,7 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     first = materialize(first.join(answered, keys, "left"), "chat-calls")
     used = calls.select(
         "conv_id",
-        F.concat(F.lit("result:"), F.explode("after")).alias("before"),
+        F.explode(F.transform("after", lambda c: F.concat(F.lit("result:"), c))).alias("before"),
         F.concat(F.lit("call:"), "call_id").alias("after"),
     )
     own = first.where("answered").select(
