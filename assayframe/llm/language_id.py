@@ -167,25 +167,24 @@ def train(labelled: DataFrame) -> LanguageModel:
 
 
 class Scorer:
-    """Row of log frequencies per word, remembered for the words seen lately."""
+    """Row of log frequencies per word: of the model's words, and as many more as are
+    remembered of the unseen ones met lately."""
 
-    REMEMBERED = 100_000
+    REMEMBERED = 400_000
 
     def __init__(self, model: LanguageModel):
         self.model = model
+        unseen = np.empty((self.REMEMBERED, max(1, len(model.languages))))
+        self.logs = np.vstack([model.word_logs.reshape(-1, unseen.shape[1]), unseen])
         self._forget()
 
     def _forget(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.logs = np.empty((self.REMEMBERED, max(1, len(self.model.languages))))
+        self.rows = dict(self.model.words)
 
-    def word_logs(self, word: str) -> np.ndarray:
-        """The word's own log frequencies, else the mean of those of its longest
-        n-grams of which any is known, else no evidence."""
+    def unseen_logs(self, word: str) -> np.ndarray:
+        """The mean log frequencies of the word's longest n-grams of which any is
+        known, else no evidence."""
         model = self.model
-        known = model.words.get(word)
-        if known is not None:
-            return model.word_logs[known]
         for size in range(LONGEST_GRAM, 0, -1):
             found = [g for g in map(model.grams.get, grams_of(word, size)) if g is not None]
             if found:
@@ -196,7 +195,7 @@ class Scorer:
         at = self.rows.get(word)
         if at is None:
             at = self.rows[word] = len(self.rows)
-            self.logs[at] = self.word_logs(word)
+            self.logs[at] = self.unseen_logs(word)
         return at
 
     def __call__(self, text: str | None) -> tuple[str, float]:
@@ -207,7 +206,7 @@ class Scorer:
         # In slices, so that a very long text doesn't outgrow the memory.
         for start in range(0, len(words), self.REMEMBERED // 2):
             part = words[start : start + self.REMEMBERED // 2]
-            if len(self.rows) + len(part) > self.REMEMBERED:
+            if len(self.rows) + len(part) > len(self.logs):
                 self._forget()
             sums += self.logs[list(map(self.row, part))].sum(axis=0)
         best = int(np.argmax(sums))

@@ -37,7 +37,7 @@ def test_backoff_by_hand(spark):
         if found:
             break
     expected = [sum(model.gram_logs[g][i] for g in found) / len(found) for i in range(2)]
-    got = Scorer(model).word_logs(word)
+    got = Scorer(model).unseen_logs(word)
     assert all(math.isclose(a, b) for a, b in zip(expected, got))
 
 
