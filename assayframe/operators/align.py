@@ -168,11 +168,26 @@ def infer_orientation(
     and letters. If exactly one axis does, it decides; otherwise the matrix is
     transposed when it has more columns than rows.
     """
-    seen = cells.agg(
-        F.min_by(F.col(row_label).cast("string"), row_order).alias("_row"),
-        F.min_by(F.col(column_label).cast("string"), column_order).alias("_column"),
-        F.countDistinct(row_label).alias("n_rows"),
-        F.countDistinct(column_label).alias("n_cols"),
+    # Rows and columns are told apart by their ordinals: labels may repeat. Each
+    # axis is reduced to its members first.
+    axes = None
+    for axis, label, order in ((0, row_label, row_order), (1, column_label, column_order)):
+        members = cells.groupBy(F.col(order).cast("string").alias("_ord")).agg(
+            F.min(order).alias("_at"), F.min(F.col(label).cast("string")).alias("_label")
+        )
+        found = members.agg(
+            F.min_by("_label", "_at").alias("_label"), F.count(F.lit(1)).alias("_n")
+        ).withColumn("_axis", F.lit(axis))
+        axes = found if axes is None else axes.unionByName(found)
+
+    def of(axis: int, name: str):
+        return F.max(F.when(F.col("_axis") == axis, F.col(name)))
+
+    seen = axes.agg(
+        of(0, "_label").alias("_row"),
+        of(1, "_label").alias("_column"),
+        of(0, "_n").alias("n_rows"),
+        of(1, "_n").alias("n_cols"),
     )
 
     def looks_like_samples(axis: str | None, label: str):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,12 +57,15 @@ def zscore(
     """Add ``z``: each value against its feature over all cohorts jointly.
 
     Only the per-feature moments move; the cells are not shuffled while those
-    fit the broadcast bounds.
+    fit the broadcast bounds. A missing id is a key like any other.
     """
     stats = feature_moments(cells, feature) if moments is None else moments
-    side = checked_broadcast(stats.select(*feature, "mean", "std"))
+    keyed = stats.select(*[F.col(c).alias(f"_{c}") for c in feature], "mean", "std")
+    side = checked_broadcast(keyed)
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in feature))
     z = safe_divide(F.col("value") - F.col("mean"), F.col("std"))
-    return cells.join(side, list(feature)).withColumn("z", z).drop("mean", "std")
+    joined = cells.join(side, same).withColumn("z", z)
+    return joined.drop("mean", "std", *[f"_{c}" for c in feature])
 
 
 def value_blocks(scored: DataFrame) -> DataFrame:

@@ -14,53 +14,60 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.operators.search import DEEPEST_TREE
+
 # Fixed values of the baseline.
 RIDGE_ALPHA = 1.0
 
 MAX_BINS = 128
 NODE_MEMORY_MB = 512
-MAX_DEPTH = 30  # the deepest tree Spark grows
-NORMAL_SOLVER_FEATURES = 4096
+# One solver at every width, run until the objective no longer changes.
+SOLVER_STEPS, SOLVER_TOLERANCE = 2000, 1e-14
+
+
+# Parameters that a forest applies.
+EFFECTIVE = {"n_estimators", "max_depth", "min_samples_leaf", "max_features", "bootstrap"}
 
 
 def with_vector(design: DataFrame, source: str) -> DataFrame:
     return design.withColumn("vector", array_to_vector(F.col(source)))
 
 
-def fit_ridge(train: DataFrame, width: int, alpha: float = RIDGE_ALPHA) -> LinearRegressionModel:
+def fit_ridge(train: DataFrame, alpha: float = RIDGE_ALPHA) -> LinearRegressionModel:
     """Ridge on the standardised features, intercept not penalised.
 
-    The solvers penalise the mean squared error of a label divided by its
-    deviation, so the penalty is ``alpha * deviation / n`` with the deviation
-    each of them uses.
+    The solver penalises the mean squared error of a label divided by its sample
+    deviation, so the penalty is ``alpha * deviation / n``. Fails if the solver
+    stops before it has converged.
     """
-    normal = width <= NORMAL_SOLVER_FEATURES
-    deviation = F.stddev_pop("y") if normal else F.stddev_samp("y")
-    n, spread = train.agg(F.count("y"), deviation).first()
+    n, spread = train.agg(F.count("y"), F.stddev_samp("y")).first()
     solver = LinearRegression(
         featuresCol="vector",
         labelCol="y",
-        solver="normal" if normal else "l-bfgs",
+        solver="l-bfgs",
         elasticNetParam=0.0,
         standardization=False,
+        maxIter=SOLVER_STEPS,
+        tol=SOLVER_TOLERANCE,
         regParam=alpha * (spread or 0.0) / n,
     )
-    return solver.fit(with_vector(train, "scaled"))
+    model = solver.fit(with_vector(train, "scaled"))
+    if model.hasSummary and model.summary.totalIterations >= SOLVER_STEPS:
+        raise RuntimeError(f"ridge did not converge in {SOLVER_STEPS} steps")
+    return model
 
 
 def forest(params: Mapping, seed: int, max_bins: int = MAX_BINS) -> RandomForestRegressor:
-    """Forest for one parameter draw.
-
-    Unlimited depth becomes the deepest Spark allows. The least number of rows
-    to split a node has no counterpart and is kept in the record only.
-    """
+    """Forest for one parameter draw; a parameter it can't apply is an error."""
     drawn = {name.removeprefix("model__"): value for name, value in params.items()}
-    depth = drawn.get("max_depth")
+    unknown = set(drawn) - EFFECTIVE
+    if unknown:
+        raise ValueError(f"no effect in Spark: {sorted(unknown)}")
     return RandomForestRegressor(
         featuresCol="vector",
         labelCol="y",
         numTrees=drawn.get("n_estimators", 500),
-        maxDepth=min(depth or MAX_DEPTH, MAX_DEPTH),
+        maxDepth=drawn.get("max_depth", DEEPEST_TREE),
         minInstancesPerNode=drawn.get("min_samples_leaf", 1),
         featureSubsetStrategy=str(drawn.get("max_features", "all")),
         bootstrap=drawn.get("bootstrap", True),
@@ -73,8 +80,10 @@ def forest(params: Mapping, seed: int, max_bins: int = MAX_BINS) -> RandomForest
     )
 
 
-def fit_forest(train: DataFrame, params: Mapping, seed: int) -> RandomForestRegressionModel:
-    return forest(params, seed).fit(with_vector(train, "features"))
+def fit_forest(
+    train: DataFrame, params: Mapping, seed: int, max_bins: int = MAX_BINS
+) -> RandomForestRegressionModel:
+    return forest(params, seed, max_bins).fit(with_vector(train, "features"))
 
 
 def predict(model, rows: DataFrame, source: str) -> DataFrame:

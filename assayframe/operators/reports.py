@@ -46,6 +46,12 @@ def prediction_range(
     )
 
 
+def mean_scores(by_fold: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Unweighted mean of the fold scores; without one of them there is no mean."""
+    complete = F.count("r2") == F.count(F.lit(1))
+    return by_fold.groupBy(*keys).agg(F.when(complete, F.avg("r2")).alias("mean_r2"))
+
+
 def cv_scores(
     predictions: DataFrame,
     keys: Sequence[str] = ("target",),
@@ -55,7 +61,7 @@ def cv_scores(
     """Unweighted mean of fold R² per candidate; the best one per key, the first
     on ties, is marked."""
     by_fold = regression_metrics(predictions, [*keys, candidate, fold])
-    scores = by_fold.groupBy(*keys, candidate).agg(F.avg("r2").alias("mean_r2"))
+    scores = mean_scores(by_fold, [*keys, candidate])
     order = [F.col("mean_r2").desc_nulls_last(), F.col(candidate)]
     window = Window.partitionBy(*keys).orderBy(*order)
     return scores.withColumn("is_best", F.row_number().over(window) == 1)

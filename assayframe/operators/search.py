@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from assayframe.operators.ranking import seeded_digest, top_per_group
 from assayframe.operators.split import SEED
 
-# Fixed values of the search.
+DEEPEST_TREE = 30  # of those Spark grows
+# Fixed values of the search, as far as they take effect here: no depth at all and
+# a depth of 40 are both the deepest tree, and the least number of rows to split a
+# node has no counterpart.
 GRID = {
     "model__n_estimators": [300, 500, 800, 1200],
-    "model__max_depth": [None, 5, 10, 20, 40],
-    "model__min_samples_split": [2, 5, 10, 20],
+    "model__max_depth": [DEEPEST_TREE, 5, 10, 20],
     "model__min_samples_leaf": [1, 2, 4, 8],
     "model__max_features": ["sqrt", "log2", 0.2, 0.5, 0.8],
     "model__bootstrap": [True, False],

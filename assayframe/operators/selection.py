@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.functions import f_statistic, safe_divide
+from assayframe.operators.joins import checked_broadcast
 from assayframe.operators.quantiles import exact_median
 from assayframe.operators.ranking import top_per_group
 
@@ -115,7 +116,8 @@ def pending_runs(targets: DataFrame, ks: Sequence[int], done: DataFrame) -> Data
 
 
 def scale_cells(observed: DataFrame, statistics: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Standardise observed cells with the statistics of their fit."""
-    side = statistics.select(*keys, "feature", "mean", "scale")
+    """Standardise observed cells with the statistics of their fit. The cells stay
+    where they are while the statistics fit the broadcast bounds."""
+    side = checked_broadcast(statistics.select(*keys, "feature", "mean", "scale"))
     z = (F.col("x") - F.col("mean")) / F.col("scale")
     return observed.join(side, [*keys, "feature"]).withColumn("z", z).drop("mean", "scale")

@@ -49,7 +49,7 @@ def build_tables(
     cells = spark.read.parquet(cells_path)
     genes_path, rna_path = f"{out}/rna_genes", f"{out}/all_rna"
     # The genes are read twice, for the moments and for the scores.
-    gene_cells(cells).write.partitionBy("cohort").parquet(genes_path)
+    gene_cells(cells).write.mode("overwrite").partitionBy("cohort").parquet(genes_path)
     genes = spark.read.parquet(genes_path)
     write_cells(combine.zscore(genes), rna_path, ["cohort"])
     protein_path = f"{out}/all_protein"

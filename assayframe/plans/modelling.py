@@ -10,6 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ SCORES = "target string, draw long, fold int, r2 double"
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of a run. ``k_best=None`` turns feature selection off."""
+    """Parameters of a run. ``k_best=None`` turns feature selection off;
+    ``max_bins`` is the number of thresholds a forest tries per feature."""
 
     k_best: int | None = DEFAULT_K
     test_share: float = split.TEST_SHARE
@@ -35,6 +37,7 @@ class Settings:
     folds: int = split.FOLDS
     n_iter: int = search.DRAWS
     grid: Mapping[str, Sequence] = field(default_factory=lambda: search.GRID)
+    max_bins: int = models.MAX_BINS
     parallelism: int = 8
     save_models: str | None = None
 
@@ -76,11 +79,17 @@ class RunLog:
 
 
 def prepare(
-    rna: DataFrame, protein: DataFrame, targets: Sequence[str], settings: Settings = Settings()
+    rna: DataFrame,
+    protein: DataFrame,
+    targets: Sequence[str],
+    settings: Settings = Settings(),
+    features: DataFrame | None = None,
 ) -> Prepared:
     """Align, split, rank and assemble, for all targets in the same jobs.
 
     Both matrices are read several times and should be stored tables.
+    ``features`` lists the features of the RNA table, so that those without any
+    value count as missing.
     """
     spark = rna.sparkSession
     if align.common_samples(rna, protein).isEmpty():
@@ -88,7 +97,7 @@ def prepare(
     resolved = materialize(
         align.resolve_targets(align.requested_targets(spark, targets), protein), "resolved"
     )
-    kept = align.complete_samples(rna, protein, settings.max_missing)
+    kept = align.complete_samples(rna, protein, settings.max_missing, features)
     # The split numbers the labels and counts them, so it reads them twice.
     labels = materialize(align.target_values(resolved, protein, kept), "labels")
     placed = split.train_test_split(
@@ -128,7 +137,10 @@ def fit_target(
         draw, fold = task
         part = own.filter(F.col("fit") == fold)
         model = models.fit_forest(
-            part.filter("role = 'train'"), json.loads(draw.params), settings.seed
+            part.filter("role = 'train'"),
+            json.loads(draw.params),
+            settings.seed,
+            settings.max_bins,
         )
         predicted = models.predict(model, part.filter("role = 'valid'"), "features")
         found = reports.regression_metrics(predicted).first()
@@ -140,8 +152,8 @@ def fit_target(
     params = next(json.loads(draw.params) for draw in draws if draw.draw == best)
     # Fewer columns than asked for may be there; the rows know.
     width = train.select(F.size("features")).first()[0]
-    ridge = models.fit_ridge(train, width)
-    rf = models.fit_forest(train, params, settings.seed)
+    ridge = models.fit_ridge(train)
+    rf = models.fit_forest(train, params, settings.seed, settings.max_bins)
     predictions = (
         models.predict(ridge, test, "scaled").withColumn("model", F.lit("ridge"))
         .unionByName(models.predict(rf, test, "features").withColumn("model", F.lit("forest")))
@@ -159,7 +171,7 @@ def fit_target(
 
 def best_draws(scores: DataFrame) -> DataFrame:
     """Mean fold score per draw, the best draw of each target marked."""
-    means = scores.groupBy("target", "draw").agg(F.avg("r2").alias("mean_r2"))
+    means = reports.mean_scores(scores, ["target", "draw"])
     order = [F.col("mean_r2").desc_nulls_last(), "draw"]
     return top_per_group(means, ["target"], order, 1).drop("rank")
 
@@ -262,12 +274,13 @@ def run_targets(
     targets: Sequence[str],
     settings: Settings = Settings(),
     out: str | None = None,
+    features: DataFrame | None = None,
 ) -> Result:
     """Predict each target protein from RNA features: ridge baseline and a
     random forest found by random search."""
     log = RunLog(rna.sparkSession, f"{out}/progress" if out else None)
     log.note("init")
-    prepared = prepare(rna, protein, targets, settings)
+    prepared = prepare(rna, protein, targets, settings, features)
     log.note("loaded_inputs")
     result = fit_all(prepared, settings, log)
     if out:
@@ -276,6 +289,14 @@ def run_targets(
     return result
 
 
+def _finished(spark: SparkSession, metrics: str) -> bool:
+    """Whether a run left its metrics."""
+    try:
+        return not spark.read.text(metrics).isEmpty()
+    except AnalysisException:
+        return False
+
+
 def run_sweep(
     rna: DataFrame,
     protein: DataFrame,
@@ -284,8 +305,9 @@ def run_sweep(
     settings: Settings = Settings(),
     out: str | None = None,
     done: DataFrame | None = None,
+    features: DataFrame | None = None,
 ) -> dict[int, Result]:
-    """Run for every k that has no metrics yet.
+    """Run for every k that has no metrics yet: below ``out``, or by ``done``.
 
     Matrices are aligned and features ranked once, to the largest k; smaller
     selections are prefixes. The first failure ends the sweep, finished runs
@@ -300,10 +322,12 @@ def run_sweep(
         pending = sorted(
             row.k for row in selection.pending_runs(asked, ks, done).select("k").distinct().collect()
         )
+    if out:
+        pending = [k for k in pending if not _finished(spark, f"{out}/outputs_k{k}/metrics.csv")]
     if not pending:
         return {}
     largest = max(pending) if min(pending) >= 2 else None
-    prepared = prepare(rna, protein, targets, replace(settings, k_best=largest))
+    prepared = prepare(rna, protein, targets, replace(settings, k_best=largest), features)
     results = {}
     for k in pending:
         folder = f"{out}/outputs_k{k}" if out else None

@@ -49,5 +49,5 @@ def quality_report(
     if out:
         write_summary(report.tables, f"{out}/qc_tables.json")
         write_summary(report.overlap, f"{out}/qc_overlap.json")
-        report.histogram.write.parquet(f"{out}/qc_histogram")
+        report.histogram.write.mode("overwrite").parquet(f"{out}/qc_histogram")
     return report

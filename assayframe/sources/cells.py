@@ -31,17 +31,19 @@ def conform(cells: DataFrame) -> DataFrame:
 def write_cells(cells: DataFrame, path: str, partition_by: Sequence[str] = ("assay", "cohort")) -> None:
     """Write cells partitioned by table and clustered by feature.
 
-    Range partitioning splits a large cohort over many files and gives each file
-    a narrow span of features, so feature filters skip row groups. Measurements
-    are stored in single precision.
+    Rebalancing splits a large cohort over many files without sampling the cells
+    first, which would read their source twice; in a file they are in order, so
+    feature filters skip row groups. Measurements are stored in single precision.
+    An earlier table at ``path`` is replaced.
     """
     order = [*partition_by, "feature_name", "sample_id"]
     single = {name: F.col(name).cast("float") for name in ("value", "z") if name in cells.columns}
     (
         cells.withColumns(single)
-        .repartitionByRange(*order)
+        .hint("rebalance", *partition_by)
         .sortWithinPartitions(*order)
-        .write.partitionBy(*partition_by)
+        .write.mode("overwrite")
+        .partitionBy(*partition_by)
         .parquet(path)
     )
 
@@ -74,12 +76,12 @@ def cohort_tables(spark: SparkSession, raw_root: str) -> DataFrame:
 
 def cohort_inventory(tables: DataFrame, first: str, second: str, only: str = "") -> DataFrame:
     """Cohorts, lowercased, and which assays they have; ``only`` is a comma list
-    of cohorts to keep."""
+    of cohorts to keep, in any case."""
     named = tables.filter(F.coalesce("cohort", F.lit("")) != "").withColumn(
         "cohort", F.lower("cohort")
     )
     if only.strip(" ,"):
-        named = named.filter(F.array_contains(split_list(F.lit(only)), F.col("cohort")))
+        named = named.filter(F.array_contains(split_list(F.lit(only.lower())), F.col("cohort")))
     return named.groupBy("cohort").agg(
         F.coalesce(F.max(F.col("assay") == first), F.lit(False)).alias("has_rna"),
         F.coalesce(F.max(F.col("assay") == second), F.lit(False)).alias("has_protein"),

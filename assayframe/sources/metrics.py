@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,8 @@ def metrics_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """``(path, run_dir, kind)`` of the metrics files below run folders.
 
     ``roots`` are absolute folders or glob patterns; the matched folder is cut
-    out of each path by its depth and names the run.
+    out of each path by its depth and names the run. Roots that match nothing are
+    passed over.
     """
     if not roots:
         raise ValueError("no run folders given")
@@ -33,17 +35,23 @@ def metrics_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     for root in roots:
         bare = root.rstrip("/")
         depth = len(_without_scheme(bare).split("/"))
-        listed = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.{csv,CSV,json,JSON,Csv,Json}")
-            .load(bare)
-            .select("path")
-        )
+        try:
+            listed = (
+                spark.read.format("binaryFile")
+                .option("recursiveFileLookup", "true")
+                .load(bare)
+                .select("path")
+            )
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
         tail = F.regexp_replace("path", _SCHEME, "")
         run_dir = F.substring_index(F.substring_index(tail, "/", depth), "/", -1)
         named = listed.select("path", run_dir.alias("run_dir"))
         found = named if found is None else found.unionByName(named)
+    if found is None:
+        raise RuntimeError("no metrics files found")
     kind = F.when(F.col("path").rlike(METRICS_CSV), "csv").when(
         F.col("path").rlike(METRICS_JSON), "json"
     )

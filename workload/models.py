@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from assayframe.operators import design, models, ranking, selection, split
+from assayframe.operators import design, models, selection, split
 from assayframe.plans import modelling as plan
 from assayframe.sources.scratch import materialize
 from workload import modelling, views
@@ -15,7 +16,6 @@ from workload.tables import rounded
 SMALL_GRID = {
     "model__n_estimators": [5, 10],
     "model__max_depth": [3, 5],
-    "model__min_samples_split": [2, 5],
     "model__min_samples_leaf": [1, 2],
     "model__max_features": ["sqrt", 0.5],
     "model__bootstrap": [True, False],
@@ -60,7 +60,7 @@ def fitted_ridges(table):
     found = {}
     for target in [r.target for r in table.select("target").distinct().collect()]:
         train = table.filter((F.col("target") == target) & (F.col("role") == "train"))
-        found[target] = models.fit_ridge(train, 2)
+        found[target] = models.fit_ridge(train)
     return found
 
 
@@ -199,9 +199,9 @@ def rf_fit(spark, folder):
     params = {"model__n_estimators": 10, "model__max_depth": 5, "model__max_features": "sqrt"}
     model = models.fit_forest(rows, params, split.SEED)
     names = cells.select("target", "feature").distinct()
-    return models.importances(
-        model, ranking.top_per_group(names, ["target"], ["feature"], 4096)
-    )
+    # The vector holds every feature, in the order of their names.
+    order = Window.partitionBy("target").orderBy("feature")
+    return models.importances(model, names.withColumn("rank", F.row_number().over(order)))
 
 
 @query("rf_search")

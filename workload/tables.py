@@ -43,18 +43,27 @@ def collapse_transcripts(spark, folder):
     )
 
 
-ZSCORE_SQL = """
+def unnamed(genes):
+    """Genes some of which have no database id."""
+    return genes.withColumn("database_id", F.nullif("database_id", F.lit("PROMO")))
+
+
+UNNAMED_SQL = """SELECT cohort, sample_id, occ, feature_name,
+                        nullif(database_id, 'PROMO') AS database_id, value FROM rna_genes"""
+ZSCORE_SQL = f"""
+    WITH g AS ({UNNAMED_SQL})
     SELECT g.cohort, g.sample_id, g.feature_name, g.database_id, round(value, 6) AS value,
            round((value - mean) / std, 6) AS z
-    FROM rna_genes g JOIN (
+    FROM g JOIN (
         SELECT feature_name, database_id, avg(value) AS mean,
                nullif(stddev_samp(value), 0) AS std
-        FROM rna_genes GROUP BY ALL) s USING (feature_name, database_id)"""
+        FROM g GROUP BY ALL) s
+      ON g.feature_name = s.feature_name AND g.database_id IS NOT DISTINCT FROM s.database_id"""
 
 
 @query("zscore", ZSCORE_SQL)
 def zscore(spark, folder):
-    genes = materialize(views.rna_genes(spark, folder), "genes")
+    genes = materialize(unnamed(views.rna_genes(spark, folder)), "genes")
     return combine.zscore(genes).select(
         "cohort", "sample_id", "feature_name", "database_id", rounded("value"), rounded("z")
     )
@@ -62,19 +71,20 @@ def zscore(spark, folder):
 
 @query(
     "combine_cohorts",
-    """WITH moments AS (
+    f"""WITH g AS ({UNNAMED_SQL}), moments AS (
            SELECT feature_name, database_id, nullif(stddev_samp(value), 0) AS std
-           FROM rna_genes GROUP BY ALL)
+           FROM g GROUP BY ALL)
        SELECT cohort, value_type, count(DISTINCT sample_id) AS n_rows,
               count(v) AS n_values
-       FROM (SELECT cohort, sample_id, 'raw' AS value_type, value AS v FROM rna_genes
+       FROM (SELECT cohort, sample_id, 'raw' AS value_type, value AS v FROM g
              UNION ALL
              SELECT cohort, sample_id, 'z', value / std
-             FROM rna_genes JOIN moments USING (feature_name, database_id))
+             FROM g JOIN moments m ON g.feature_name = m.feature_name
+                                  AND g.database_id IS NOT DISTINCT FROM m.database_id)
        GROUP BY ALL""",
 )
 def combine_cohorts(spark, folder):
-    genes = materialize(views.rna_genes(spark, folder), "genes", ["cohort"])
+    genes = materialize(unnamed(views.rna_genes(spark, folder)), "genes", ["cohort"])
     names = [row.r_name for row in views.table(spark, folder, "region").collect()]
     tables = {name: genes.filter(F.col("cohort") == name).drop("cohort") for name in names}
     blocks = combine.value_blocks(combine.zscore(combine.combine_cohorts(tables)))
