@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from assayframe.functions import clean_sample_id
 from assayframe.operators import combine
 from assayframe.schema import PROTEIN, RNA
-from assayframe.sources.cells import RAW_FILE, cohort_tables, conform, write_cells
+from assayframe.sources.cells import (
+    RAW_FILE,
+    cohort_tables,
+    conform,
+    with_table_rows,
+    write_cells,
+)
 from assayframe.sources.matrices import read_wide, with_header
 from assayframe.sources.sinks import write_summary
 
@@ -16,7 +22,8 @@ from assayframe.sources.sinks import write_summary
 def raw_cells(spark: SparkSession, raw_root: str, index: str | None = None) -> DataFrame:
     """Cells of all raw cohort files, tagged with cohort and assay by their
     path."""
-    wide = read_wide(spark, cohort_tables(spark, raw_root), index)
+    files = cohort_tables(spark, raw_root)
+    wide = with_table_rows(read_wide(spark, files, index), files)
     tagged = wide.withColumns(
         {
             "cohort": F.regexp_extract("path", RAW_FILE, 1),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayframe.operators import quality
 from assayframe.schema import PROTEIN, RNA
-from assayframe.sources.cells import RAW_FILE, cohort_tables
+from assayframe.sources.cells import RAW_FILE, cohort_tables, with_table_rows
 from assayframe.sources.matrices import read_wide, wide_features, wide_samples
 from assayframe.sources.scratch import materialize
 from assayframe.sources.sinks import write_summary
@@ -37,10 +37,13 @@ def quality_report(
     """Missingness, sample overlap and value histograms of all cohorts that have
     both assays. Columns are told apart by their full label."""
     found = cohort_tables(spark, raw_root)
-    paired = found.join(quality.with_both_assays(found), "cohort", "left_semi").select("path")
-    cells = materialize(_tagged(read_wide(spark, paired, index)), "cells", ["assay"])
-    samples = materialize(_tagged(wide_samples(paired, index)), "samples")
-    features = materialize(_tagged(wide_features(paired, index)), "features")
+    paired = found.join(quality.with_both_assays(found), "cohort", "left_semi")
+    cells = with_table_rows(read_wide(spark, paired, index), paired)
+    cells = materialize(_tagged(cells), "cells", ["assay"])
+    rows = with_table_rows(wide_samples(paired, index), paired)
+    samples = materialize(_tagged(rows), "samples")
+    # Part files repeat the labels of their table.
+    features = materialize(_tagged(wide_features(paired, index)).distinct(), "features")
     report = QualityReport(
         quality.table_quality(cells, samples, features, ["label"]),
         quality.sample_overlap(samples, RNA, PROTEIN),

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayframe.functions import null_if_nan, split_list
+from assayframe.operators.joins import checked_broadcast
 from assayframe.schema import CELLS
 
-# Fixed layout of a raw folder: one folder per cohort, one file per assay.
-RAW_FILE = r"/([^/]+)/(transcriptomics|proteomics)\.parquet$"
+# Fixed layout of a raw folder: one folder per cohort, and per assay one file or a
+# folder of that name with part files.
+RAW_FILE = r"/([^/]+)/(transcriptomics|proteomics)\.parquet(?:/[^/]+\.parquet)?$"
+# Rows of a part file are numbered from its place among the files times this.
+ROWS_PER_FILE = 1 << 40
 
 
 def conform(cells: DataFrame) -> DataFrame:
@@ -74,6 +78,15 @@ def cohort_tables(spark: SparkSession, raw_root: str) -> DataFrame:
     return found
 
 
+def with_table_rows(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Make ``occ``, the row number in a file, the one in its table: part files follow
+    each other by name. ``files`` are those of :func:`cohort_tables`."""
+    order = Window.partitionBy("cohort", "assay").orderBy("path")
+    places = files.select("path", (F.row_number().over(order) - 1).cast("long").alias("_file"))
+    placed = rows.join(checked_broadcast(places), "path")
+    return placed.withColumn("occ", F.col("occ") + F.col("_file") * ROWS_PER_FILE).drop("_file")
+
+
 def cohort_inventory(tables: DataFrame, first: str, second: str, only: str = "") -> DataFrame:
     """Cohorts, lowercased, and which assays they have; ``only`` is a comma list
     of cohorts to keep, in any case."""

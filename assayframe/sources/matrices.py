@@ -151,14 +151,21 @@ def with_header(cells: DataFrame, label: str = "label") -> DataFrame:
 
 
 def _open(path: str):
+    """Open a listed path, which is not percent-encoded."""
+    from urllib.parse import quote
+
     import pyarrow.fs
     import pyarrow.parquet
 
-    filesystem, inner = pyarrow.fs.FileSystem.from_uri(
-        path.replace("file:/", "file:///", 1)
-        if path.startswith("file:/") and not path.startswith("file://")
-        else path
-    )
+    scheme, colon, rest = path.partition(":")
+    if not colon or path.startswith("/"):
+        filesystem, inner = pyarrow.fs.LocalFileSystem(), path
+    elif scheme == "file":
+        filesystem, inner = pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        # Spark's name of a store and that of its own client.
+        store = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+        filesystem, inner = pyarrow.fs.FileSystem.from_uri(f"{store}:{quote(rest, safe='/:@')}")
     return pyarrow.parquet.ParquetFile(filesystem.open_input_file(inner))
 
 

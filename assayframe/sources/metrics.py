@@ -67,6 +67,13 @@ def _without_scheme(path: str) -> str:
     return bare
 
 
+def _read_path() -> Column:
+    """Path of the file a row was read from, as it is listed: the column holds it
+    percent-encoded, with a plus sign as it is."""
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(encoded)
+
+
 def normalize_metrics(rows: DataFrame) -> DataFrame:
     """Common form of raw metrics rows: ``(protein, iteration, r2, mae, rmse, k)``.
 
@@ -95,7 +102,7 @@ def _csv_rows(spark: SparkSession, files: DataFrame) -> list[DataFrame]:
     if not paths:
         return []
     lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
+        _read_path().alias("path"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_line"),
         "value",
@@ -126,7 +133,7 @@ def _csv_rows(spark: SparkSession, files: DataFrame) -> list[DataFrame]:
             return F.col(f"_c{names.index(name)}") if known else F.lit(None).cast("string")
 
         rows = read.select(
-            F.col("_metadata.file_path").alias("path"),
+            _read_path().alias("path"),
             F.col("_metadata.file_block_start").alias("_start"),
             F.monotonically_increasing_id().alias("_line"),
             field("target").alias("target"),
@@ -144,7 +151,7 @@ def _json_rows(spark: SparkSession, files: DataFrame) -> list[DataFrame]:
     if not paths:
         return []
     documents = spark.read.option("wholetext", "true").text(paths).select(
-        F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("_doc")
+        _read_path().alias("path"), F.try_parse_json("value").alias("_doc")
     )
     results = F.try_variant_get("_doc", "$.results", "array<variant>")
     top = F.try_variant_get("_doc", "$", "array<variant>")

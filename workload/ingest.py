@@ -14,6 +14,7 @@ from assayframe.functions import (
     split_list,
 )
 from assayframe.operators import combine, search
+from assayframe.plans import combining
 from assayframe.schema import PROTEIN, RNA
 from assayframe.sources import catalog, cells, matrices, metrics, sinks
 from assayframe.sources.scratch import materialize, scratch_path
@@ -455,3 +456,29 @@ def _grid_sql() -> str:
 def param_draws(spark, folder):
     targets = views.protein_matrix(spark, folder).select(F.col("feature").alias("target"))
     return search.search_plan(targets.distinct(), search.parameter_draws(spark))
+
+
+@query(
+    "raw_tables",
+    """SELECT cohort, 'transcriptomics' AS assay, count(*) AS n_cells,
+              count(DISTINCT sample_id) AS n_samples, count(DISTINCT sample_id) AS n_rows,
+              count(DISTINCT (feature_name, database_id)) AS n_features, round(sum(value), 3) AS total
+       FROM rna_genes GROUP BY cohort""",
+)
+def raw_tables(spark, folder):
+    """Wide raw tables, a folder of part files for each cohort, found and read back."""
+    root = scratch_path(spark, "raw files")
+    genes = materialize(views.rna_genes(spark, folder), "genes", ["cohort"])
+    label = F.concat(F.lit("('"), "feature_name", F.lit("', '"), "database_id", F.lit("')"))
+    labelled = genes.withColumn("label", label)
+    for name in [row.cohort for row in genes.select("cohort").distinct().collect()]:
+        wide = labelled.filter(F.col("cohort") == name).groupBy("sample_id").pivot("label")
+        wide.agg(F.avg("value")).repartition(3).write.parquet(f"{root}/{name}/transcriptomics.parquet")
+    found = combining.raw_cells(spark, root, index="sample_id")
+    return found.groupBy("cohort", "assay").agg(
+        F.count(F.lit(1)).alias("n_cells"),
+        F.countDistinct("sample_id").alias("n_samples"),
+        F.countDistinct("occ").alias("n_rows"),
+        F.countDistinct("feature_name", "database_id").alias("n_features"),
+        F.round(F.sum("value"), 3).alias("total"),
+    )

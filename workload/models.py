@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -56,12 +59,14 @@ RIDGE_SQL = """top AS (SELECT target, feature, rank, n, mean, CASE WHEN std = 0
 
 
 def fitted_ridges(table):
-    """One ridge per target over its training rows."""
-    found = {}
-    for target in [r.target for r in table.select("target").distinct().collect()]:
-        train = table.filter((F.col("target") == target) & (F.col("role") == "train"))
-        found[target] = models.fit_ridge(train)
-    return found
+    """One ridge per target over its training rows, fitted side by side."""
+    targets = [r.target for r in table.select("target").distinct().collect()]
+
+    def fit(target):
+        return models.fit_ridge(table.filter((F.col("target") == target) & (F.col("role") == "train")))
+
+    with ThreadPoolExecutor(8) as pool:
+        return dict(zip(targets, pool.map(inheritable_thread_target(table.sparkSession)(fit), targets)))
 
 
 @query(
