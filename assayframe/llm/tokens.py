@@ -6,11 +6,15 @@ import os
 import sys
 from array import array
 from collections.abc import Iterable
+from unicodedata import is_normalized
 
+import numpy as np
 from tokenizers import Tokenizer
 
 # Words remembered with their ids, in two generations of this many; about 120 MB each.
 REMEMBERED = 400_000
+# Words encoded side by side, and what the vocabulary has at the end of a word.
+JOINED, WORD_END = 200, "</w>"
 
 
 class WordEncoder:
@@ -24,6 +28,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -51,14 +58,42 @@ class WordEncoder:
         for word in new:
             if word[-1:] in (b",", b".") and word[-2:-1].isalpha():
                 heads[word] = word[:-1]
-        asked = list({heads.get(w, w) for w in new} | {w[-1:] for w in heads})
-        unknown = [w for w in asked if w not in self.recent]
-        texts = [w.decode("utf-8") for w in unknown]
-        for word, found in zip(unknown, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        asked = {heads.get(w, w) for w in new} | {w[-1:] for w in heads}
+        plain, others = [], []
+        for word in asked.difference(self.recent):
+            text = word.decode("utf-8")
+            (plain if self._is_piece(text) else others).append((word, text))
+        others += self._learn_pieces([plain[i : i + JOINED] for i in range(0, len(plain), JOINED)])
+        texts = [text for _, text in others]
+        for (word, _), found in zip(others, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             self.recent[word] = self.id_bytes(found.ids)
         for word, head in heads.items():
             self.recent[word] = self.recent[head] + self.recent[word[-1:]]
 
+    @staticmethod
+    def _is_piece(text: str) -> bool:
+        """Whether a word is one run of letters that the tokenizer leaves as it is."""
+        return text.isalpha() and (
+            text.isascii() or (text.lower() == text and is_normalized("NFC", text))
+        )
+
+    def _learn_pieces(self, groups: list[list[tuple[bytes, str]]]) -> list[tuple[bytes, str]]:
+        """Encode runs of letters side by side, which is cheaper, and part their ids
+        behind each that ends a word. Returns the words where that can't be right."""
+        texts = [" ".join([text for _, text in words]) for words in groups]
+        left = []
+        for words, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, dtype=self.dtype)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * ids.itemsize
+            if len(ends) != len(words):
+                left += words
+                continue
+            data, start = ids.tobytes(), 0
+            for (word, _), end in zip(words, ends.tolist()):
+                self.recent[word] = data[start:end]
+                start = end
+        return left
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text; none of a null one."""
         return self.encode_all([text])[0]
