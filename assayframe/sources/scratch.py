@@ -42,6 +42,6 @@ def materialize(
     path = scratch_path(spark, name)
     # One file per partition value where it fits, a large one split.
     laid_out = frame.hint("rebalance", *partition_by) if partition_by else frame
-    laid_out.write.partitionBy(*partition_by).parquet(path)
+    laid_out.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     # The given schema keeps partition columns from being re-typed.
     return spark.read.schema(frame.schema).parquet(path).select(*frame.columns)
