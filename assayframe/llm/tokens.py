@@ -11,8 +11,8 @@ from unicodedata import is_normalized
 import numpy as np
 from tokenizers import Tokenizer
 
-# Words remembered with their ids, in two generations of this many; about 120 MB each.
-REMEMBERED = 400_000
+# Words remembered with their ids, in two generations of this many; about 80 MB each.
+REMEMBERED = 300_000
 # Words encoded side by side, and what the vocabulary has at the end of a word.
 JOINED, WORD_END = 200, "</w>"
 
