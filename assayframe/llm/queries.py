@@ -135,7 +135,49 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, folder, "documents")).drop("key_a")
 
 
-@query("op8_decontamination")
+OP8_SQL = r"""
+WITH items AS (
+    SELECT DISTINCT item_id, words, len(words) AS size FROM (
+        SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'),
+                                    lambda w: w <> '') AS words FROM benchmark)
+    WHERE len(words) >= 5
+), docs AS (
+    SELECT DISTINCT doc_id, words FROM (
+        SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'),
+                                   lambda w: w <> '') AS words FROM documents)
+    WHERE len(words) >= 5
+), item_places AS (
+    SELECT item_id, size, place, array_to_string(words[place + 1:place + 5], ' ') AS shingle
+    FROM (SELECT *, unnest(range(size - 4)) AS place FROM items)
+), doc_places AS (
+    SELECT doc_id, words, place, array_to_string(words[place + 1:place + 5], ' ') AS shingle
+    FROM (SELECT *, unnest(range(len(words) - 4)) AS place FROM docs)
+), laid AS (
+    SELECT DISTINCT doc_id, size, greatest(d.place - i.place, 0) AS first_word,
+        words[greatest(d.place - i.place, 0) + 1:greatest(d.place - i.place, 0) + size] AS win
+    FROM doc_places d JOIN (SELECT DISTINCT size, place, shingle FROM item_places) i USING (shingle)
+), windows AS (
+    SELECT DISTINCT size, win FROM laid WHERE len(win) >= 5
+), window_counts AS (
+    SELECT size, win, array_to_string(win[place + 1:place + 5], ' ') AS shingle, count(*) AS n
+    FROM (SELECT *, unnest(range(len(win) - 4)) AS place FROM windows) GROUP BY ALL
+), item_counts AS (
+    SELECT item_id, size, shingle, count(*) AS n FROM item_places GROUP BY ALL
+), matches AS (
+    SELECT win, size, item_id, sum(least(w.n, i.n))::BIGINT AS shared
+    FROM window_counts w JOIN item_counts i USING (size, shingle) GROUP BY ALL
+), found AS (
+    SELECT *, shared::DOUBLE / (len(win) + size - 8 - shared)::DOUBLE AS similarity FROM matches
+)
+SELECT doc_id, item_id, first_word::INTEGER AS first_word, similarity FROM (
+    SELECT doc_id, item_id, first_word, similarity,
+        row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, first_word) AS place
+    FROM laid JOIN found USING (win, size) WHERE similarity >= 0.8)
+WHERE place = 1
+"""
+
+
+@query("op8_decontamination", OP8_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
