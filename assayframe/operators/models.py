@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from urllib.parse import quote
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (
@@ -11,7 +12,7 @@ from pyspark.ml.regression import (
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.operators.search import DEEPEST_TREE
@@ -105,3 +106,44 @@ def importances(model: RandomForestRegressionModel, names: DataFrame) -> DataFra
         list(enumerate(values, start=1)), "rank long, importance double"
     )
     return names.join(F.broadcast(ranked), "rank").select("target", "feature", "importance")
+
+
+def saved_path(root: str, target: str) -> str:
+    """Folder of a target's model; any name makes one."""
+    return f"{root.rstrip('/')}/rf_{quote(target, safe='')}"
+
+
+def save(model: RandomForestRegressionModel, names: DataFrame, path: str) -> None:
+    """Forest, and the features it takes with their ranks and medians."""
+    model.write().overwrite().save(f"{path}/forest")
+    names.select("feature", "rank", "median").write.mode("overwrite").parquet(f"{path}/features")
+
+
+def apply_saved(spark: SparkSession, path: str, cells: DataFrame) -> DataFrame:
+    """``sample_id, prediction`` of a saved forest for every sample of ``cells``
+    (``sample_id, feature, x``). Features a sample lacks are at their median."""
+    features = spark.read.parquet(f"{path}/features")
+    # As many as were selected; they travel as a literal.
+    columns = F.array(
+        *[
+            F.struct(F.lit(row["rank"]).alias("rank"), F.lit(row["median"]).alias("median"))
+            for row in features.orderBy("rank").collect()
+        ]
+    )
+    packed = (
+        cells.join(F.broadcast(features.select("feature", "rank")), "feature", "left")
+        .groupBy("sample_id")
+        .agg(
+            F.map_from_entries(
+                F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "x")))
+            ).alias("_cells")
+        )
+    )
+    value = F.transform(
+        columns,
+        lambda c: F.coalesce(F.try_element_at("_cells", c["rank"]), c["median"]),
+    )
+    rows = packed.withColumn("features", value)
+    model = RandomForestRegressionModel.load(f"{path}/forest")
+    predicted = model.transform(with_vector(rows, "features"))
+    return predicted.select("sample_id", F.col("prediction").cast("double").alias("prediction"))

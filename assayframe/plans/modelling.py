@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
@@ -63,19 +64,31 @@ class Result:
 
 
 class RunLog:
-    """Append-only progress of a run, in memory or at a path."""
+    """Append-only progress of a run, at a path or nowhere. Events are written a
+    batch at a time, a job and a file for each batch."""
+
+    BATCH = 200
 
     def __init__(self, spark: SparkSession, path: str | None):
         self.spark, self.path = spark, path
-        self.run_id, self.started, self.seq = uuid.uuid4().hex, time.time(), 0
+        self.run_id, self.started = uuid.uuid4().hex, time.time()
+        self.seq, self.waiting, self.lock = 0, [], Lock()
 
     def note(self, stage: str, target: str | None = None, target_started: float | None = None):
         now = time.time()
-        self.seq += 1
-        if self.path:
-            spent = None if target_started is None else round(now - target_started, 1)
-            row = (self.run_id, self.seq, stage, target, round(now - self.started, 1), spent)
-            append_events(self.spark.createDataFrame([row], RUN_EVENTS), self.path)
+        spent = None if target_started is None else round(now - target_started, 1)
+        with self.lock:
+            self.seq += 1
+            self.waiting.append(
+                (self.run_id, self.seq, stage, target, round(now - self.started, 1), spent)
+            )
+            if target is None or len(self.waiting) >= self.BATCH:
+                self._flush()
+
+    def _flush(self):
+        if self.path and self.waiting:
+            append_events(self.spark.createDataFrame(self.waiting, RUN_EVENTS), self.path)
+        self.waiting = []
 
 
 def prepare(
@@ -116,42 +129,35 @@ def prepare(
     return Prepared(resolved, rows, selected, table)
 
 
-def fit_target(
-    prepared: Prepared, target: str, draws: Sequence, settings: Settings, pool: ThreadPoolExecutor,
-    out: str,
-) -> list[tuple]:
-    """Search and refit one target; predictions and importances go to ``out``.
+def _own_rows(prepared: Prepared, target: str, fit: int) -> DataFrame:
+    return prepared.design.filter((F.col("target") == target) & (F.col("fit") == fit))
 
-    Returns the fold scores, one small record per draw and fold. The fits are
-    independent jobs and are submitted from a pool.
-    """
-    spark = prepared.design.sparkSession
-    own = prepared.design.filter(F.col("target") == target)
-    full = own.filter(F.col("fit") == design.FULL_FIT)
-    train, test = full.filter("role = 'train'"), full.filter("role = 'test'")
-    names = prepared.selected.filter(
-        (F.col("target") == target) & (F.col("fit") == design.FULL_FIT)
+
+def fold_score(prepared: Prepared, target: str, draw, fold: int, settings: Settings) -> tuple:
+    """Score of one draw on one fold of a target, as a row of ``SCORES``."""
+    part = _own_rows(prepared, target, fold)
+    model = models.fit_forest(
+        part.filter("role = 'train'"), json.loads(draw.params), settings.seed, settings.max_bins
     )
+    predicted = models.predict(model, part.filter("role = 'valid'"), "features")
+    found = reports.regression_metrics(predicted).first()
+    return (target, draw.draw, fold, None if found is None else found.r2)
 
-    def score(task):
-        draw, fold = task
-        part = own.filter(F.col("fit") == fold)
-        model = models.fit_forest(
-            part.filter("role = 'train'"),
-            json.loads(draw.params),
-            settings.seed,
-            settings.max_bins,
-        )
-        predicted = models.predict(model, part.filter("role = 'valid'"), "features")
-        found = reports.regression_metrics(predicted).first()
-        return (target, draw.draw, fold, None if found is None else found.r2)
-
-    tasks = [(draw, fold) for draw in draws for fold in range(settings.folds)]
-    scores = list(pool.map(inheritable_thread_target(spark)(score), tasks))
-    best = best_draws(spark.createDataFrame(scores, SCORES)).first().draw
-    params = next(json.loads(draw.params) for draw in draws if draw.draw == best)
+
+def refit_target(
+    prepared: Prepared, target: str, params: Mapping, settings: Settings, out: str
+) -> None:
+    """Fit ridge and the best forest on all training rows of a target; predictions
+    of the test rows and importances go to ``out``."""
+    full = _own_rows(prepared, target, design.FULL_FIT)
+    train, test = full.filter("role = 'train'"), full.filter("role = 'test'")
     # Fewer columns than asked for may be there; the rows know.
     width = train.select(F.size("features")).first()[0]
+    names = prepared.selected.filter(
+        (F.col("target") == target)
+        & (F.col("fit") == design.FULL_FIT)
+        & (F.col("rank") <= width)
+    )
     ridge = models.fit_ridge(train)
     rf = models.fit_forest(train, params, settings.seed, settings.max_bins)
     predictions = (
@@ -161,12 +167,9 @@ def fit_target(
     )
     folder = uuid.uuid4().hex
     predictions.write.parquet(f"{out}/predictions/{folder}")
-    models.importances(rf, names.filter(F.col("rank") <= width)).write.parquet(
-        f"{out}/importances/{folder}"
-    )
+    models.importances(rf, names).write.parquet(f"{out}/importances/{folder}")
     if settings.save_models:
-        rf.write().overwrite().save(f"{settings.save_models.rstrip('/')}/rf_{target}")
-    return scores
+        models.save(rf, names, models.saved_path(settings.save_models, target))
 
 
 def best_draws(scores: DataFrame) -> DataFrame:
@@ -193,13 +196,28 @@ def fit_all(
     drawn = search.parameter_draws(spark, settings.n_iter, settings.seed, settings.grid)
     draws = drawn.orderBy("draw").collect()
     targets = [r.target for r in prepared.rows.select("target").distinct().orderBy("target").collect()]
-    scores: list[tuple] = []
-    with ThreadPoolExecutor(settings.parallelism) as pool:
-        for target in targets:
-            started = time.time()
+    tasks = [(t, draw, fold) for t in targets for draw in draws for fold in range(settings.folds)]
+    started: dict[str, float] = {}
+    threaded = inheritable_thread_target(spark)
+
+    def score(task):
+        target, draw, fold = task
+        if target not in started:
+            started[target] = time.time()
             log.note("target_start", target)
-            scores += fit_target(prepared, target, draws, settings, pool, out)
-            log.note("target_done", target, started)
+        return fold_score(prepared, target, draw, fold, settings)
+
+    def refit(target):
+        refit_target(prepared, target, best[target], settings, out)
+        log.note("target_done", target, started[target])
+
+    # The fits of all targets are independent jobs and share one pool.
+    with ThreadPoolExecutor(settings.parallelism) as pool:
+        scores = list(pool.map(threaded(score), tasks))
+        by_draw = {row.draw: json.loads(row.params) for row in draws}
+        chosen = best_draws(spark.createDataFrame(scores, SCORES)).collect()
+        best = {row.target: by_draw[row.draw] for row in chosen}
+        list(pool.map(threaded(refit), targets))
     predictions = _read_parts(spark, f"{out}/predictions", PREDICTIONS, targets)
     importances = _read_parts(spark, f"{out}/importances", IMPORTANCES, targets)
     top = reports.top_features(importances)

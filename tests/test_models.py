@@ -136,10 +136,18 @@ def test_run_importances_and_reports(spark, finished):
     events = spark.read.parquet(f"{out}/progress")
     assert rows(sinks.current_stage(events).select("stage")) == [("done",)]
     assert events.count() == 2 + 2 * 2 + 1
-    from pyspark.ml.regression import RandomForestRegressionModel
 
-    loaded = RandomForestRegressionModel.load(f"{out}/models/rf_KRAS")
-    assert loaded.numFeatures == 4
+
+def test_a_saved_model_predicts_as_before(spark, finished):
+    result, out = finished
+    rna, _ = problem(spark)
+    cells = rna.select("sample_id", "feature", F.col("value").alias("x"))
+    again = models.apply_saved(spark, models.saved_path(f"{out}/models", "KRAS"), cells)
+    before = result.predictions.filter("target = 'KRAS' AND model = 'forest'").withColumnRenamed("prediction", "p")
+    both = before.join(again, "sample_id")
+    assert both.count() == before.count() > 0
+    assert both.filter(F.abs(F.col("p") - F.col("prediction")) > 1e-12).isEmpty()
+    assert models.saved_path("/m/", "A/B c") == "/m/rf_A%2FB%20c"
 
 
 def test_sweep_reuses_one_ranking(spark, tmp_path):
