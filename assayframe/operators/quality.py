@@ -35,18 +35,20 @@ def with_both_assays(samples: DataFrame) -> DataFrame:
     return assays.filter(F.col("_a") != F.col("_b")).select("cohort")
 
 
-def _missing(
-    members: DataFrame, cells: DataFrame, keys: Sequence[str], shapes: DataFrame, other: str
-) -> DataFrame:
-    """Tally of members by missing count: ``(table, missing, members, other)``.
+def _observed(members: DataFrame | None, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Observed cells per member of a dimension, in one pass over the cells.
 
-    A member without any cell is kept by a zero row from the dimension; the
-    union is aggregated once, so no join of cells is needed.
+    A member without any cell is kept by a zero row from ``members``, where that
+    is given; the union is aggregated once, so no join of cells is needed.
     """
-    observed = members.select(*keys, F.lit(0).alias("_n")).unionByName(
-        cells.filter(F.col("value").isNotNull()).select(*keys, F.lit(1).alias("_n"))
-    )
-    per_member = observed.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+    seen = cells.select(*keys, F.col("value").isNotNull().cast("int").alias("_n"))
+    if members is not None:
+        seen = seen.unionByName(members.select(*keys, F.lit(0).alias("_n")))
+    return seen.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+
+
+def _missing(per_member: DataFrame, shapes: DataFrame, other: str) -> DataFrame:
+    """Tally of members by missing count: ``(table, missing, members, other)``."""
     tally = per_member.groupBy(*TABLE, "_n").agg(F.count(F.lit(1)).alias("members"))
     return tally.join(shapes.select(*TABLE, F.col(other).alias("_of")), list(TABLE)).select(
         *TABLE, (F.col("_of") - F.col("_n")).alias("missing"), "members", "_of"
@@ -71,22 +73,24 @@ def _fractions(tally: DataFrame, prefix: str) -> DataFrame:
 
 
 def table_quality(
-    cells: DataFrame, samples: DataFrame, features: DataFrame, feature: Sequence[str]
+    cells: DataFrame,
+    samples: DataFrame | None,
+    features: DataFrame | None,
+    feature: Sequence[str],
 ) -> DataFrame:
     """Missing count and fraction of each table, and the mean and median of the
     missing fraction over its samples and over its features. Only cohorts with
-    both assays are reported."""
-    paired = with_both_assays(samples)
+    both assays are reported. Without ``samples`` or ``features`` that dimension is
+    what the cells hold."""
+    # A pass over the cells for each dimension, which also gives its members.
+    per_sample = materialize(_observed(samples, cells, [*TABLE, *SAMPLE]), "per_sample")
+    per_feature = materialize(_observed(features, cells, [*TABLE, *feature]), "per_feature")
+    paired = with_both_assays(per_sample)
     shapes = checked_broadcast(
-        table_shapes(samples, features).join(paired, "cohort", "left_semi")
-    )
-    # Each tally takes a pass over the cells and is used for several measures.
-    by_sample = materialize(
-        _missing(samples, cells, [*TABLE, *SAMPLE], shapes, "n_cols"), "by_sample"
-    )
-    by_feature = materialize(
-        _missing(features, cells, [*TABLE, *feature], shapes, "n_rows"), "by_feature"
+        table_shapes(per_sample, per_feature).join(paired, "cohort", "left_semi")
     )
+    by_sample = materialize(_missing(per_sample, shapes, "n_cols"), "by_sample")
+    by_feature = materialize(_missing(per_feature, shapes, "n_rows"), "by_feature")
     counts = by_sample.groupBy(*TABLE).agg(
         F.sum(F.col("missing") * F.col("members")).alias("missing_count")
     )

@@ -20,10 +20,11 @@ from workload.tables import rounded
 
 def matrices(spark, folder):
     """Both matrices as stored tables: every later stage reads them again."""
+    sales = views.stored_sales(spark, folder)
     store = inheritable_thread_target(spark)(materialize)
     with ThreadPoolExecutor(2) as pool:
-        rna = pool.submit(store, views.rna_matrix(spark, folder), "rna")
-        protein = pool.submit(store, views.protein_matrix(spark, folder), "protein")
+        rna = pool.submit(store, views.rna_matrix(spark, folder, sales), "rna")
+        protein = pool.submit(store, views.protein_matrix(spark, folder, sales), "protein")
         return rna.result(), protein.result()
 
 

@@ -133,14 +133,12 @@ QUALITY_SQL = """
 @query("qc_table_stats", QUALITY_SQL)
 def qc_table_stats(spark, folder):
     cells = materialize(
-        views.all_cells(spark, folder).withColumn(
+        views.stored_cells(spark, folder).withColumn(
             "transcript_id", F.coalesce("transcript_id", F.lit(""))
         ),
         "cells",
     )
-    samples = materialize(combine.sample_dimension(cells), "samples")
-    features = materialize(combine.feature_dimension(cells, feature=TRANSCRIPT), "features")
-    report = quality.table_quality(cells, samples, features, TRANSCRIPT)
+    report = quality.table_quality(cells, None, None, TRANSCRIPT)
     return report.select(
         "assay",
         "cohort",
@@ -198,7 +196,7 @@ def qc_sample_overlap(spark, folder):
        LEFT JOIN binned k ON k.assay = r.assay AND k.cohort = r.cohort AND k.bin = g.bin""",
 )
 def qc_histogram(spark, folder):
-    cells = materialize(views.all_cells(spark, folder), "cells")
+    cells = materialize(views.stored_cells(spark, folder), "cells")
     return quality.value_histogram(cells).select(
         "assay", "cohort", "bin", rounded("lo"), rounded("hi"), "n"
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from assayframe.operators.align import feature_matrix
 from assayframe.operators.combine import collapse_transcripts
 from assayframe.schema import PROTEIN, RNA
+from assayframe.sources.scratch import materialize
 
 TARGETS = ["Brand#13", "brand#7", "NOPE"]
 
@@ -55,15 +56,22 @@ def _sales(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def rna_cells(spark: SparkSession, folder: str) -> DataFrame:
+def stored_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """The joined sales as a table, for queries that take both assays from them."""
+    return materialize(_sales(spark, folder), "sales")
+
+
+def rna_cells(spark: SparkSession, folder: str, sales: DataFrame | None = None) -> DataFrame:
+    sales = _sales(spark, folder) if sales is None else sales
     keys = ["cohort", "sample_id", "occ", "feature_name", "database_id", "transcript_id"]
-    cells = _sales(spark, folder).groupBy(*keys).agg(F.avg("l_extendedprice").alias("value"))
+    cells = sales.groupBy(*keys).agg(F.avg("l_extendedprice").alias("value"))
     return cells.select(F.lit(RNA).alias("assay"), *keys, "value")
 
 
-def protein_cells(spark: SparkSession, folder: str) -> DataFrame:
+def protein_cells(spark: SparkSession, folder: str, sales: DataFrame | None = None) -> DataFrame:
+    sales = _sales(spark, folder) if sales is None else sales
     keys = ["cohort", "sample_id", "occ", "feature_name", "database_id"]
-    sold = _sales(spark, folder).filter(
+    sold = sales.filter(
         (F.col("l_returnflag") != "R") & (F.col("c_mktsegment") != "BUILDING")
     )
     cells = sold.groupBy(*keys).agg(F.avg("l_quantity").alias("value"))
@@ -79,16 +87,22 @@ def all_cells(spark: SparkSession, folder: str) -> DataFrame:
     return rna_cells(spark, folder).unionByName(protein_cells(spark, folder))
 
 
-def rna_genes(spark: SparkSession, folder: str) -> DataFrame:
-    return collapse_transcripts(rna_cells(spark, folder))
+def stored_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """All cells, from one evaluation of the joins."""
+    sales = stored_sales(spark, folder)
+    return rna_cells(spark, folder, sales).unionByName(protein_cells(spark, folder, sales))
+
+
+def rna_genes(spark: SparkSession, folder: str, sales: DataFrame | None = None) -> DataFrame:
+    return collapse_transcripts(rna_cells(spark, folder, sales))
 
 
-def rna_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return feature_matrix(rna_genes(spark, folder))
+def rna_matrix(spark: SparkSession, folder: str, sales: DataFrame | None = None) -> DataFrame:
+    return feature_matrix(rna_genes(spark, folder, sales))
 
 
-def protein_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return feature_matrix(protein_cells(spark, folder))
+def protein_matrix(spark: SparkSession, folder: str, sales: DataFrame | None = None) -> DataFrame:
+    return feature_matrix(protein_cells(spark, folder, sales))
 
 
 def embedding_cells(spark: SparkSession, folder: str) -> DataFrame:
