@@ -8,7 +8,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from assayframe.operators import design, models, selection, split
+from assayframe.operators import design, models, reports, selection, split
 from assayframe.plans import modelling as plan
 from assayframe.sources.scratch import materialize
 from workload import modelling, views
@@ -190,7 +190,19 @@ def embedding_result(spark, folder):
     return plan.run_targets(rna, protein, ["LABEL", "NOPE"], SETTINGS)
 
 
-@query("rf_fit")
+# What SQL can tell of a run: its rows, its test samples and their labels. Values of
+# the forests are held against each other instead: shares sum to one, every fold has
+# a score, and the metrics are those of the stored predictions.
+EMBEDDING_SQL = """e AS (SELECT 'V' || vec_id AS sample_id, label::DOUBLE AS y FROM embeddings),
+    p AS (SELECT *, row_number() OVER (ORDER BY md5(sample_id || ':42'), sample_id) AS pos,
+                 ceil(0.2::DOUBLE * count(*) OVER ())::BIGINT AS n_test FROM e)"""
+
+
+@query(
+    "rf_fit",
+    """SELECT 'label' AS target, any_value(len(embedding))::BIGINT AS n_features, 1.0::DOUBLE AS total
+       FROM embeddings""",
+)
 def rf_fit(spark, folder):
     """A forest on all rows and all features of the embeddings."""
     cells = views.embedding_cells(spark, folder)
@@ -206,33 +218,94 @@ def rf_fit(spark, folder):
     names = cells.select("target", "feature").distinct()
     # The vector holds every feature, in the order of their names.
     order = Window.partitionBy("target").orderBy("feature")
-    return models.importances(model, names.withColumn("rank", F.row_number().over(order)))
+    found = models.importances(model, names.withColumn("rank", F.row_number().over(order)))
+    return found.groupBy("target").agg(
+        F.count("feature").alias("n_features"), F.round(F.sum("importance"), 9).alias("total")
+    )
 
 
-@query("rf_search")
+@query(
+    "rf_search",
+    f"""SELECT 'LABEL' AS target, draw, {SETTINGS.folds}::BIGINT AS folds, true AS scored
+        FROM range(1, {SETTINGS.n_iter + 1}) t(draw)""",
+)
 def rf_search(spark, folder):
-    result = embedding_result(spark, folder)
-    return result.cv_scores.groupBy("target", "draw").agg(F.avg("r2").alias("mean_r2"))
+    scores = embedding_result(spark, folder).cv_scores
+    folds = scores.groupBy("target", "draw").agg(F.count("fold").alias("folds"))
+    means = reports.mean_scores(scores, ["target", "draw"])
+    return folds.join(means, ["target", "draw"]).select(
+        "target", "draw", "folds", F.col("mean_r2").isNotNull().alias("scored")
+    )
 
 
-@query("rf_importance")
+@query(
+    "rf_importance",
+    f"SELECT 'LABEL' AS target, {SETTINGS.k_best}::BIGINT AS n, {SETTINGS.k_best} AS last_rank, 1.0::DOUBLE AS total",
+)
 def rf_importance(spark, folder):
-    return embedding_result(spark, folder).top_features
+    return embedding_result(spark, folder).top_features.groupBy("target").agg(
+        F.count("feature").alias("n"),
+        F.max("rank").alias("last_rank"),
+        F.round(F.sum("importance"), 9).alias("total"),
+    )
 
 
-@query("prediction_table")
+@query(
+    "prediction_table",
+    f"""WITH {EMBEDDING_SQL}
+        SELECT 'LABEL' AS target, model, sample_id, y, true AS predicted
+        FROM p CROSS JOIN (VALUES ('ridge'), ('forest')) m(model) WHERE pos <= n_test""",
+)
 def prediction_table(spark, folder):
-    return embedding_result(spark, folder).predictions
+    finite = F.col("prediction").isNotNull() & ~F.isnan("prediction")
+    return embedding_result(spark, folder).predictions.select(
+        "target", "model", "sample_id", "y", finite.alias("predicted")
+    )
 
 
-@query("target_metrics")
+@query(
+    "target_metrics",
+    f"""SELECT 'LABEL' AS target, count(*) AS n_samples, true AS as_predicted, {len(SMALL_GRID)} AS n_params
+        FROM embeddings
+        UNION ALL SELECT 'NOPE', 0, false, 0""",
+)
 def target_metrics(spark, folder):
-    return embedding_result(spark, folder).metrics
+    """Metrics of a run next to those computed anew from its predictions."""
+    result = embedding_result(spark, folder)
+    again = reports.regression_metrics(result.predictions, ["target", "model"])
+    by_model = again.groupBy("target").agg(
+        *[
+            F.max(F.when(F.col("model") == model, F.col(metric))).alias(f"_{name}_{metric}")
+            for model, name in (("ridge", "baseline"), ("forest", "rf"))
+            for metric in ("r2", "mae", "pearson")
+        ]
+    )
+    same = F.lit(True)
+    for name in ("baseline", "rf"):
+        for metric in ("r2", "mae", "pearson"):
+            gap = F.abs(F.col(f"{name}_{metric}") - F.col(f"_{name}_{metric}"))
+            same = same & F.coalesce(gap < 1e-9, F.lit(False))
+    params = F.from_json("rf_best_params", "map<string,string>")
+    return result.metrics.join(by_model, "target", "left").select(
+        "target",
+        "n_samples",
+        same.alias("as_predicted"),
+        F.coalesce(F.size(F.map_keys(params)), F.lit(0)).alias("n_params"),
+    )
 
 
-@query("k_sweep_run")
+@query(
+    "k_sweep_run",
+    """SELECT 'label' AS target, k::INTEGER AS k, count(*) AS n_samples, true AS scored
+       FROM embeddings CROSS JOIN (VALUES (2), (4)) t(k) GROUP BY k""",
+)
 def k_sweep_run(spark, folder):
     rna, protein = _embedding_run(spark, folder)
     results = plan.run_sweep(rna, protein, ["label"], [2, 4], SETTINGS)
-    frames = [r.metrics.withColumn("k", F.lit(k)) for k, r in results.items()]
+    frames = [
+        r.metrics.select(
+            "target", F.lit(k).alias("k"), "n_samples", F.col("rf_best_cv_r2").isNotNull().alias("scored")
+        )
+        for k, r in results.items()
+    ]
     return frames[0].unionByName(frames[1])
