@@ -341,7 +341,7 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
     under the model: of a token's unit given the two units before, and of the token
     in its unit by smoothed counts. Both sum to one over all words seen and one that
     stands for the others. Null and empty texts are an end alone. Without rows to
-    learn from every unit is as likely. Repeated rows stay.
+    learn from all units are about as likely. Repeated rows stay.
 
     Tasks hold the counts of the commonest words. The others of each text are joined
     with the counts of all words; equal texts bring theirs once.

@@ -53,7 +53,7 @@ def test_base_with_counts_at_hand_and_joined(spark, few_at_hand):
 
 def test_nothing_to_learn_from_and_no_rows(spark):
     scores = check(spark, [(1, "a b"), (2, None)], [])
-    assert scores[2] == pytest.approx(-math.log10(lm_scoring.UNITS), rel=1e-3)
+    assert scores[2] == pytest.approx(-math.log10(lm_scoring.UNITS), abs=0.05)
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert lm_scoring.score(frame, frame).count() == 0
 
