@@ -44,7 +44,9 @@ def letter_words(text: str | None) -> list[str]:
 
 
 def grams_of(word: str, size: int) -> list[str]:
-    """n-grams of a word between its blank borders."""
+    """n-grams of a word between its blank borders; single letters without them."""
+    if size == 1:
+        return list(word)
     bordered = f" {word} "
     return [bordered[i : i + size] for i in range(len(bordered) - size + 1)]
 

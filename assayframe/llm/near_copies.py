@@ -14,9 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import content_key, in_batches
+from assayframe.llm.common import in_batches
 from assayframe.llm.simhash_dedup import components, fingerprint, links, shingle_hashes
-from assayframe.llm.substring_dedup import SHINGLE, SIMILARITY, held_against
+from assayframe.llm.substring_dedup import (
+    SHINGLE,
+    SIMILARITY,
+    TEXT_KEYS,
+    distinct_texts,
+    held_against,
+)
 from assayframe.sources.scratch import materialize
 
 # A pair of similarity 0.8 shares a band with a probability of 0.998.
@@ -77,12 +83,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts are one text. Documents that share a fingerprint or a band are held against
     the smallest id there, so a group of n copies makes n - 1 pairs.
     """
-    given = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", *content_key(F.col("text"))
-    )
-    keys = ["key_a", "key_b"]
-    firsts = materialize(given.groupBy(*keys).agg(F.min("doc_id").alias("source_id")), "copies-texts")
-    unique = given.join(firsts.withColumnRenamed("source_id", "doc_id"), [*keys, "doc_id"], "left_semi")
+    given, firsts, unique = distinct_texts(docs)
     sketches = materialize(
         in_batches(unique.select("doc_id", "text"), _sketch, "doc_id long, fingerprint long, bands array<bigint>"),
         "copies-sketches",
@@ -104,8 +105,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
         "doc_id long, source_id long",
     )
     same = (
-        given.select("doc_id", *keys)
-        .join(firsts, keys)
+        given.select("doc_id", *TEXT_KEYS)
+        .join(firsts.where("n > 1"), TEXT_KEYS)
         .where("doc_id <> source_id")
         .select("doc_id", "source_id")
     )

@@ -57,15 +57,19 @@ def blocked_filter(keys: DataFrame, key: str = "key") -> tuple[DataFrame, int]:
     return words, blocks
 
 
+def split_by_filter(rows: DataFrame, keys: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be listed, all that are and few others; and the other rows."""
+    words, blocks = blocked_filter(keys, key)
+    passes = F.col("word").bitwiseAND(_bits(F.col(key))) == _bits(F.col(key))
+    blocked = rows.withColumn("block", _block(F.col(key), blocks))
+    hits = blocked.join(F.broadcast(words), "block").where(passes)
+    others = blocked.join(F.broadcast(words), "block", "left").where(~F.coalesce(passes, F.lit(False)))
+    return hits.drop("block", "word"), others.drop("block", "word")
+
+
 def possible_hits(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     """Rows whose key may be listed: all that are, and few others."""
-    words, blocks = blocked_filter(keys, key)
-    return (
-        rows.withColumn("block", _block(F.col(key), blocks))
-        .join(F.broadcast(words), "block")
-        .where(F.col("word").bitwiseAND(_bits(F.col(key))) == _bits(F.col(key)))
-        .drop("block", "word")
-    )
+    return split_by_filter(rows, keys, key)[0]
 
 
 def listed_rules(rules: DataFrame) -> DataFrame:
