@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from assayframe.sources.scratch import materialize
 
 CALL, RESULT = "call", "result"
+# Places below and above every turn.
+FIRST, NOWHERE = -(1 << 62), (1 << 63) - 1
 MESSAGE = ["conv_id", "turn", "role", "text", "kind", "call_id", "name", "arguments", "after"]
 # Names of JSON Schema types and how Spark calls the type of such a value.
 KINDS = {
@@ -89,63 +91,77 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     )
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``conv_id, node, level`` of ``nodes``: 0 without a predecessor, else one more
-    than the highest predecessor's; null on a cycle or behind one.
+def places(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``conv_id, node, place, level`` of ``nodes`` (``conv_id, node, turn``): sorted by
+    place and level, every node comes after those before it.
 
-    ``edges`` hold ``conv_id, before, after``; those from unknown nodes don't count.
-    Each round settles the nodes whose predecessors have all been settled, so there
-    are as many rounds as levels.
+    A node's place is its turn, or the highest place before it if that isn't lower;
+    ``level`` counts the steps since. So nodes whose order agrees with their turns keep
+    them, and there are as many rounds as nodes in the longest chain against the
+    turns, however long a conversation is. Nodes on a cycle and behind one have no
+    place: a chain comes back to where it took its place, or outgrows its
+    conversation.
+
+    ``edges`` hold ``conv_id, before, after``; those of unknown nodes don't count. Of
+    rows with one node the lowest turn counts, null turns come first.
     """
     named = ["conv_id", "node"]
-    nodes = nodes.select(*named).distinct()
-    known = edges.join(nodes.withColumnRenamed("node", "before"), ["conv_id", "before"], "left_semi")
-    known = materialize(
-        known.join(nodes.withColumnRenamed("node", "after"), ["conv_id", "after"], "left_semi")
-        .select("conv_id", "before", "after")
-        .distinct(),
-        "chat-edges",
+    keys = nodes.groupBy(*named).agg(F.min(F.coalesce("turn", F.lit(FIRST))).alias("place"))
+    keys = keys.withColumns({"level": F.lit(0), "origin": F.col("node")})
+    keys = materialize(keys, "chat-places")
+    sizes = keys.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    ends = keys.select(*named)
+    known = (
+        edges.join(ends.withColumnRenamed("node", "before"), ["conv_id", "before"], "left_semi")
+        .join(ends.withColumnRenamed("node", "after"), ["conv_id", "after"], "left_semi")
+        .join(sizes, "conv_id")
+        .select("conv_id", "before", "after", "n")
+        .distinct()
     )
-    waiting = known.groupBy("conv_id", F.col("after").alias("node")).agg(F.count(F.lit(1)).alias("open"))
-    settled = materialize(nodes.join(waiting, named, "left_anti").withColumn("level", F.lit(0)), "chat-level")
-    waiting = materialize(waiting, "chat-waiting")
-    done, level = [settled], 0
-    while not waiting.isEmpty():
-        level += 1
-        met = (
-            known.join(done[-1].withColumnRenamed("node", "before"), ["conv_id", "before"])
-            .groupBy("conv_id", F.col("after").alias("node"))
-            .agg(F.count(F.lit(1)).alias("met"))
+    known = materialize(known, "chat-edges")
+    moved = keys
+    while True:
+        level = F.when(F.col("place") == NOWHERE, 0).otherwise(F.col("level") + 1)
+        told = (
+            known.join(moved.withColumnRenamed("node", "before"), ["conv_id", "before"])
+            .select("conv_id", F.col("after").alias("node"), "n", "place", level.alias("level"), "origin")
+            .groupBy(*named)
+            .agg(F.max(F.struct("place", "level", "origin")).alias("told"), F.max("n").alias("n"))
         )
-        left = materialize(
-            waiting.join(met, named, "left").select(
-                *named, (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")
+        own = F.struct("place", "level")
+        closed = (F.col("told.origin") == F.col("node")) | (F.col("told.level") > F.col("n"))
+        moved = materialize(
+            told.join(keys, named)
+            .where(F.struct("told.place", "told.level") > own)
+            .select(
+                *named,
+                F.when(closed, F.lit(NOWHERE)).otherwise(F.col("told.place")).alias("place"),
+                F.when(closed, F.lit(0)).otherwise(F.col("told.level")).alias("level"),
+                F.col("told.origin").alias("origin"),
             ),
-            "chat-waiting",
+            "chat-moved",
         )
-        new = left.where("open = 0").select(*named, F.lit(level).alias("level"))
-        if new.isEmpty():
-            done.append(left.select(*named, F.lit(None).cast("int").alias("level")))
-            break
-        done.append(new)
-        waiting = left.where("open > 0")
-    found = done[0]
-    for more in done[1:]:
-        found = found.union(more)
-    return found
+        if moved.isEmpty():
+            return keys.select(
+                *named,
+                F.nullif("place", F.lit(NOWHERE)).alias("place"),
+                F.when(F.col("place") != NOWHERE, F.col("level")).alias("level"),
+            )
+        keys = materialize(keys.join(moved, named, "left_anti").unionByName(moved), "chat-places")
 
 
 def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
-    """A row per message: ``conv_id, turn, call_id, kind, level, linked, problem, json``.
+    """A row per message: ``conv_id, turn, call_id, kind, place, level, linked, problem,
+    json``.
 
     ``messages`` hold ``conv_id, turn, role, text``, and for tool use ``kind`` (``call``
     or ``result``), ``call_id``, ``name``, ``arguments`` (JSON) and ``after`` (call ids
     in the conversation whose results the call uses). A result is linked to the call
     with its id in the conversation, by a hash join; of several calls with one id the
     first turn counts, and the others and their messages are not linked. Results
-    inherit the call's name. ``level`` orders a conversation so that calls come before
-    their results and after the results they use; then ``turn`` decides. Ordinary
-    messages have level 0.
+    inherit the call's name. ``place``, ``level`` and ``turn`` order a conversation so
+    that calls come before their results and after the results they use; calls and
+    results on a cycle, or behind one, have no place. Other messages are at their turn.
 
     ``json`` is canonical: fixed keys in order, no white space; arguments with sorted
     keys, and null where they can't be read. Rows stay single messages, as a
@@ -172,9 +188,9 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     )
     node = F.concat("kind", F.lit(":"), "call_id")
     nodes = messages.where("kind IS NOT NULL AND call_id IS NOT NULL AND conv_id IS NOT NULL").select(
-        "conv_id", node.alias("node")
+        "conv_id", node.alias("node"), "turn"
     )
-    ordered = materialize(levels(nodes, used.union(own)), "chat-levels")
+    ordered = materialize(places(nodes, used.union(own)), "chat-order")
     is_call = F.col("kind") == CALL
     checked = validated(
         messages.withColumn("kind", F.coalesce("kind", F.lit("text"))).withColumn(
@@ -211,7 +227,8 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
         "turn",
         "call_id",
         "kind",
-        F.when(used_tool, F.col("level")).otherwise(0).alias("level"),
+        F.when(F.col("node").isNotNull() & used_tool, F.col("place")).otherwise(F.col("turn")).alias("place"),
+        F.when(F.col("node").isNotNull() & used_tool, F.col("level")).otherwise(0).alias("level"),
         F.coalesce(matched, F.lit(False)).alias("linked"),
         F.when(is_call, F.col("problem")).alias("problem"),
         F.concat(*body).alias("json"),

@@ -199,28 +199,18 @@ OP6_SQL = r"""
 WITH roles AS (
     SELECT conv_id, turn, role, text,
         CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'text' END AS kind,
-        lag(role) OVER w AS before_role, lag(turn) OVER w AS before_turn,
+        lag(role) OVER w = 'user' AND lag(turn) OVER w = turn - 1 AS goes_on,
         lead(role) OVER w AS next_role, lead(turn) OVER w AS next_turn
     FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
-), steps AS (
-    SELECT *,
-        before_turn = turn - 1
-            AND ((kind = 'call' AND before_role = 'assistant') OR (kind = 'result' AND before_role = 'user')) AS goes_on
-    FROM roles
-), runs AS (
-    SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run
-    FROM steps
-), leveled AS (
-    SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS level FROM runs
 ), named AS (
     SELECT *,
         CASE kind WHEN 'call' THEN 'c' || turn WHEN 'result' THEN 'c' || (turn - 1) END AS call_id,
         CASE kind WHEN 'call' THEN ['search', 'lookup', 'forecast', 'weather'][(turn // 2) % 4 + 1]
             WHEN 'result' THEN CASE WHEN goes_on THEN ['search', 'lookup', 'forecast', 'weather'][((turn - 1) // 2) % 4 + 1] END
         END AS name
-    FROM leveled
+    FROM roles
 )
-SELECT conv_id, turn, call_id, kind, level::INTEGER AS level,
+SELECT conv_id, turn, call_id, kind, turn AS place, 0 AS level,
     CASE kind WHEN 'call' THEN coalesce(next_turn = turn + 1 AND next_role = 'assistant', false)
         WHEN 'result' THEN coalesce(goes_on, false) ELSE false END AS linked,
     CASE WHEN kind = 'call' THEN CASE name WHEN 'lookup' THEN 'unexpected limit'

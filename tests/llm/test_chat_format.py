@@ -1,6 +1,6 @@
 import json
 
-from assayframe.llm.chat_format import canonical, format_chats, levels, quoted
+from assayframe.llm.chat_format import canonical, format_chats, places, quoted
 
 SCHEMA = (
     "conv_id long, turn long, role string, text string, kind string, call_id string, "
@@ -70,32 +70,44 @@ def test_links_and_order(spark):
     got = {(r["conv_id"], r["turn"]): r for r in run(spark, rows).collect()}
     linked = {k for k, r in got.items() if r["linked"]}
     assert linked == {(1, 1), (1, 2), (1, 3), (1, 4)}
-    level = {k: r["level"] for k, r in got.items()}
-    assert level[1, 3] < level[1, 4] < level[1, 2] < level[1, 1]
-    assert level[1, 0] == 0 and level[1, 6] == 0
+    at = {k: (r["place"], r["level"]) for k, r in got.items()}
+    assert at[1, 0] < at[1, 3] < at[1, 4] < at[1, 2] < at[1, 1] < at[1, 6] < at[1, 7]
+    assert at[1, 0] == (0, 0) and at[1, 4] == (4, 0) and at[1, 2] == (4, 1) and at[1, 1] == (4, 2)
     assert json.loads(got[1, 0]["json"]) == {"content": 'say "hi"\n', "role": "user"}
     assert json.loads(got[1, 4]["json"]) == {"content": "r", "id": "early", "name": "f", "role": "tool"}
     assert json.loads(got[1, 6]["json"])["name"] is None
     assert json.loads(got[None, None]["json"]) == {"content": None, "role": None}
 
 
-def test_cycles_have_no_level(spark):
-    rows = [call(1, "a", after=["b"]), result(2, "a"), call(3, "b", after=["a"]), result(4, "b"), call(5, "c", after=["x"])]
-    got = {r["turn"]: r["level"] for r in run(spark, rows).collect()}
-    assert got == {1: None, 2: None, 3: None, 4: None, 5: 0}
+def test_cycles_have_no_place(spark):
+    rows = [call(1, "a", after=["b"]), result(2, "a"), call(3, "b", after=["a", "late"]), result(4, "b")]
+    rows += [call(5, "c", after=["x"]), call(0, "d", after=["b"]), call(8, "late"), result(9, "late"), call(7, "s", after=["s"]), result(7, "s")]
+    got = {(r["turn"], r["kind"]): r["place"] for r in run(spark, rows).collect()}
+    assert {k for k, v in got.items() if v is None} == {
+        (1, "call"), (2, "result"), (3, "call"), (4, "result"), (0, "call"), (7, "call"), (7, "result")
+    }
+    assert got[5, "call"] == 5 and got[8, "call"] == 8
 
 
-def test_levels_are_longest_paths(spark):
+def test_order_keeps_every_edge(spark):
     import random
 
     r = random.Random(1)
     edges = [(0, str(a), str(b)) for a in range(30) for b in range(a + 1, 30) if r.random() < 0.08]
-    nodes = spark.createDataFrame([(0, str(i)) for i in range(30)], "conv_id long, node string")
-    got = levels(nodes, spark.createDataFrame(edges, "conv_id long, before string, after string"))
-    wanted = {}
-    for i in range(30):
-        wanted[str(i)] = max([wanted[a] + 1 for _, a, b in edges if b == str(i)], default=0)
-    assert {x["node"]: x["level"] for x in got.collect()} == wanted
+    turns = {str(i): r.choice([i, i, 30 - i]) for i in range(30)}
+    nodes = spark.createDataFrame([(0, i, t) for i, t in turns.items()], "conv_id long, node string, turn long")
+    got = places(nodes, spark.createDataFrame(edges, "conv_id long, before string, after string"))
+    at = {x["node"]: (x["place"], x["level"]) for x in got.collect()}
+    assert all(at[a] < at[b] for _, a, b in edges)
+    kept = {i for i in turns if all(b != i for _, _, b in edges)}
+    assert all(at[i] == (turns[i], 0) for i in kept)
+
+
+def test_a_long_conversation_in_order_takes_one_round(spark):
+    n = 3000
+    nodes = spark.createDataFrame([(0, str(i), i) for i in range(n)], "conv_id long, node string, turn long")
+    edges = spark.createDataFrame([(0, str(i), str(i + 1)) for i in range(n - 1)], "conv_id long, before string, after string")
+    assert places(nodes, edges).where("place = int(node) AND level = 0").count() == n
 
 
 def test_repeated_rows_long_texts_and_none(spark):
