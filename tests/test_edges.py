@@ -110,3 +110,17 @@ def test_a_sweep_goes_on_where_it_stopped(spark, tmp_path):
     assert set(plan.run_sweep(rna, protein, ["KRAS"], [2, 3], settings, out)) == {3}
     assert plan.run_sweep(rna, protein, ["KRAS"], [2, 3], settings, out) == {}
     assert os.path.isdir(f"{out}/outputs_k3/metrics.csv")
+
+
+def test_tables_can_be_freed(spark):
+    # A session of its own name for the folder, so that no other test's tables go.
+    from unittest import mock
+
+    from assayframe.sources import scratch
+
+    with mock.patch.object(scratch, "_own_folder", lambda s: f"{scratch.shared_folder(s)}/freed"):
+        scratch.materialize(spark.range(3), "some")
+        folder = f"{scratch.shared_folder(spark).removeprefix('file:')}/freed"
+        assert os.listdir(folder)
+        scratch.free_tables(spark)
+        assert not os.path.exists(folder)
