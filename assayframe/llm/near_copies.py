@@ -23,6 +23,7 @@ from assayframe.llm.substring_dedup import (
     distinct_texts,
     held_against,
 )
+from assayframe.llm.url_filters import possible_hits
 from assayframe.sources.scratch import materialize
 
 # A pair of similarity 0.8 shares a band with a probability of 0.998.
@@ -30,6 +31,10 @@ BANDS, ROWS = 12, 4
 _random = np.random.default_rng(3)
 MULTIPLIERS = _random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
+# Documents of a group that a task compares with as many others at once.
+BLOCK = 256
+# Shingles counted at once when a block is compared.
+COLUMNS = 4096
 
 
 def bands_of(hashes: np.ndarray) -> np.ndarray:
@@ -75,13 +80,120 @@ def _starred(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(first, key).where("doc_id <> source_id").select("doc_id", "source_id")
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of every two of the sets."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Elements of a single set are common to none.
+    shared = times[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    counts = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[low:high], column[low:high] - first] = 1
+        counts += part @ part.T
+    counts[np.diag_indices(len(sets))] = [len(x) for x in sets]
+    return counts
+
+
+def joining_pairs(ids: list[int], labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Similar pairs that join what has different labels, as all such pairs do."""
+    if len(set(labels)) < 2:
+        return []
+    sizes, common = np.array([len(x) for x in sets]), common_counts(sets)
+    names = np.array(labels)
+    similar = common >= SIMILARITY * (sizes[:, None] + sizes[None, :] - common)
+    found = []
+    for a, b in zip(*np.nonzero(np.triu(similar, 1))):
+        if names[a] != names[b]:
+            names[names == names[b]] = names[a]
+            found.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
+    return found
+
+
+def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by key and part; a block may go on in the next batch."""
+    at, ids, labels, texts = None, [], [], []
+
+    def joined() -> Iterator[pa.RecordBatch]:
+        if len(set(labels)) > 1:
+            found = joining_pairs(ids, labels, [np.unique(shingle_hashes(t, SHINGLE)) for t in texts])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["doc_id", "source_id"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if at != (row["key"], row["part"]):
+                yield from joined()
+                at, ids, labels, texts = (row["key"], row["part"]), [], [], []
+            ids.append(row["doc_id"])
+            labels.append(row["component"])
+            texts.append(row["text"])
+    yield from joined()
+
+
+def _held_in_groups(texts: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """Similar pairs ``doc_id, source_id`` of the groups (``key, doc_id``) that join
+    what ``edges`` (``a, b``) leave apart.
+
+    Of a group all members are compared unless they are joined already; large groups
+    are split into blocks that meet pair by pair. Groups with the same members are one.
+    """
+    labels = components(edges).withColumnRenamed("node", "doc_id")
+    labelled = materialize(
+        groups.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")),
+        "copies-labelled",
+    )
+    members = F.sum(F.xxhash64("doc_id").cast("decimal(38,0)"))
+    # Both of two members have been held against each other before.
+    apart = (
+        labelled.groupBy("key")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            (F.min("component") < F.max("component")).alias("apart"),
+            F.struct(members.alias("sum"), F.bit_xor(F.xxhash64("doc_id", F.lit("b"))).alias("xor")).alias("members"),
+        )
+        .where("n > 2 AND apart")
+        .groupBy("n", "members")
+        .agg(F.min("key").alias("key"))
+        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    )
+    apart = materialize(apart, "copies-apart")
+    if apart.isEmpty():
+        return groups.select("doc_id", F.col("doc_id").alias("source_id")).limit(0)
+    own = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int")
+    dealt = (
+        labelled.join(apart, "key")
+        .select("key", "doc_id", "component", "blocks", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        # A block meets itself where it meets another.
+        .where("blocks = 1 OR own <> other")
+        .select(
+            "key", "doc_id", "component", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("part")
+        )
+    )
+    dealt = materialize(dealt, "copies-dealt")
+    wanted = materialize(dealt.select(F.col("doc_id").alias("key")).distinct(), "copies-wanted")
+    involved = possible_hits(texts.select(F.col("doc_id").alias("key"), "text"), wanted).withColumnRenamed("key", "doc_id")
+    rows = (
+        involved.join(dealt, "doc_id")
+        .select("key", "part", "doc_id", "component", "text")
+        .repartition("key", "part")
+        .sortWithinPartitions("key", "part")
+    )
+    return in_batches(rows, _join_blocks, "doc_id long, source_id long")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` of documents that have a near copy: texts whose sets of
     five-word shingles have a similarity of 0.8 or more, and chains of such.
 
     Ids must tell documents apart; rows with a null id or text are left out. Equal
-    texts are one text. Documents that share a fingerprint or a band are held against
-    the smallest id there, so a group of n copies makes n - 1 pairs.
+    texts are one text. Documents that share a fingerprint or a band are first held
+    against the smallest id there, which joins most groups; in those that it leaves
+    apart, every document is compared with all that it isn't joined with.
     """
     given, firsts, unique = distinct_texts(docs)
     sketches = materialize(
@@ -90,19 +202,35 @@ def near_copies(docs: DataFrame) -> DataFrame:
     )
     prints = sketches.select("doc_id", "fingerprint")
     nodes = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "copies-nodes")
-    linked = (
+    linked = materialize(
         links(nodes.select("fingerprint"))
         .join(nodes.select(F.col("fingerprint").alias("a"), F.col("id").alias("id_a")), "a")
         .join(nodes.select(F.col("fingerprint").alias("b"), F.col("id").alias("id_b")), "b")
-        .select(F.greatest("id_a", "id_b").alias("doc_id"), F.least("id_a", "id_b").alias("source_id"))
+        .select(F.greatest("id_a", "id_b").alias("doc_id"), F.least("id_a", "id_b").alias("source_id")),
+        "copies-linked",
     )
     banded = sketches.select("doc_id", F.explode("bands").alias("band"))
     pairs = _starred(prints, "fingerprint").union(linked).union(_starred(banded, "band")).distinct()
-    verified = held_against(
-        unique.select("doc_id", "text", "key_a"),
-        materialize(pairs, "copies-pairs"),
-        _similar,
-        "doc_id long, source_id long",
+    verified = materialize(
+        held_against(
+            unique.select("doc_id", "text", "key_a"),
+            materialize(pairs, "copies-pairs"),
+            _similar,
+            "doc_id long, source_id long",
+        ),
+        "copies-verified",
+    )
+    # Texts whose fingerprints are linked, by chains too, are a group.
+    reached = components(linked.select(F.col("doc_id").alias("a"), F.col("source_id").alias("b")))
+    first_of = prints.join(nodes, "fingerprint").select("doc_id", F.col("id").alias("node"))
+    chained = first_of.join(reached, "node", "left").select(
+        F.xxhash64(F.lit("prints"), F.coalesce("component", "node")).alias("key"), "doc_id"
+    )
+    groups = banded.select(F.col("band").alias("key"), "doc_id").union(chained).distinct()
+    crowded = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").drop("n")
+    edges = verified.select(F.col("doc_id").alias("a"), F.col("source_id").alias("b"))
+    further = _held_in_groups(
+        unique.select("doc_id", "text"), groups.join(materialize(crowded, "copies-crowded"), "key"), edges
     )
     same = (
         given.select("doc_id", *TEXT_KEYS)
@@ -110,5 +238,5 @@ def near_copies(docs: DataFrame) -> DataFrame:
         .where("doc_id <> source_id")
         .select("doc_id", "source_id")
     )
-    edges = verified.union(same).select(F.col("doc_id").alias("a"), F.col("source_id").alias("b"))
+    edges = verified.union(further).union(same).select(F.col("doc_id").alias("a"), F.col("source_id").alias("b"))
     return components(edges).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id")

@@ -1,0 +1,42 @@
+import random
+
+import numpy as np
+import pytest
+
+from assayframe.llm import near_copies
+from assayframe.llm.near_copies import common_counts, joining_pairs
+
+
+def words(n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(n)]
+
+
+def test_common_counts(monkeypatch):
+    monkeypatch.setattr(near_copies, "COLUMNS", 7)
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 20, 30, 40, 40)]
+    assert common_counts(sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert common_counts([sets[0], sets[0]]).tolist() == [[0, 0], [0, 0]]
+
+
+def test_what_is_joined_is_not_joined_again():
+    same = [np.arange(10, dtype=np.uint64)] * 4
+    assert joining_pairs([4, 3, 2, 1], [1, 1, 1, 1], same) == []
+    assert joining_pairs([4, 3, 2, 1], [3, 3, 1, 1], same) == [(4, 2)]
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_copies_of_a_base_with_the_largest_id(spark, monkeypatch, block):
+    """Copies are under 0.8 to each other and meet in the same bands as their base."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    base, texts = words(200, 60), {1000: " ".join(words(200, 60))}
+    for i in range(40):
+        own, r = list(base), random.Random(i)
+        for place in r.sample(range(10, 190, 10), 4):
+            own[place + r.randint(0, 4)] = f"x{i}"
+        texts[i] = " ".join(own)
+    texts |= {i: " ".join(words(100, i)) for i in range(2000, 2010)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    assert got == {i: 0 for i in [*range(40), 1000]}
