@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import in_batches
+from assayframe.llm.common import common_counts, in_batches
 from assayframe.llm.simhash_dedup import components, fingerprint, links, shingle_hashes
 from assayframe.llm.substring_dedup import (
     SHINGLE,
@@ -33,8 +33,6 @@ MULTIPLIERS = _random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.u
 MIX = np.uint64(0x9E3779B97F4A7C15)
 # Documents of a group that a task compares with as many others at once.
 BLOCK = 256
-# Shingles counted at once when a block is compared.
-COLUMNS = 4096
 
 
 def bands_of(hashes: np.ndarray) -> np.ndarray:
@@ -80,25 +78,6 @@ def _starred(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(first, key).where("doc_id <> source_id").select("doc_id", "source_id")
 
 
-def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Number of common elements of every two of the sets."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # Elements of a single set are common to none.
-    shared = times[column] > 1
-    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    counts = np.zeros((len(sets), len(sets)), np.float32)
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        low, high = np.searchsorted(column, [first, first + COLUMNS])
-        part = np.zeros((len(sets), COLUMNS), np.float32)
-        part[owner[low:high], column[low:high] - first] = 1
-        counts += part @ part.T
-    counts[np.diag_indices(len(sets))] = [len(x) for x in sets]
-    return counts
-
-
 def joining_pairs(ids: list[int], labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Similar pairs that join what has different labels, as all such pairs do."""
     if len(set(labels)) < 2:

@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from assayframe.llm import near_copies
-from assayframe.llm.near_copies import common_counts, joining_pairs
+from assayframe.llm import common, near_copies
+from assayframe.llm.common import common_counts
+from assayframe.llm.near_copies import joining_pairs
 
 
 def words(n, seed):
@@ -13,10 +14,12 @@ def words(n, seed):
 
 
 def test_common_counts(monkeypatch):
-    monkeypatch.setattr(near_copies, "COLUMNS", 7)
+    monkeypatch.setattr(common, "COLUMNS", 7)
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 20, 30, 40, 40)]
     assert common_counts(sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    lists = [np.array([1, 1, 2, 5]), np.array([1, 3, 2, 2])]
+    assert common_counts(lists).tolist() == [[4, 3], [3, 4]]
     assert common_counts([sets[0], sets[0]]).tolist() == [[0, 0], [0, 0]]
 
 
