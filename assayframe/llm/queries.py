@@ -11,6 +11,7 @@ from assayframe.llm import (
     decontamination,
     language_id,
     lm_scoring,
+    merkle_manifest,
     packing,
     simhash_dedup,
     substring_dedup,
@@ -256,3 +257,89 @@ def tool_messages(conversations: DataFrame) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     schemas = spark.createDataFrame(TOOL_SCHEMAS, "name string, field string, kind string, required boolean")
     return chat_format.format_chats(tool_messages(table(spark, folder, "conversations")), schemas)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE given AS (
+    SELECT doc_id, lang,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
+        || coalesce(strlen(source) || ':' || source, '-')
+        || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+        n_chars,
+        coalesce(strlen(text) || ':' || text, '-') AS behind,
+        -- CRC-32, bit by bit: a byte goes in, then eight shifts (-1).
+        xor(4294967295, list_reduce(
+            flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''),
+                lambda c: CASE WHEN c = '' THEN []::BIGINT[] ELSE
+                    [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] END)),
+            lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x)
+                WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END,
+            4294967295::BIGINT)) % 7 = 0 AS touched
+    FROM documents
+), leaves AS (
+    SELECT doc_id, lang,
+        sha256(before || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || behind) AS leaf,
+        CASE WHEN touched THEN sha256(before
+            || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || behind) END AS other
+    FROM given
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+    FROM leaves
+), nodes(lang, level, place, digest, n) AS (
+    SELECT lang, 0, place, leaf, count(*) OVER (PARTITION BY lang) FROM numbered
+    UNION ALL
+    SELECT lang, any_value(level) + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)),
+        any_value((n + 1) // 2)
+    FROM nodes WHERE n > 1 GROUP BY lang, place // 2
+), subroots AS (
+    SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place,
+        count(*) OVER () AS n
+    FROM nodes WHERE n = 1
+), upper_nodes(level, place, digest, n) AS (
+    SELECT 0, place, subroot, n FROM subroots
+    UNION ALL
+    SELECT any_value(level) + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)),
+        any_value((n + 1) // 2)
+    FROM upper_nodes WHERE n > 1 GROUP BY place // 2
+), steps AS (
+    SELECT x.lang, x.place AS leaf_place, x.level, s.digest AS sibling, (x.own % 2 = 1) AS is_left
+    FROM (SELECT d.lang, d.place, v.level, d.place // (1 << v.level)::BIGINT AS own
+          FROM numbered d JOIN (SELECT DISTINCT lang, level FROM nodes WHERE n > 1) v
+            ON d.lang IS NOT DISTINCT FROM v.lang) x
+    LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM x.lang AND s.level = x.level
+        AND s.place = xor(x.own, 1)
+    UNION ALL
+    SELECT d.lang, d.place, 1000 + v.level, s.digest, (r.place // (1 << v.level)::BIGINT) % 2 = 1
+    FROM numbered d JOIN subroots r ON d.lang IS NOT DISTINCT FROM r.lang
+    CROSS JOIN (SELECT DISTINCT level FROM upper_nodes WHERE n > 1) v
+    LEFT JOIN upper_nodes s ON s.level = v.level AND s.place = xor(r.place // (1 << v.level)::BIGINT, 1)
+), paths AS (
+    SELECT lang, leaf_place, count(*) AS height,
+        sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256,
+        list(sibling ORDER BY level) AS siblings, list(is_left ORDER BY level) AS sides
+    FROM steps GROUP BY lang, leaf_place
+), folds(lang, place, taken, digest) AS (
+    SELECT lang, place, 0, coalesce(other, leaf) FROM numbered
+    UNION ALL
+    SELECT f.lang, f.place, f.taken + 1, sha256(CASE WHEN p.siblings[f.taken + 1] IS NULL THEN f.digest
+        WHEN p.sides[f.taken + 1] THEN p.siblings[f.taken + 1] || f.digest
+        ELSE f.digest || p.siblings[f.taken + 1] END)
+    FROM folds f JOIN paths p ON p.lang IS NOT DISTINCT FROM f.lang AND p.leaf_place = f.place
+    WHERE f.taken < p.height
+)
+SELECT d.doc_id, d.leaf, r.subroot, u.digest AS root,
+    coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.digest AS folded_root,
+    f.digest = u.digest AS verified
+FROM numbered d
+JOIN subroots r ON r.lang IS NOT DISTINCT FROM d.lang
+JOIN (SELECT digest FROM upper_nodes WHERE n = 1) u ON true
+LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM d.lang AND p.leaf_place = d.place
+JOIN folds f ON f.lang IS NOT DISTINCT FROM d.lang AND f.place = d.place AND f.taken = coalesce(p.height, 0)
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    leaves = merkle_manifest.document_leaves(docs, crc_of_id(F.col("doc_id")) % 7 == 0)
+    return merkle_manifest.manifest(leaves).drop("grp")
