@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayframe.llm import (
@@ -13,6 +13,7 @@ from assayframe.llm import (
     lm_scoring,
     merkle_manifest,
     packing,
+    periodic_runs,
     simhash_dedup,
     substring_dedup,
     token_files,
@@ -343,3 +344,59 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     leaves = merkle_manifest.document_leaves(docs, crc_of_id(F.col("doc_id")) % 7 == 0)
     return merkle_manifest.manifest(leaves).drop("grp")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth repeats from some word on, as their ids' hashes say."""
+    key = crc_of_id(F.col("doc_id"))
+    chosen = docs.select("doc_id", "text", key.alias("_key")).withColumn(
+        "_words",
+        F.when(
+            F.col("_key") % 10 == 0,
+            F.filter(
+                F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != F.lit("")
+            ),
+        ),
+    )
+    n, g = F.size("_words").cast("long"), F.floor(F.col("_key") / 10)
+    begun = chosen.withColumn("_n", n).withColumn("_first", F.when(F.col("_n") > 0, g % F.col("_n")))
+    period = 1 + F.floor((F.col("_n") - F.col("_first")) / (3 + g % 8))
+    places = begun.withColumn("_period", period).withColumn(
+        "_places", F.when(F.col("_n") > 0, F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    )
+    first = F.col("_first")
+    source = lambda i: F.when(i < first, i).otherwise(first + (i - first) % F.col("_period"))
+    changed = F.array_join(
+        F.transform("_places", lambda i: F.element_at("_words", (source(i) + 1).cast("int"))), " "
+    )
+    return places.select("doc_id", F.coalesce(changed, "text").alias("text"))
+
+
+def _stronger(a: Column, b: Column) -> Column:
+    """Order of runs: more periods first, then by start and period."""
+    mine, other = a["length"] * b["period"], b["length"] * a["period"]
+    before = (mine > other) | (
+        (mine == other)
+        & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["period"] < b["period"])))
+    )
+    return F.when(before, F.lit(-1)).otherwise(F.lit(1))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_periods(table(spark, folder, "documents")))
+    best = found.withColumn("best", F.get(F.array_sort("runs", _stronger), F.lit(0)))
+    milli = 1000 * F.col("best.length")
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        ((milli - milli % F.col("best.period")) / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
