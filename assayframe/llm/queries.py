@@ -14,6 +14,7 @@ from assayframe.llm import (
     merkle_manifest,
     packing,
     periodic_runs,
+    quality_crf,
     simhash_dedup,
     substring_dedup,
     token_files,
@@ -260,6 +261,22 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.format_chats(tool_messages(table(spark, folder, "conversations")), schemas)
 
 
+
+@query("op11_quality_classifier")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = crc_of_id(F.col("doc_id")) % 5 == 0
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality_crf.train(docs, labels.where(~held_out))
+    scored = quality_crf.score(docs, model)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 OP12_SQL = r"""
 WITH RECURSIVE given AS (
     SELECT doc_id, lang,
