@@ -12,6 +12,7 @@ from assayframe.functions.ids import (
     strip,
 )
 from assayframe.functions.numeric import (
+    elapsed_seconds,
     f_statistic,
     null_if_nan,
     pearson,
@@ -24,6 +25,7 @@ __all__ = [
     "camel_case",
     "clean_feature_id",
     "clean_sample_id",
+    "elapsed_seconds",
     "f_statistic",
     "has_digit_and_letter",
     "header_levels",

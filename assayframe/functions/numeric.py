@@ -26,6 +26,11 @@ def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(safe_divide(numerator, denominator), F.lit(0.0))
 
 
+def elapsed_seconds(since: Column, now: Column) -> Column:
+    """Seconds between two times in seconds, to a tenth."""
+    return F.round(now - since, 1)
+
+
 def r_squared(y: Column, prediction: Column) -> Column:
     """Aggregate 1 - SSE/SST. A constant ``y`` scores 1 when it is predicted
     exactly and 0 otherwise; fewer than two rows have no score."""

@@ -1,149 +1,201 @@
-"""Regression models over design rows, through ``pyspark.ml``."""
+"""Fitted models as Spark ML pipelines: median filling and selection, then a regressor.
+
+Rows have ``target, sample_id, y`` and their observed cells as ``cells``, a map from
+feature to value. A pipeline fits the models of all targets together, keeps them as
+tables, and can be saved and loaded as a whole.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
-from urllib.parse import quote
-
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import (
-    LinearRegression,
-    LinearRegressionModel,
-    RandomForestRegressionModel,
-    RandomForestRegressor,
+
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import (
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsReadable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.operators.search import DEEPEST_TREE
+from assayframe.operators import forests, ridge
+from assayframe.operators.design import FIT, FULL_FIT
+from assayframe.operators.joins import checked_broadcast
+from assayframe.operators.selection import feature_statistics, rank_features
+from assayframe.operators.split import SEED
+from assayframe.sources.scratch import materialize
 
-# Fixed values of the baseline.
-RIDGE_ALPHA = 1.0
 
-MAX_BINS = 128
-NODE_MEMORY_MB = 512
-# One solver at every width, run until the objective no longer changes.
-SOLVER_STEPS, SOLVER_TOLERANCE = 2000, 1e-14
+def sample_rows(labels: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows for a pipeline from ``target, sample_id`` (and ``y``) and the observed cells
+    ``target, sample_id, feature, x``."""
+    packed = cells.groupBy("target", "sample_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", "x"))).alias("cells")
+    )
+    return labels.join(packed, ["target", "sample_id"], "left")
 
 
-# Parameters that a forest applies.
-EFFECTIVE = {"n_estimators", "max_depth", "min_samples_leaf", "max_features", "bootstrap"}
+class _FrameWriter(MLWriter):
+    def __init__(self, instance: "_FrameModel"):
+        super().__init__()
+        self.instance = instance
 
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        self.instance.frame.write.parquet(f"{path}/data")
 
-def with_vector(design: DataFrame, source: str) -> DataFrame:
-    return design.withColumn("vector", array_to_vector(F.col(source)))
 
+class _FrameReader(MLReader):
+    def __init__(self, kind: type["_FrameModel"]):
+        super().__init__()
+        self.kind = kind
 
-def fit_ridge(train: DataFrame, alpha: float = RIDGE_ALPHA) -> LinearRegressionModel:
-    """Ridge on the standardised features, intercept not penalised.
+    def load(self, path: str) -> "_FrameModel":
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = self.kind(self.sparkSession.read.parquet(f"{path}/data"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
 
-    The solver penalises the mean squared error of a label divided by its sample
-    deviation, so the penalty is ``alpha * deviation / n``. Fails if the solver
-    stops before it has converged.
-    """
-    n, spread = train.agg(F.count("y"), F.stddev_samp("y")).first()
-    solver = LinearRegression(
-        featuresCol="vector",
-        labelCol="y",
-        solver="l-bfgs",
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=SOLVER_STEPS,
-        tol=SOLVER_TOLERANCE,
-        regParam=alpha * (spread or 0.0) / n,
-    )
-    model = solver.fit(with_vector(train, "scaled"))
-    if model.hasSummary and model.summary.totalIterations >= SOLVER_STEPS:
-        raise RuntimeError(f"ridge did not converge in {SOLVER_STEPS} steps")
-    return model
-
-
-def forest(params: Mapping, seed: int, max_bins: int = MAX_BINS) -> RandomForestRegressor:
-    """Forest for one parameter draw; a parameter it can't apply is an error."""
-    drawn = {name.removeprefix("model__"): value for name, value in params.items()}
-    unknown = set(drawn) - EFFECTIVE
-    if unknown:
-        raise ValueError(f"no effect in Spark: {sorted(unknown)}")
-    return RandomForestRegressor(
-        featuresCol="vector",
-        labelCol="y",
-        numTrees=drawn.get("n_estimators", 500),
-        maxDepth=drawn.get("max_depth", DEEPEST_TREE),
-        minInstancesPerNode=drawn.get("min_samples_leaf", 1),
-        featureSubsetStrategy=str(drawn.get("max_features", "all")),
-        bootstrap=drawn.get("bootstrap", True),
-        maxBins=max_bins,
-        # Rows keep their node between levels instead of walking every tree
-        # again, and more nodes share a pass: deep forests take a third of the time.
-        cacheNodeIds=True,
-        maxMemoryInMB=NODE_MEMORY_MB,
-        seed=seed,
-    )
 
+class _FrameModel(Model, MLWritable, MLReadable):
+    """A model that is a table."""
 
-def fit_forest(
-    train: DataFrame, params: Mapping, seed: int, max_bins: int = MAX_BINS
-) -> RandomForestRegressionModel:
-    return forest(params, seed, max_bins).fit(with_vector(train, "features"))
+    def __init__(self, frame: DataFrame):
+        super().__init__()
+        self.frame = frame
 
+    def write(self) -> MLWriter:
+        return _FrameWriter(self)
 
-def predict(model, rows: DataFrame, source: str) -> DataFrame:
-    return (
-        model.transform(with_vector(rows, source))
-        .select("target", "sample_id", "y", F.col("prediction").cast("double").alias("prediction"))
-    )
+    @classmethod
+    def read(cls) -> MLReader:
+        return _FrameReader(cls)
 
 
-def importances(model: RandomForestRegressionModel, names: DataFrame) -> DataFrame:
-    """Impurity importances next to the names of the selected features.
+class MedianSelectionModel(_FrameModel):
+    """Fills missing cells with their median and lays the selected features out in the
+    order of their rank, as they are (``features``) and standardised (``scaled``).
 
-    ``names`` has ``(target, feature, rank)`` of one fit; the vector is as long
-    as the selection.
+    The table has ``target, feature, rank, median, mean, scale``.
     """
-    values = [float(v) for v in model.featureImportances.toArray()]
-    spark = names.sparkSession
-    ranked = spark.createDataFrame(
-        list(enumerate(values, start=1)), "rank long, importance double"
-    )
-    return names.join(F.broadcast(ranked), "rank").select("target", "feature", "importance")
 
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        each = F.struct("rank", "feature", "median", "mean", "scale")
+        columns = self.frame.groupBy("target").agg(F.sort_array(F.collect_list(each)).alias("_columns"))
+        cells = F.coalesce("cells", F.create_map().cast("map<string,double>"))
+        value = F.transform(
+            "_columns", lambda c: F.coalesce(F.try_element_at(cells, c["feature"]), c["median"])
+        )
+        scaled = F.zip_with("features", "_columns", lambda x, c: (x - c["mean"]) / c["scale"])
+        return (
+            rows.join(checked_broadcast(columns), "target")
+            .withColumn("features", value)
+            .withColumn("scaled", scaled)
+            .drop("_columns")
+        )
 
-def saved_path(root: str, target: str) -> str:
-    """Folder of a target's model; any name makes one."""
-    return f"{root.rstrip('/')}/rf_{quote(target, safe='')}"
 
+class MedianSelection(Estimator, DefaultParamsWritable, DefaultParamsReadable):
+    """Medians and the ``k`` best features of each target by their F score; below two
+    every feature."""
 
-def save(model: RandomForestRegressionModel, names: DataFrame, path: str) -> None:
-    """Forest, and the features it takes with their ranks and medians."""
-    model.write().overwrite().save(f"{path}/forest")
-    names.select("feature", "rank", "median").write.mode("overwrite").parquet(f"{path}/features")
+    k: Param[int] = Param(Params._dummy(), "k", "features to keep", TypeConverters.toInt)
 
+    @keyword_only
+    def __init__(self, *, k: int = 0):
+        super().__init__()
+        self._setDefault(k=0)
+        self._set(k=k)
 
-def apply_saved(spark: SparkSession, path: str, cells: DataFrame) -> DataFrame:
-    """``sample_id, prediction`` of a saved forest for every sample of ``cells``
-    (``sample_id, feature, x``). Features a sample lacks are at their median."""
-    features = spark.read.parquet(f"{path}/features")
-    # As many as were selected; they travel as a literal.
-    columns = F.array(
-        *[
-            F.struct(F.lit(row["rank"]).alias("rank"), F.lit(row["median"]).alias("median"))
-            for row in features.orderBy("rank").collect()
-        ]
-    )
-    packed = (
-        cells.join(F.broadcast(features.select("feature", "rank")), "feature", "left")
-        .groupBy("sample_id")
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "x")))
-            ).alias("_cells")
+    def _fit(self, rows: DataFrame) -> MedianSelectionModel:
+        labels = rows.select("target", "y")
+        observed = rows.select("target", "y", F.explode("cells").alias("feature", "x"))
+        statistics = feature_statistics(observed.where(F.col("x").isNotNull()), labels)
+        ranked = rank_features(statistics, self.getOrDefault(self.k))
+        kept = ranked.select("target", "feature", "rank", "median", "mean", "scale")
+        return MedianSelectionModel(materialize(kept, "selected"))
+
+
+def _as_design(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"fit": F.lit(FULL_FIT), "role": F.lit("train")})
+
+
+class ForestRegressionModel(_FrameModel):
+    """Mean of the trees of a target. The table has a row per node."""
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        return forests.apply(self.frame, rows)
+
+
+class ForestRegression(Estimator, DefaultParamsWritable, DefaultParamsReadable):
+    """A forest per target; ``params`` are those of a draw of the search, as JSON."""
+
+    params_: Param[str] = Param(Params._dummy(), "params_", "parameters as JSON", TypeConverters.toString)
+    seed: Param[int] = Param(Params._dummy(), "seed", "seed", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, params_: str = "{}", seed: int = SEED):
+        super().__init__()
+        self._setDefault(params_="{}", seed=SEED)
+        self._set(params_=params_, seed=seed)
+
+    def _fit(self, rows: DataFrame) -> ForestRegressionModel:
+        chosen = rows.select("target").distinct().select(
+            "target",
+            F.lit(1).cast("long").alias("draw"),
+            F.lit(self.getOrDefault(self.params_)).alias("params"),
         )
+        nodes, _ = forests.fit(_as_design(rows), chosen, self.getOrDefault(self.seed))
+        return ForestRegressionModel(nodes)
+
+
+class RidgeRegressionModel(_FrameModel):
+    """Linear model of the standardised features. The table has a row per target."""
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        return ridge.predict(self.frame, rows.withColumn("fit", F.lit(FULL_FIT))).drop("fit")
+
+
+class RidgeRegression(Estimator, DefaultParamsWritable, DefaultParamsReadable):
+    """A ridge per target, intercept not penalised."""
+
+    alpha: Param[float] = Param(Params._dummy(), "alpha", "penalty", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, alpha: float = ridge.RIDGE_ALPHA):
+        super().__init__()
+        self._setDefault(alpha=ridge.RIDGE_ALPHA)
+        self._set(alpha=alpha)
+
+    def _fit(self, rows: DataFrame) -> RidgeRegressionModel:
+        weights = ridge.fit_ridges(_as_design(rows), self.getOrDefault(self.alpha))
+        return RidgeRegressionModel(materialize(weights, "ridge"))
+
+
+def forest_pipeline(k: int, params: Mapping, seed: int = SEED) -> Pipeline:
+    return Pipeline(stages=[MedianSelection(k=k), ForestRegression(params_=json.dumps(dict(params)), seed=seed)])
+
+
+def ridge_pipeline(k: int, alpha: float = ridge.RIDGE_ALPHA) -> Pipeline:
+    return Pipeline(stages=[MedianSelection(k=k), RidgeRegression(alpha=alpha)])
+
+
+def fitted(selected: DataFrame, regressor: _FrameModel) -> PipelineModel:
+    """The pipeline of a run from its selected features (of the full fit)."""
+    columns = selected.where(F.col("fit") == FULL_FIT).select(
+        "target", "feature", "rank", "median", "mean", "scale"
     )
-    value = F.transform(
-        columns,
-        lambda c: F.coalesce(F.try_element_at("_cells", c["rank"]), c["median"]),
-    )
-    rows = packed.withColumn("features", value)
-    model = RandomForestRegressionModel.load(f"{path}/forest")
-    predicted = model.transform(with_vector(rows, "features"))
-    return predicted.select("sample_id", F.col("prediction").cast("double").alias("prediction"))
+    return PipelineModel([MedianSelectionModel(columns), regressor])
+
+
+def weights_of(weights: DataFrame) -> DataFrame:
+    return weights.where(F.col("fit") == FULL_FIT).select(*FIT, "coefficients", "intercept")

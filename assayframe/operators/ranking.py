@@ -50,6 +50,11 @@ def seeded_digest(label: Column, seed: int | str) -> Column:
     return F.md5(F.concat_ws(":", label.cast("string"), F.lit(str(seed))))
 
 
+def seeded_number(label: Column, seed: int | str) -> Column:
+    """A whole number below 2 ** 28 from the same digest."""
+    return F.conv(F.substring(seeded_digest(label, seed), 1, 7), 16, 10).cast("long")
+
+
 def seeded_position(
     rows: DataFrame,
     group: Sequence[str],

@@ -50,6 +50,15 @@ def feature_statistics(
         "_cxy": F.covar_pop("x", "y"),
     }
     blocks = exact_median(observed, by_feature, "x", alongside=moments)
+    return filled_statistics(blocks, label_totals(labels, keys), keys)
+
+
+def filled_statistics(
+    blocks: DataFrame, totals: DataFrame, keys: Sequence[str] = ("target",)
+) -> DataFrame:
+    """Statistics of the median-filled columns from the moments of their observed
+    cells (``n_observed, _mx, _my, _vx, _cxy, median``) and the totals of the labels."""
+    by_feature = [*keys, "feature"]
     n, seen = F.col("n"), F.col("n_observed")
     filled = n - seen
     # Mean of y over the filled rows, and the shift between the two blocks.
@@ -62,7 +71,7 @@ def feature_statistics(
     variance = safe_divide(F.col("_sxx"), n)
     r = safe_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * n * F.col("var_y")))
     return (
-        blocks.join(label_totals(labels, keys), list(keys))
+        blocks.join(totals, list(keys))
         .withColumns({"_sxx": sxx, "_sxy": sxy})
         .withColumns(
             {

@@ -31,6 +31,6 @@ def elbow_report(
         summary, reports.elbow_table(metrics, metric), reports.detect_knee(summary)
     )
     if out:
-        write_csv(report.summary.orderBy("protein", "k"), f"{out}/summary.csv")
-        write_csv(report.elbow.orderBy("protein", "k"), f"{out}/elbow.csv")
+        write_csv(report.summary, f"{out}/summary.csv", ["protein", "k"])
+        write_csv(report.elbow, f"{out}/elbow.csv", ["protein", "k"])
     return report

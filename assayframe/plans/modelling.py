@@ -2,34 +2,42 @@
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
-from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from threading import Lock
+from types import TracebackType
 
-from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.operators import align, design, models, reports, search, selection, split
+from assayframe.functions import elapsed_seconds
+from assayframe.operators import (
+    align,
+    combine,
+    design,
+    forests,
+    models,
+    reports,
+    ridge,
+    search,
+    selection,
+    split,
+)
 from assayframe.operators.ranking import top_per_group
-from assayframe.schema import IMPORTANCES, METRICS, RUN_EVENTS
-from assayframe.sources.scratch import materialize, scratch_path
+from assayframe.schema import METRICS
+from assayframe.sources.scratch import materialize
 from assayframe.sources.sinks import append_events, write_csv
 
 DEFAULT_K = 2000
-PREDICTIONS = "target string, model string, sample_id string, y double, prediction double"
-SCORES = "target string, draw long, fold int, r2 double"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of a run. ``k_best=None`` turns feature selection off;
-    ``max_bins`` is the number of thresholds a forest tries per feature."""
+    """Parameters of a run. ``k_best=None`` turns feature selection off. Fits of more
+    than ``local_cells`` cells are grown level by level, with ``bins`` thresholds per
+    feature."""
 
     k_best: int | None = DEFAULT_K
     test_share: float = split.TEST_SHARE
@@ -38,8 +46,8 @@ class Settings:
     folds: int = split.FOLDS
     n_iter: int = search.DRAWS
     grid: Mapping[str, Sequence] = field(default_factory=lambda: search.GRID)
-    max_bins: int = models.MAX_BINS
-    parallelism: int = 8
+    local_cells: int = forests.LOCAL_CELLS
+    bins: int = forests.MAX_BINS
     save_models: str | None = None
 
 
@@ -56,6 +64,7 @@ class Prepared:
 @dataclass(frozen=True)
 class Result:
     metrics: DataFrame
+    ordered: DataFrame
     top_features: DataFrame
     importances: DataFrame
     predictions: DataFrame
@@ -64,31 +73,41 @@ class Result:
 
 
 class RunLog:
-    """Append-only progress of a run, at a path or nowhere. Events are written a
-    batch at a time, a job and a file for each batch."""
+    """Append-only progress of a run, at a path or nowhere.
 
-    BATCH = 200
+    Events are on disk when ``note`` returns, those of a stage in one file, so that a
+    run that fails leaves every stage it reached, and the failure itself as the last.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None):
         self.spark, self.path = spark, path
         self.run_id, self.started = uuid.uuid4().hex, time.time()
-        self.seq, self.waiting, self.lock = 0, [], Lock()
+        self.seq = 0
 
-    def note(self, stage: str, target: str | None = None, target_started: float | None = None):
-        now = time.time()
-        spent = None if target_started is None else round(now - target_started, 1)
-        with self.lock:
+    def note(self, stage: str, targets: Iterable[str | None] = (None,), since: float | None = None) -> None:
+        """An event of the run, or one for each of some targets, begun at ``since``."""
+        now, rows = time.time(), []
+        for target in targets:
             self.seq += 1
-            self.waiting.append(
-                (self.run_id, self.seq, stage, target, round(now - self.started, 1), spent)
+            rows.append((self.run_id, self.seq, stage, target, self.started, since, now))
+        if self.path and rows:
+            schema = "run_id string, seq long, stage string, target string, _run double, _own double, _now double"
+            events = self.spark.createDataFrame(rows, schema).withColumns(
+                {
+                    "elapsed_sec": elapsed_seconds(F.col("_run"), F.col("_now")),
+                    "target_elapsed_sec": elapsed_seconds(F.col("_own"), F.col("_now")),
+                }
             )
-            if target is None or len(self.waiting) >= self.BATCH:
-                self._flush()
+            append_events(events, self.path)
+
+    def __enter__(self) -> "RunLog":
+        return self
 
-    def _flush(self):
-        if self.path and self.waiting:
-            append_events(self.spark.createDataFrame(self.waiting, RUN_EVENTS), self.path)
-        self.waiting = []
+    def __exit__(
+        self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None
+    ) -> None:
+        if kind is not None:
+            self.note(f"failed: {kind.__name__}")
 
 
 def prepare(
@@ -129,118 +148,95 @@ def prepare(
     return Prepared(resolved, rows, selected, table)
 
 
-def _own_rows(prepared: Prepared, target: str, fit: int) -> DataFrame:
-    return prepared.design.filter((F.col("target") == target) & (F.col("fit") == fit))
-
-
-def fold_score(prepared: Prepared, target: str, draw, fold: int, settings: Settings) -> tuple:
-    """Score of one draw on one fold of a target, as a row of ``SCORES``."""
-    part = _own_rows(prepared, target, fold)
-    model = models.fit_forest(
-        part.filter("role = 'train'"), json.loads(draw.params), settings.seed, settings.max_bins
-    )
-    predicted = models.predict(model, part.filter("role = 'valid'"), "features")
-    found = reports.regression_metrics(predicted).first()
-    return (target, draw.draw, fold, None if found is None else found.r2)
-
-
-def refit_target(
-    prepared: Prepared, target: str, params: Mapping, settings: Settings, out: str
-) -> None:
-    """Fit ridge and the best forest on all training rows of a target; predictions
-    of the test rows and importances go to ``out``."""
-    full = _own_rows(prepared, target, design.FULL_FIT)
-    train, test = full.filter("role = 'train'"), full.filter("role = 'test'")
-    # Fewer columns than asked for may be there; the rows know.
-    width = train.select(F.size("features")).first()[0]
-    names = prepared.selected.filter(
-        (F.col("target") == target)
-        & (F.col("fit") == design.FULL_FIT)
-        & (F.col("rank") <= width)
+def fold_scores(
+    prepared: Prepared, targets: DataFrame, draws: DataFrame, settings: Settings
+) -> DataFrame:
+    """``target, draw, fold, r2`` of every draw on every fold of every target, all from
+    one job. A fold that can't be scored has a null score."""
+    predicted = forests.search(
+        prepared.design, draws, settings.seed, settings.local_cells, settings.bins
     )
-    ridge = models.fit_ridge(train)
-    rf = models.fit_forest(train, params, settings.seed, settings.max_bins)
-    predictions = (
-        models.predict(ridge, test, "scaled").withColumn("model", F.lit("ridge"))
-        .unionByName(models.predict(rf, test, "features").withColumn("model", F.lit("forest")))
-        .select("target", "model", "sample_id", "y", "prediction")
+    scored = reports.regression_metrics(predicted, ["target", "draw", "fit"]).select(
+        "target", "draw", F.col("fit").alias("fold"), "r2"
     )
-    folder = uuid.uuid4().hex
-    predictions.write.parquet(f"{out}/predictions/{folder}")
-    models.importances(rf, names).write.parquet(f"{out}/importances/{folder}")
-    if settings.save_models:
-        models.save(rf, names, models.saved_path(settings.save_models, target))
+    folds = F.sequence(F.lit(0), F.lit(settings.folds - 1))
+    asked = search.search_plan(targets, draws).select("target", "draw", F.explode(folds).alias("fold"))
+    return materialize(asked.join(scored, ["target", "draw", "fold"], "left"), "scores")
 
 
 def best_draws(scores: DataFrame) -> DataFrame:
     """Mean fold score per draw, the best draw of each target marked."""
     means = reports.mean_scores(scores, ["target", "draw"])
-    order = [F.col("mean_r2").desc_nulls_last(), "draw"]
+    # Scores that differ by rounding only are the same.
+    order = [F.round("mean_r2", 9).desc_nulls_last(), "draw"]
     return top_per_group(means, ["target"], order, 1).drop("rank")
 
 
+def feature_importances(nodes: DataFrame, selected: DataFrame) -> DataFrame:
+    """Importances by name; a selected feature without any split has none."""
+    found = forests.importances(nodes).select(
+        "target", (F.col("feature") + 1).cast("long").alias("rank"), "importance"
+    )
+    names = selected.filter(F.col("fit") == design.FULL_FIT).select("target", "feature", "rank")
+    return names.join(found, ["target", "rank"], "left").select(
+        "target", "feature", F.coalesce("importance", F.lit(0.0)).alias("importance")
+    )
+
+
 def fit_all(
     prepared: Prepared, settings: Settings, log: RunLog, keep_k: int | None = None
 ) -> Result:
-    """Fit every target of a prepared run, for a smaller k if given."""
-    spark = prepared.design.sparkSession
-    if keep_k is not None:
+    """Fit every target of a prepared run, for a smaller k if given. No step has a job
+    per target, draw or fold."""
+    if keep_k is not None and keep_k >= 2:
         # Below two there is no selection, see rank_features.
-        prepared = Prepared(
-            prepared.resolved,
-            prepared.rows,
-            prepared.selected,
-            design.first_features(prepared.design, keep_k) if keep_k >= 2 else prepared.design,
+        prepared = replace(
+            prepared,
+            selected=prepared.selected.filter(F.col("rank") <= keep_k),
+            design=design.first_features(prepared.design, keep_k),
         )
-    out = scratch_path(spark, "run")
-    drawn = search.parameter_draws(spark, settings.n_iter, settings.seed, settings.grid)
-    draws = drawn.orderBy("draw").collect()
-    targets = [r.target for r in prepared.rows.select("target").distinct().orderBy("target").collect()]
-    tasks = [(t, draw, fold) for t in targets for draw in draws for fold in range(settings.folds)]
-    started: dict[str, float] = {}
-    threaded = inheritable_thread_target(spark)
-
-    def score(task):
-        target, draw, fold = task
-        if target not in started:
-            started[target] = time.time()
-            log.note("target_start", target)
-        return fold_score(prepared, target, draw, fold, settings)
-
-    def refit(target):
-        refit_target(prepared, target, best[target], settings, out)
-        log.note("target_done", target, started[target])
-
-    # The fits of all targets are independent jobs and share one pool.
-    with ThreadPoolExecutor(settings.parallelism) as pool:
-        scores = list(pool.map(threaded(score), tasks))
-        by_draw = {row.draw: json.loads(row.params) for row in draws}
-        chosen = best_draws(spark.createDataFrame(scores, SCORES)).collect()
-        best = {row.target: by_draw[row.draw] for row in chosen}
-        list(pool.map(threaded(refit), targets))
-    predictions = _read_parts(spark, f"{out}/predictions", PREDICTIONS, targets)
-    importances = _read_parts(spark, f"{out}/importances", IMPORTANCES, targets)
-    top = reports.top_features(importances)
-    cv = spark.createDataFrame(scores, SCORES)
-    params = spark.createDataFrame(
-        [(row.draw, row.params) for row in draws], "draw long, params string"
+    spark = prepared.design.sparkSession
+    draws = materialize(
+        search.parameter_draws(spark, settings.n_iter, settings.seed, settings.grid), "draws"
+    )
+    targets = materialize(prepared.rows.select("target").distinct(), "targets")
+    names = [row.target for row in targets.orderBy("target").collect()]
+    begun = time.time()
+    log.note("target_start", names)
+    scores = fold_scores(prepared, targets, draws, settings)
+    chosen = best_draws(scores).join(draws, "draw").select("target", "draw", "params")
+    nodes, by_forest = forests.fit(
+        prepared.design, materialize(chosen, "chosen"), settings.seed, settings.local_cells, settings.bins
+    )
+    full = prepared.design.filter(F.col("fit") == design.FULL_FIT)
+    weights = materialize(ridge.fit_ridges(full), "ridge")
+    by_ridge = ridge.predict(weights, full.filter("role = 'test'"))
+    columns = ["target", "sample_id", "y", "prediction"]
+    predictions = materialize(
+        by_ridge.select(*columns, F.lit("ridge").alias("model"))
+        .unionByName(by_forest.select(*columns, F.lit("forest").alias("model")))
+        .select("target", "model", "sample_id", "y", "prediction"),
+        "predictions",
     )
-    metrics = target_metrics(prepared, predictions, cv, params, top)
+    importances = materialize(feature_importances(nodes, prepared.selected), "importances")
+    if settings.save_models:
+        forest_model = models.ForestRegressionModel(nodes)
+        models.fitted(prepared.selected, forest_model).write().overwrite().save(f"{settings.save_models}/forest")
+        ridge_model = models.RidgeRegressionModel(models.weights_of(weights))
+        models.fitted(prepared.selected, ridge_model).write().overwrite().save(f"{settings.save_models}/ridge")
+    log.note("target_done", names, begun)
+    top = reports.top_features(importances)
+    ordered = materialize(target_metrics(prepared, predictions, scores, draws, top), "metrics")
+    metrics = ordered.select(*METRICS.fieldNames())
     # First row of each target; equal targets have equal rows.
     gaps = reports.accuracy_gap(metrics, "n_samples")
-    return Result(metrics, top, importances, predictions, cv, gaps)
-
-
-def _read_parts(spark: SparkSession, folder: str, schema, targets: list) -> DataFrame:
-    if not targets:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/*")
+    return Result(metrics, ordered, top, importances, predictions, scores, gaps)
 
 
 def target_metrics(
     prepared: Prepared, predictions: DataFrame, scores: DataFrame, params: DataFrame, top: DataFrame
 ) -> DataFrame:
-    """One record per requested target. A target that was not found has no
+    """One record per requested target, with its place. A target that was not found has no
     samples and no scores; one that was found without any value has no record."""
     by_model = reports.regression_metrics(predictions, ["target", "model"])
 
@@ -274,15 +270,14 @@ def target_metrics(
                 "target_rna_in_top50": F.coalesce("target_rna_in_top50", F.lit(False)),
             }
         )
-        .orderBy("ord")
-        .select(*METRICS.fieldNames())
+        .select("ord", *METRICS.fieldNames())
     )
 
 
 def write_result(result: Result, out: str) -> None:
     """Report files of a run."""
-    write_csv(result.metrics, f"{out}/metrics.csv")
-    write_csv(result.top_features.orderBy("target", "rank"), f"{out}/feature_importance.csv")
+    write_csv(result.ordered, f"{out}/metrics.csv", ["ord"], METRICS.fieldNames())
+    write_csv(result.top_features, f"{out}/feature_importance.csv", ["target", "rank"])
     write_csv(result.gaps, f"{out}/accuracy_gap.csv")
 
 
@@ -296,17 +291,39 @@ def run_targets(
 ) -> Result:
     """Predict each target protein from RNA features: ridge baseline and a
     random forest found by random search."""
-    log = RunLog(rna.sparkSession, f"{out}/progress" if out else None)
-    log.note("init")
-    prepared = prepare(rna, protein, targets, settings, features)
-    log.note("loaded_inputs")
-    result = fit_all(prepared, settings, log)
-    if out:
-        write_result(result, out)
-    log.note("done")
+    with RunLog(rna.sparkSession, f"{out}/progress" if out else None) as log:
+        log.note("init")
+        prepared = prepare(rna, protein, targets, settings, features)
+        log.note("loaded_inputs")
+        result = fit_all(prepared, settings, log)
+        if out:
+            write_result(result, out)
+        log.note("done")
     return result
 
 
+def model_matrix(table: DataFrame) -> DataFrame:
+    """Feature matrix of a combined table: of its blocks of values the raw one, or
+    without it everything but ``meta``."""
+    blocks = combine.value_blocks(table) if "z" in table.columns else table
+    if "value_type" in blocks.columns:
+        blocks = align.select_value_type(blocks).drop("value_type")
+    return materialize(align.feature_matrix(blocks), "matrix")
+
+
+def run_files(
+    spark: SparkSession,
+    rna: str,
+    protein: str,
+    targets: Sequence[str],
+    settings: Settings = Settings(),
+    out: str | None = None,
+) -> Result:
+    """:func:`run_targets` on the combined tables at two paths."""
+    tables = [model_matrix(spark.read.parquet(path)) for path in (rna, protein)]
+    return run_targets(*tables, targets, settings, out)
+
+
 def _finished(spark: SparkSession, metrics: str) -> bool:
     """Whether a run left its metrics."""
     try:
@@ -349,9 +366,9 @@ def run_sweep(
     results = {}
     for k in pending:
         folder = f"{out}/outputs_k{k}" if out else None
-        log = RunLog(spark, f"{folder}/progress" if folder else None)
-        results[k] = fit_all(prepared, settings, log, keep_k=k)
-        if folder:
-            write_result(results[k], folder)
-        log.note("done")
+        with RunLog(spark, f"{folder}/progress" if folder else None) as log:
+            results[k] = fit_all(prepared, settings, log, keep_k=k)
+            if folder:
+                write_result(results[k], folder)
+            log.note("done")
     return results

@@ -13,10 +13,16 @@ from assayframe.schema import RUN_EVENTS
 from assayframe.sources.scratch import materialize
 
 
-def write_csv(records: DataFrame, path: str) -> None:
+def write_csv(
+    records: DataFrame, path: str, order: Sequence[str] = (), columns: Sequence[str] | None = None
+) -> None:
     """CSV with a header, in place of an earlier one. Report tables hold a row per
-    target or so, and go to one file."""
-    records.coalesce(1).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    target or so, and go to one file, in order if one is given. They are brought
+    together after they were made: what makes them keeps its tasks."""
+    together = records.repartition(1)
+    laid_out = together.sortWithinPartitions(*order) if order else together
+    chosen = laid_out.select(*(columns or records.columns))
+    chosen.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
 def read_summary(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

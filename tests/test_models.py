@@ -5,9 +5,10 @@ import json
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from assayframe.operators import models, search
+from assayframe.operators import models, ridge, search
 from assayframe.plans import modelling as plan
 from assayframe.schema import METRICS
 from assayframe.sources import sinks
@@ -37,35 +38,40 @@ def problem(spark, n=60, p=8, seed=0):
     return rna, spark.createDataFrame(data, schema)
 
 
-@pytest.mark.parametrize("width", [3, 5, 4200])
-def test_ridge_closed_form(spark, width):
+def fits_of(spark, x, y, target="t"):
+    return spark.createDataFrame(
+        [(target, 0, "train", [float(v) for v in row], float(t)) for row, t in zip(x, y)],
+        "target string, fit int, role string, scaled array<double>, y double",
+    )
+
+
+@pytest.mark.parametrize("width, tile", [(3, 512), (5, 2), (7, 3), (300, 512)])
+def test_ridge_closed_form(spark, width, tile):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(40, width))
-    x = (x - x.mean(0)) / x.std(0)
+    x = rng.normal(size=(40, width)) + 3
     y = x[:, :5] @ np.arange(1, 6)[:width] + rng.normal(size=40) + 7
-    train = spark.createDataFrame(
-        [([float(v) for v in row], float(t)) for row, t in zip(x, y)], "scaled array<double>, y double"
-    )
-    model = models.fit_ridge(train)
-    expected = np.linalg.solve(x.T @ x + np.eye(width), x.T @ (y - y.mean()))
-    assert np.allclose(model.coefficients.toArray(), expected, atol=1e-8)
-    assert model.intercept == pytest.approx(y.mean())
+    both = fits_of(spark, x, y).unionByName(fits_of(spark, x[:25], -y[:25], "other")).repartition(4)
+    found = {r.target: r for r in ridge.fit_ridges(both, side=tile).collect()}
+    for target, rows, sign in (("t", slice(None), 1), ("other", slice(25), -1)):
+        z, label = x[rows] - x[rows].mean(0), sign * y[rows]
+        expected = np.linalg.solve(z.T @ z + np.eye(width), z.T @ (label - label.mean()))
+        assert np.allclose(found[target].coefficients, expected, atol=1e-7)
+        assert found[target].intercept == pytest.approx(label.mean() - x[rows].mean(0) @ expected)
 
 
-def test_ridge_with_constant_label(spark):
-    train = spark.createDataFrame([([1.0], 3.0), ([2.0], 3.0)], "scaled array<double>, y double")
-    model = models.fit_ridge(train)
-    assert model.intercept == 3.0 and model.coefficients[0] == 0.0
+def test_ridge_hands_sums_on(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(60, 4)), rng.normal(size=60)
+    whole = ridge.fit_ridges(fits_of(spark, x, y)).first()
+    parted = ridge.fit_ridges(fits_of(spark, x, y).repartition(7), most_bytes=0).first()
+    assert np.allclose(whole.coefficients, parted.coefficients)
 
 
-def test_forest_parameters():
-    made = models.forest({"model__max_depth": 30, "model__n_estimators": 300, "model__min_samples_leaf": 4,
-                          "model__max_features": 0.2, "model__bootstrap": False}, 1)
-    assert made.getMaxDepth() == 30 and made.getNumTrees() == 300
-    assert made.getMinInstancesPerNode() == 4 and made.getFeatureSubsetStrategy() == "0.2"
-    assert made.getBootstrap() is False
-    with pytest.raises(ValueError):
-        models.forest({"model__min_samples_split": 5}, 1)
+def test_ridge_with_constant_label(spark):
+    model = ridge.fit_ridges(fits_of(spark, [[1.0], [2.0]], [3.0, 3.0])).first()
+    assert model.intercept == 3.0 and model.coefficients == [0.0]
+    nothing = fits_of(spark, [[1.0]], [1.0]).where("role = 'test'")
+    assert ridge.fit_ridges(nothing).collect() == []
 
 
 def test_parameter_draws(spark):
@@ -78,8 +84,8 @@ def test_parameter_draws(spark):
         assert all(value in search.GRID[name] for name, value in params.items())
     again = search.parameter_draws(spark, 30, 42).orderBy("draw").collect()
     assert [d.params for d in again] == [d.params for d in draws]
-    assert search.parameter_draws(spark, 10**6, 1).count() == 640
-    assert search.parameter_draws(spark, 10**6, 1).select("params").distinct().count() == 640
+    assert search.parameter_draws(spark, 10**6, 1).count() == 3200
+    assert search.parameter_draws(spark, 10**6, 1).select("params").distinct().count() == 3200
 
 
 @pytest.fixture(scope="module")
@@ -136,18 +142,74 @@ def test_run_importances_and_reports(spark, finished):
     events = spark.read.parquet(f"{out}/progress")
     assert rows(sinks.current_stage(events).select("stage")) == [("done",)]
     assert events.count() == 2 + 2 * 2 + 1
+    done = events.filter("stage = 'target_done'").first()
+    assert done.target_elapsed_sec <= done.elapsed_sec == round(done.elapsed_sec, 1)
 
 
-def test_a_saved_model_predicts_as_before(spark, finished):
+@pytest.mark.parametrize("kind", ["forest", "ridge"])
+def test_a_saved_pipeline_predicts_as_before(spark, finished, kind):
     result, out = finished
     rna, _ = problem(spark)
+    before = result.predictions.filter(F.col("model") == kind).withColumnRenamed("prediction", "p")
     cells = rna.select("sample_id", "feature", F.col("value").alias("x"))
-    again = models.apply_saved(spark, models.saved_path(f"{out}/models", "KRAS"), cells)
-    before = result.predictions.filter("target = 'KRAS' AND model = 'forest'").withColumnRenamed("prediction", "p")
-    both = before.join(again, "sample_id")
+    samples = before.select("target", "sample_id")
+    rows_ = models.sample_rows(samples, samples.join(cells, "sample_id"))
+    again = PipelineModel.load(f"{out}/models/{kind}").transform(rows_)
+    both = before.join(again.select("target", "sample_id", "prediction"), ["target", "sample_id"])
     assert both.count() == before.count() > 0
-    assert both.filter(F.abs(F.col("p") - F.col("prediction")) > 1e-12).isEmpty()
-    assert models.saved_path("/m/", "A/B c") == "/m/rf_A%2FB%20c"
+    assert both.filter(F.abs(F.col("p") - F.col("prediction")) > 1e-9).isEmpty()
+
+
+def test_pipelines_of_several_targets(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    labels, cells = [], []
+    for target, sign in (("a", 1), ("b", -1)):
+        for i in range(40):
+            x = rng.normal(size=5)
+            labels.append((target, f"s{i}", float(sign * x[0] * 4)))
+            cells += [(target, f"s{i}", f"g{j}", float(v)) for j, v in enumerate(x) if (i + j) % 7]
+    labels = spark.createDataFrame(labels, "target string, sample_id string, y double")
+    samples = models.sample_rows(labels, spark.createDataFrame(cells, "target string, sample_id string, feature string, x double"))
+    model = models.ridge_pipeline(2).fit(samples)
+    model.write().save(str(tmp_path / "ridge"))
+    loaded = PipelineModel.load(str(tmp_path / "ridge"))
+    first, second = (sorted(map(tuple, m.transform(samples).select("target", "sample_id", "prediction").collect())) for m in (model, loaded))
+    assert first == second and len(first) == 80
+    # A sample without any cell is filled with medians throughout.
+    empty = spark.createDataFrame([("a", "x", None)], "target string, sample_id string, cells map<string,double>")
+    medians = {r.feature: r.median for r in model.stages[0].frame.where("target = 'a'").collect()}
+    assert sorted(model.transform(empty).first().features) == sorted(medians.values())
+    forest = models.forest_pipeline(0, {"model__n_estimators": 3}).fit(samples)
+    assert forest.transform(samples).where("prediction is null").isEmpty()
+    assert forest.stages[0].frame.count() == 10
+
+
+def test_a_failed_run_leaves_its_events(spark, tmp_path, monkeypatch):
+    rna, protein = problem(spark, n=20)
+
+    def broken(*_):
+        raise ValueError("no fit")
+
+    monkeypatch.setattr(plan.forests, "search", broken)
+    settings = plan.Settings(k_best=2, n_iter=1, grid=GRID, folds=2)
+    with pytest.raises(ValueError):
+        plan.run_targets(rna, protein, ["KRAS"], settings, str(tmp_path))
+    events = spark.read.parquet(f"{tmp_path}/progress").orderBy("seq").collect()
+    assert [e.stage for e in events] == ["init", "loaded_inputs", "target_start", "failed: ValueError"]
+    assert [e.seq for e in events] == [1, 2, 3, 4] and events[2].target == "KRAS"
+
+
+def test_runs_from_files_choose_raw_values(spark, tmp_path):
+    rna, protein = problem(spark, n=30)
+    named = rna.withColumnRenamed("feature", "feature_name")
+    named.withColumn("z", F.lit(99.0)).write.parquet(str(tmp_path / "rna"))
+    protein.withColumnRenamed("feature", "feature_name").write.parquet(str(tmp_path / "protein"))
+    settings = plan.Settings(k_best=3, n_iter=1, grid=GRID, folds=2)
+    result = plan.run_files(spark, str(tmp_path / "rna"), str(tmp_path / "protein"), ["KRAS"], settings)
+    direct = plan.run_targets(rna, protein, ["KRAS"], settings)
+    assert rows(result.metrics.select("target", "n_samples")) == [("KRAS", 30)]
+    a, b = result.metrics.first(), direct.metrics.first()
+    assert a.baseline_r2 == pytest.approx(b.baseline_r2) and a.rf_r2 == pytest.approx(b.rf_r2)
 
 
 def test_sweep_reuses_one_ranking(spark, tmp_path):

@@ -9,7 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from assayframe.operators import align, combine, joins, quality, quantiles, ranking, reports, selection, split
+from assayframe.operators import align, combine, design, joins, quality, quantiles, ranking, reports, selection, split
 from assayframe.schema import PROTEIN, RNA
 
 CELL = "cohort string, sample_id string, occ long, feature_name string, database_id string, value double"
@@ -23,7 +23,8 @@ def test_checked_broadcast_is_bounded(frame):
     side = frame([(i,) for i in range(20)], "k int")
     big = joins.checked_broadcast(side, max_rows=10)
     small = joins.checked_broadcast(side, max_rows=20)
-    assert big is side
+    assert "ResolvedHint" not in big._jdf.queryExecution().analyzed().toString()
+    assert big.count() == 20
     assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString()
     assert small.count() == 20
 
@@ -441,3 +442,56 @@ def test_top_features_and_membership(frame):
 def test_prediction_range(frame):
     df = frame([("t", 1.0, 5.0), ("t", 2.0, 0.5)], "target string, y double, prediction double")
     assert rows(reports.prediction_range(df)) == [("t", 0.5, 5.0)]
+
+
+@pytest.mark.parametrize("margin", [None, 1e-6, 0.001, 0.5])
+def test_medians_from_brackets_that_miss(spark, margin):
+    rng = np.random.default_rng(4)
+    # Most of one group lies at its ends, the middle of the other far from its neighbours.
+    adversarial = [0.0] * 500 + [1e9] * 500 + [5.0, 7.0]
+    groups = {"ends": adversarial, "gap": [*range(500), 10**6, *range(10**7, 10**7 + 500)], "one": [3.0]}
+    groups["many"] = rng.normal(size=5_001).tolist()
+    data = [(name, float(v)) for name, values in groups.items() for v in values] + [("one", None), ("none", None)]
+    frame = spark.createDataFrame(data, "g string, x double").repartition(5)
+    found = dict(rows(quantiles.exact_median(frame, ["g"], "x", accuracy=100, margin=margin)))
+    assert found == pytest.approx({name: float(np.median(values)) for name, values in groups.items()})
+
+
+@pytest.mark.parametrize("margin", [1e-6, 0.015])
+def test_fold_statistics_are_those_of_the_other_folds(spark, margin):
+    rng = np.random.default_rng(5)
+    cells, labels = [], []
+    for i in range(90):
+        fold = i % 3 if i >= 15 else None
+        split_ = "train" if i >= 15 else "test"
+        y = float(rng.normal())
+        labels.append(("t", f"s{i}", y, split_, fold))
+        for j in range(4):
+            # Values depend on the fold, so that its absence moves the median.
+            if (i * 7 + j) % 5 and not (j == 3 and fold != 1):
+                cells.append(("t", f"s{i}", y, split_, fold, f"g{j}", float(rng.normal() + 50 * (fold or 0))))
+    rows_ = spark.createDataFrame(labels, "target string, sample_id string, y double, split string, fold int")
+    observed = spark.createDataFrame(
+        cells, "target string, sample_id string, y double, split string, fold int, feature string, x double"
+    )
+    merged = {
+        (r.fit, r.feature): r for r in design.fit_statistics(observed, rows_, 3, margin).collect()
+    }
+    for fit in (-1, 0, 1, 2):
+        inside = (F.col("split") == "train") & (F.lit(fit == -1) | (F.col("fold") != fit))
+        alone = selection.feature_statistics(observed.where(inside), rows_.where(inside)).collect()
+        assert {r.feature for r in alone} == {f for i, f in merged if i == fit}
+        for r in alone:
+            got = merged[fit, r.feature]
+            for name in ("n", "n_observed", "median", "mean", "std", "r", "f_score"):
+                assert got[name] == pytest.approx(r[name], rel=1e-9), (fit, r.feature, name)
+
+
+def test_sides_are_measured_before_they_are_sent(spark):
+    wide = spark.range(2_000).select("id", F.expr("repeat('x', 5000)").alias("text"))
+    stored = wide.repartition(3).selectExpr("id", "text", "array(text, text) AS both")
+    large = joins.checked_broadcast(stored, max_bytes=1 << 20)
+    assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
+    small = joins.checked_broadcast(stored, max_bytes=1 << 27)
+    assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString()
+    assert small.count() == 2_000

@@ -1,31 +1,21 @@
-"""Model queries: ridge against its closed form, forests by their rows."""
+"""Model queries: ridges against their closed form, forests against the same trees
+grown in SQL, and a search over the whole grid."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import json
+from math import prod
 
-from pyspark import inheritable_thread_target
-from pyspark.sql import Window
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from assayframe.operators import design, models, reports, selection, split
+from assayframe.operators import design, forests, models, ridge, search, selection, split, trees
 from assayframe.plans import modelling as plan
-from assayframe.sources.scratch import materialize
+from assayframe.sources.scratch import materialize, scratch_path
 from workload import modelling, views
 from workload.registry import query
 from workload.tables import rounded
 
-# A small search: the shape of the full one with few and shallow trees.
-SMALL_GRID = {
-    "model__n_estimators": [5, 10],
-    "model__max_depth": [3, 5],
-    "model__min_samples_leaf": [1, 2],
-    "model__max_features": ["sqrt", 0.5],
-    "model__bootstrap": [True, False],
-}
-SETTINGS = plan.Settings(k_best=10, n_iter=2, grid=SMALL_GRID, folds=3)
-
-
 def ridge_design(spark, folder, k=2):
     rna, protein = modelling.matrices(spark, folder)
     rows = materialize(design.folded_rows(modelling.placed(rna, protein)), "rows")
@@ -58,17 +48,6 @@ RIDGE_SQL = """top AS (SELECT target, feature, rank, n, mean, CASE WHEN std = 0
              FROM g JOIN top USING (target))"""
 
 
-def fitted_ridges(table):
-    """One ridge per target over its training rows, fitted side by side."""
-    targets = [r.target for r in table.select("target").distinct().collect()]
-
-    def fit(target):
-        return models.fit_ridge(table.filter((F.col("target") == target) & (F.col("role") == "train")))
-
-    with ThreadPoolExecutor(8) as pool:
-        return dict(zip(targets, pool.map(inheritable_thread_target(table.sparkSession)(fit), targets)))
-
-
 @query(
     "ridge_baseline",
     f"""WITH {RIDGE_SQL}
@@ -77,16 +56,12 @@ def fitted_ridges(table):
 )
 def ridge_baseline(spark, folder):
     table, selected = ridge_design(spark, folder)
-    fitted = [
-        (target, rank, float(weight), float(model.intercept))
-        for target, model in fitted_ridges(table).items()
-        for rank, weight in enumerate(model.coefficients, start=1)
-    ]
-    weights = spark.createDataFrame(
-        fitted, "target string, rank long, coefficient double, intercept double"
+    weights = ridge.fit_ridges(table).select(
+        "target", "intercept", F.posexplode("coefficients").alias("at", "coefficient")
     )
-    return selected.join(weights, ["target", "rank"]).select(
-        "target", "feature", rounded("coefficient"), rounded("intercept")
+    return (
+        selected.join(weights.withColumn("rank", F.col("at") + 1), ["target", "rank"])
+        .select("target", "feature", rounded("coefficient"), rounded("intercept"))
     )
 
 
@@ -104,15 +79,7 @@ def ridge_baseline(spark, folder):
 )
 def ridge_predictions(spark, folder):
     table, _ = ridge_design(spark, folder)
-    frames = [
-        models.predict(
-            model, table.filter((F.col("target") == target) & (F.col("role") == "test")), "scaled"
-        )
-        for target, model in fitted_ridges(table).items()
-    ]
-    predicted = frames[0]
-    for frame in frames[1:]:
-        predicted = predicted.unionByName(frame)
+    predicted = ridge.predict(ridge.fit_ridges(table), table.filter("role = 'test'"))
     return predicted.select("target", "sample_id", rounded("y"), rounded("prediction"))
 
 
@@ -173,6 +140,9 @@ def design_rows(spark, folder):
     ).withColumn("x", F.round("x", 6))
 
 
+# ---- forests ------------------------------------------------------------------------
+
+
 def _embedding_run(spark, folder):
     cells = views.embedding_cells(spark, folder)
     keys = [F.lit("all").alias("cohort"), "sample_id", F.lit(0).cast("long").alias("occ")]
@@ -185,127 +155,333 @@ def _embedding_run(spark, folder):
     return rna, protein
 
 
-def embedding_result(spark, folder):
-    rna, protein = _embedding_run(spark, folder)
-    return plan.run_targets(rna, protein, ["LABEL", "NOPE"], SETTINGS)
+# A search that SQL can follow tree by tree: the whole grid but for the number of trees.
+CHECKED_GRID = {**search.GRID, "model__n_estimators": [3, 5]}
+CHECKED = plan.Settings(k_best=2, n_iter=3, grid=CHECKED_GRID)
+# One forest of every kind of limit, and one tree without any chance.
+FOREST = {
+    "model__n_estimators": 8,
+    "model__max_depth": None,
+    "model__min_samples_split": 5,
+    "model__min_samples_leaf": 2,
+    "model__max_features": "sqrt",
+    "model__bootstrap": True,
+}
+TREE = {**FOREST, "model__n_estimators": 1, "model__min_samples_split": 2, "model__min_samples_leaf": 1,
+        "model__max_features": None, "model__bootstrap": False}
+
+
+def mixed_sql(a: str, b: str) -> str:
+    step = f"% {trees.PRIME}"
+    return (
+        f"list_reduce([({a} * 48271 + {b} * 16807 + 1) {step}, 1, 2]::BIGINT[], lambda s, i: CASE i"
+        f" WHEN 1 THEN (s * s + 39373 * s + 7) {step} ELSE (s * s + 69621 * s + 3) {step} END)"
+    )
 
 
-# What SQL can tell of a run: its rows, its test samples and their labels. Values of
-# the forests are held against each other instead: shares sum to one, every fold has
-# a score, and the metrics are those of the stored predictions.
-EMBEDDING_SQL = """e AS (SELECT 'V' || vec_id AS sample_id, label::DOUBLE AS y FROM embeddings),
+def design_sql(k: int) -> str:
+    """Rows of every fit over the embeddings with their ``k`` best features in order."""
+    return f"""
+    e AS (SELECT 'V' || vec_id AS sample_id, label::DOUBLE AS y, embedding FROM embeddings),
     p AS (SELECT *, row_number() OVER (ORDER BY md5(sample_id || ':42'), sample_id) AS pos,
-                 ceil(0.2::DOUBLE * count(*) OVER ())::BIGINT AS n_test FROM e)"""
+                 ceil(0.2::DOUBLE * count(*) OVER ())::BIGINT AS n_test,
+                 list_reduce(list_transform(string_split(substr(md5(sample_id || ':42'), 1, 7), ''),
+                     lambda c: instr('0123456789abcdef', c)::BIGINT - 1), lambda a, b: 16 * a + b) AS row_key
+          FROM e),
+    q AS (SELECT *, CASE WHEN pos > n_test THEN ntile(5) OVER (PARTITION BY pos > n_test ORDER BY pos) - 1 END AS fold
+          FROM p),
+    roles AS (SELECT * FROM (
+        SELECT fit, sample_id, y, row_key, embedding,
+               CASE WHEN pos <= n_test THEN CASE WHEN fit = -1 THEN 'test' END
+                    WHEN fit = fold THEN 'valid' ELSE 'train' END AS role
+        FROM q CROSS JOIN (SELECT f::INTEGER AS fit FROM range(-1, 5) t(f))) WHERE role IS NOT NULL),
+    cells AS (SELECT fit, role, sample_id, y, i, embedding[i + 1]::DOUBLE AS x
+              FROM (SELECT *, unnest(range(len(embedding))) AS i FROM roles)),
+    sc AS (SELECT fit, i, 'd' || i AS feature, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS std,
+                  covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS r
+           FROM cells WHERE role = 'train' GROUP BY fit, i),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY
+                  coalesce(r * r / nullif(1 - r * r, 0) * (n - 2), 0) DESC, feature DESC) AS rank FROM sc),
+    fr AS (SELECT c.fit, c.role, c.sample_id, any_value(c.y) AS y, any_value(p.row_key) AS row_key,
+                  list(c.x ORDER BY k.rank) AS feats
+           FROM cells c JOIN rk k USING (fit, i) JOIN p USING (sample_id) WHERE k.rank <= {k}
+           GROUP BY c.fit, c.role, c.sample_id)"""
+
+
+def units_sql(draws: str, fits: str) -> str:
+    return f"un AS (SELECT * FROM ({draws}) d CROSS JOIN ({fits}) f)"
+
+
+def one_draw(params: dict, k: int) -> str:
+    p = trees.tree_params(params, k)
+    depth = "NULL" if p.max_depth is None else p.max_depth
+    return f"""SELECT 1::BIGINT AS draw, {p.trees} AS n_trees, {depth}::INTEGER AS max_depth, {p.min_split} AS min_split,
+        {p.min_leaf} AS min_leaf, {p.features} AS tried, {str(p.bootstrap).lower()} AS bootstrap"""
+
+
+def drawn_sql(grid: dict, n_iter: int, k: int) -> str:
+    """The draws of a search, numbered, with what they set and as text."""
+    columns, texts, stride = [], [], 1
+    names = {"n_estimators": "n_trees", "max_depth": "max_depth", "min_samples_split": "min_split",
+             "min_samples_leaf": "min_leaf", "max_features": "tried", "bootstrap": "bootstrap"}
+    for name, values in grid.items():
+        at = f"[(i // {stride}) % {len(values)} + 1]"
+        short = name.removeprefix("model__")
+        listed = [trees.features_tried(v, k) if short == "max_features" else v for v in values]
+        columns.append(f"[{', '.join('NULL' if v is None else str(v).lower() for v in listed)}]{at} AS {names[short]}")
+        texts.append(f"'{json.dumps(name)}: ' || [" + ", ".join(f"'{json.dumps(v)}'" for v in values) + f"]{at}")
+        stride *= len(values)
+    return f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY md5(i || ':42'), i) AS draw, {', '.join(columns)},
+        '{{' || {" || ', ' || ".join(texts)} || '}}' AS params
+        FROM range({prod(map(len, grid.values()))}) t(i)) WHERE draw <= {n_iter}"""
+
+
+def grown_sql(rows: str = "fr", units: str = "un", name: str = "g") -> str:
+    """Trees grown level by level: each row with its node (a path), and at last the
+    value of its leaf. ``via`` is the feature that led to a node."""
+    drawn = f"len(list_filter({trees.DRAWN_FROM}, lambda e: number >= e))"
+    return f"""
+    ct AS (SELECT fit, round_even(avg(y), 0) AS centre FROM {rows} WHERE role = 'train' GROUP BY fit),
+    {name}_seeds AS (SELECT u.*, tree, {mixed_sql(str(split.SEED), "tree")} AS key
+                     FROM (SELECT *, unnest(range(1, n_trees + 1)) AS tree FROM {units}) u),
+    {name}_rows AS (SELECT s.fit, s.draw, s.tree, s.key, r.sample_id, r.role, r.y - c.centre AS ys, r.feats,
+               {mixed_sql("s.key", "r.row_key")} AS number, s.bootstrap,
+               s.max_depth, s.min_split, s.min_leaf, s.tried
+        FROM {name}_seeds s JOIN {rows} r ON r.fit = s.fit JOIN ct c ON c.fit = r.fit),
+    {name}(fit, draw, tree, path, key, via, sample_id, times, ys, feats, max_depth, min_split, min_leaf, tried, value) AS (
+        SELECT * FROM (
+            SELECT fit, draw, tree, '', key, -1::BIGINT, sample_id,
+                   CASE WHEN role <> 'train' THEN 0 WHEN bootstrap THEN {drawn} ELSE 1 END AS times,
+                   ys, feats, max_depth, min_split, min_leaf, tried, NULL::DOUBLE
+            FROM {name}_rows WHERE role <> 'train' OR NOT bootstrap OR {drawn} > 0)
+        UNION ALL
+        (WITH cur AS (SELECT * FROM {name} WHERE value IS NULL),
+        st AS (SELECT fit, draw, tree, path, any_value(key) AS key, count(*) AS n, sum(times)::DOUBLE AS w,
+                      sum(times * ys) AS s, min(ys) < max(ys) AS mixed, any_value(max_depth) AS max_depth,
+                      any_value(min_split) AS min_split, any_value(min_leaf) AS min_leaf,
+                      any_value(tried) AS tried, any_value(len(feats)) AS width
+               FROM cur WHERE times > 0 GROUP BY fit, draw, tree, path),
+        vis AS (SELECT *, row_number() OVER (PARTITION BY fit, draw, tree, path ORDER BY h, f) - 1 AS visit
+                FROM (SELECT *, {mixed_sql("key", "f")} AS h FROM (
+                    SELECT *, unnest(range(width)) AS f FROM st
+                    WHERE mixed AND n >= greatest(min_split, 2 * min_leaf)
+                      AND coalesce(length(path) < max_depth, true)))),
+        val AS (SELECT v.*, c.times, c.ys, c.feats[v.f + 1] AS x
+                FROM vis v JOIN cur c ON c.fit = v.fit AND c.draw = v.draw AND c.tree = v.tree AND c.path = v.path
+                WHERE c.times > 0),
+        lim AS (SELECT fit, draw, tree, path, greatest(any_value(tried) - 1,
+                       coalesce(min(CASE WHEN lo < hi THEN visit END), 0)) AS last
+                FROM (SELECT fit, draw, tree, path, visit, any_value(tried) AS tried, min(x) AS lo, max(x) AS hi
+                      FROM val GROUP BY fit, draw, tree, path, visit) GROUP BY fit, draw, tree, path),
+        grp AS (SELECT fit, draw, tree, path, f, visit, x, any_value(n) AS n, any_value(w) AS w, any_value(s) AS s,
+                       any_value(min_leaf) AS min_leaf, sum(times)::DOUBLE AS tw, sum(times * ys) AS ts, count(*) AS tn
+                FROM val JOIN lim USING (fit, draw, tree, path) WHERE visit <= last
+                GROUP BY fit, draw, tree, path, f, visit, x),
+        cum AS (SELECT *, sum(tw) OVER o AS lw, sum(ts) OVER o AS ls, sum(tn) OVER o AS ln, lead(x) OVER o AS nx
+                FROM grp WINDOW o AS (PARTITION BY fit, draw, tree, path, f ORDER BY x)),
+        best AS (SELECT fit, draw, tree, path, f, CASE WHEN x / 2 + nx / 2 >= nx THEN x ELSE x / 2 + nx / 2 END AS cut
+                 FROM (SELECT *, row_number() OVER (PARTITION BY fit, draw, tree, path ORDER BY
+                              ls * ls / lw + (s - ls) * (s - ls) / (w - lw) DESC, visit, x) AS place
+                       FROM cum WHERE nx IS NOT NULL AND ln >= min_leaf AND n - ln >= min_leaf) WHERE place = 1),
+        nxt AS (SELECT c.*, b.f, (c.feats[b.f + 1] > b.cut)::BIGINT AS side, st.s / st.w AS mean
+                FROM cur c JOIN st USING (fit, draw, tree, path) LEFT JOIN best b USING (fit, draw, tree, path))
+        SELECT fit, draw, tree, path || coalesce(side::VARCHAR, ''),
+               CASE WHEN side IS NULL THEN key ELSE {mixed_sql("key", "side")} END, coalesce(f, via),
+               sample_id, times, ys, feats, max_depth, min_split, min_leaf, tried,
+               CASE WHEN side IS NULL THEN mean END
+        FROM nxt))"""
+
+
+def predicted_sql(name: str = "g", rows: str = "fr") -> str:
+    return f"""SELECT g.fit, g.draw, g.sample_id, any_value(r.y) AS y, avg(g.value + c.centre) AS prediction
+        FROM {name} g JOIN {rows} r ON r.fit = g.fit AND r.sample_id = g.sample_id JOIN ct c ON c.fit = g.fit
+        WHERE g.value IS NOT NULL AND r.role <> 'train' GROUP BY g.fit, g.draw, g.sample_id"""
+
+
+FULL = "SELECT -1 AS fit"
+
+
+def forest_sql(params: dict, k: int) -> str:
+    return f"WITH RECURSIVE {design_sql(k)}, {units_sql(one_draw(params, k), FULL)}, {grown_sql()}"
+
+
+def embedding_design(spark, folder, k):
+    rna, protein = _embedding_run(spark, folder)
+    return plan.prepare(rna, protein, ["label"], plan.Settings(k_best=k))
+
+
+def _one_forest(spark, folder, params, k):
+    prepared = embedding_design(spark, folder, k)
+    chosen = spark.createDataFrame([("label", 1, json.dumps(params))], "target string, draw long, params string")
+    return prepared, forests.fit(prepared.design, chosen, split.SEED)
 
 
 @query(
-    "rf_fit",
-    """SELECT 'label' AS target, any_value(len(embedding))::BIGINT AS n_features, 1.0::DOUBLE AS total
-       FROM embeddings""",
+    "tree_fit",
+    f"""{forest_sql(TREE, 64)} SELECT 'label' AS target, sample_id, y, round(prediction, 6) AS prediction
+        FROM ({predicted_sql()})""",
 )
-def rf_fit(spark, folder):
-    """A forest on all rows and all features of the embeddings."""
-    cells = views.embedding_cells(spark, folder)
-    packed = cells.groupBy("target", "sample_id").agg(
-        F.first("y").alias("y"),
-        F.sort_array(F.collect_list(F.struct("feature", "x"))).alias("_cells"),
-    )
-    rows = materialize(
-        packed.select("target", "sample_id", "y", F.col("_cells.x").alias("features")), "rows"
-    )
-    params = {"model__n_estimators": 10, "model__max_depth": 5, "model__max_features": "sqrt"}
-    model = models.fit_forest(rows, params, split.SEED)
-    names = cells.select("target", "feature").distinct()
-    # The vector holds every feature, in the order of their names.
-    order = Window.partitionBy("target").orderBy("feature")
-    found = models.importances(model, names.withColumn("rank", F.row_number().over(order)))
-    return found.groupBy("target").agg(
-        F.count("feature").alias("n_features"), F.round(F.sum("importance"), 9).alias("total")
-    )
+def tree_fit(spark, folder):
+    """One tree on all rows and features, grown to its end."""
+    _, (_, predicted) = _one_forest(spark, folder, TREE, 64)
+    return predicted.select("target", "sample_id", "y", rounded("prediction"))
 
 
 @query(
-    "rf_search",
-    f"""SELECT 'LABEL' AS target, draw, {SETTINGS.folds}::BIGINT AS folds, true AS scored
-        FROM range(1, {SETTINGS.n_iter + 1}) t(draw)""",
+    "rf_fit",
+    f"""{forest_sql(FOREST, 64)} SELECT 'label' AS target, sample_id, y, round(prediction, 6) AS prediction
+        FROM ({predicted_sql()})""",
 )
-def rf_search(spark, folder):
-    scores = embedding_result(spark, folder).cv_scores
-    folds = scores.groupBy("target", "draw").agg(F.count("fold").alias("folds"))
-    means = reports.mean_scores(scores, ["target", "draw"])
-    return folds.join(means, ["target", "draw"]).select(
-        "target", "draw", "folds", F.col("mean_r2").isNotNull().alias("scored")
-    )
+def rf_fit(spark, folder):
+    """A forest with drawn rows and features, on the rows held out."""
+    _, (_, predicted) = _one_forest(spark, folder, FOREST, 64)
+    return predicted.select("target", "sample_id", "y", rounded("prediction"))
 
 
 @query(
     "rf_importance",
-    f"SELECT 'LABEL' AS target, {SETTINGS.k_best}::BIGINT AS n, {SETTINGS.k_best} AS last_rank, 1.0::DOUBLE AS total",
+    f"""{forest_sql(FOREST, 64)},
+        nodes AS (SELECT tree, path, any_value(via) AS via, sum(times)::DOUBLE AS w, sum(times * ys) AS s
+                  FROM g WHERE value IS NULL AND times > 0 GROUP BY tree, path),
+        gains AS (SELECT a.tree, l.via, l.s * l.s / l.w + r.s * r.s / r.w - a.s * a.s / a.w AS gain
+                  FROM nodes a JOIN nodes l ON l.tree = a.tree AND l.path = a.path || '0'
+                  JOIN nodes r ON r.tree = a.tree AND r.path = a.path || '1'),
+        shares AS (SELECT tree, via, sum(gain) / sum(sum(gain)) OVER (PARTITION BY tree) AS share
+                   FROM gains GROUP BY tree, via),
+        total AS (SELECT via, sum(share) / sum(sum(share)) OVER () AS importance FROM shares GROUP BY via)
+        SELECT 'label' AS target, feature, round(coalesce(importance, 0), 6) AS importance
+        FROM rk LEFT JOIN total ON via = rank - 1 WHERE fit = -1""",
 )
 def rf_importance(spark, folder):
-    return embedding_result(spark, folder).top_features.groupBy("target").agg(
-        F.count("feature").alias("n"),
-        F.max("rank").alias("last_rank"),
-        F.round(F.sum("importance"), 9).alias("total"),
-    )
+    prepared, (nodes, _) = _one_forest(spark, folder, FOREST, 64)
+    found = plan.feature_importances(nodes, prepared.selected)
+    return found.select("target", "feature", rounded("importance"))
+
+
+@query(
+    "model_pipeline",
+    f"""{forest_sql(FOREST, 6)} SELECT 'label' AS target, sample_id, y, round(prediction, 6) AS prediction
+        FROM ({predicted_sql()})""",
+)
+def model_pipeline(spark, folder):
+    """Median filling, selection and forest fitted as one pipeline, saved, loaded and
+    applied to the rows held out."""
+    cells = views.embedding_cells(spark, folder)
+    labels = cells.select("target", "sample_id", "y").distinct()
+    placed = split.train_test_split(materialize(labels, "labels")).select("target", "sample_id", "y", "split")
+    rows = materialize(models.sample_rows(placed, cells.select("target", "sample_id", "feature", "x")), "samples")
+    fitted = models.forest_pipeline(6, FOREST).fit(rows.where("split = 'train'"))
+    path = scratch_path(spark, "model")
+    fitted.write().overwrite().save(path)
+    predicted = PipelineModel.load(path).transform(rows.where("split = 'test'"))
+    return predicted.select("target", "sample_id", "y", rounded("prediction"))
+
+
+# ---- whole runs ---------------------------------------------------------------------
+
+
+def run_sql(k: int, settings: plan.Settings) -> str:
+    """Search on the folds, the best draw on all training rows, and a ridge beside it
+    (in closed form on the two best features)."""
+    draws = drawn_sql(settings.grid, settings.n_iter, k)
+    folds = f"SELECT f AS fit FROM range({settings.folds}) t(f)"
+    return f"""WITH RECURSIVE {design_sql(k)}, {units_sql(draws, folds)}, {grown_sql()},
+    fold_r2 AS (SELECT draw, fit AS fold,
+                       1 - sum((y - prediction) * (y - prediction)) / (var_pop(y) * count(*)) AS r2
+                FROM ({predicted_sql()}) GROUP BY draw, fit),
+    best_draw AS (SELECT draw, params, avg(r2) AS mean_r2 FROM fold_r2 JOIN ({draws}) USING (draw)
+                  GROUP BY draw, params ORDER BY round(avg(r2), 9) DESC, draw LIMIT 1),
+    un2 AS (SELECT u.* , -1 AS fit FROM ({draws}) u JOIN best_draw b ON b.draw = u.draw),
+    {grown_sql(units="un2", name="g2").replace("ct AS (", "ct2 AS (", 1)},
+    z AS (SELECT r.role, r.sample_id, r.y, k.rank, (c.x - k.mean) / CASE WHEN k.std = 0 THEN 1 ELSE k.std END AS z
+          FROM cells c JOIN rk k ON k.fit = c.fit AND k.i = c.i AND k.rank <= 2
+          JOIN roles r ON r.fit = c.fit AND r.sample_id = c.sample_id WHERE c.fit = -1),
+    zz AS (SELECT role, sample_id, any_value(y) AS y, max(CASE WHEN rank = 1 THEN z END) AS z1,
+                  max(CASE WHEN rank = 2 THEN z END) AS z2 FROM z GROUP BY role, sample_id),
+    ne AS (SELECT sum(z1 * z1) + 1 AS a, sum(z1 * z2) AS b, sum(z2 * z2) + 1 AS d, sum(z1 * (y - m)) AS u,
+                  sum(z2 * (y - m)) AS v, any_value(m) AS m
+           FROM zz CROSS JOIN (SELECT avg(y) AS m FROM zz WHERE role = 'train') WHERE role = 'train'),
+    predictions_of AS (
+        SELECT 'ridge' AS model, sample_id, y,
+               m + z1 * (d * u - b * v) / (a * d - b * b) + z2 * (a * v - b * u) / (a * d - b * b) AS prediction
+        FROM zz CROSS JOIN ne WHERE role = 'test'
+        UNION ALL SELECT 'forest', sample_id, y, prediction FROM ({predicted_sql("g2")}))"""
+
+
+def checked_run(spark, folder, targets=("LABEL", "NOPE")):
+    rna, protein = _embedding_run(spark, folder)
+    return plan.run_targets(rna, protein, targets, CHECKED)
+
+
+@query(
+    "rf_search",
+    f"""{run_sql(2, CHECKED)} SELECT 'LABEL' AS target, draw, fold::INTEGER AS fold, round(r2, 6) AS r2 FROM fold_r2""",
+)
+def rf_search(spark, folder):
+    return checked_run(spark, folder).cv_scores.select("target", "draw", "fold", rounded("r2"))
 
 
 @query(
     "prediction_table",
-    f"""WITH {EMBEDDING_SQL}
-        SELECT 'LABEL' AS target, model, sample_id, y, true AS predicted
-        FROM p CROSS JOIN (VALUES ('ridge'), ('forest')) m(model) WHERE pos <= n_test""",
+    f"""{run_sql(2, CHECKED)}
+        SELECT 'LABEL' AS target, model, sample_id, y, round(prediction, 6) AS prediction FROM predictions_of""",
 )
 def prediction_table(spark, folder):
-    finite = F.col("prediction").isNotNull() & ~F.isnan("prediction")
-    return embedding_result(spark, folder).predictions.select(
-        "target", "model", "sample_id", "y", finite.alias("predicted")
+    return checked_run(spark, folder).predictions.select(
+        "target", "model", "sample_id", "y", rounded("prediction")
     )
 
 
+METRICS_SQL = """SELECT model, round(1 - sum((y - prediction) * (y - prediction)) / (var_pop(y) * count(*)), 6) AS r2,
+        round(avg(abs(y - prediction)), 6) AS mae,
+        round(covar_pop(y, prediction) / nullif(stddev_pop(y) * stddev_pop(prediction), 0), 6) AS pearson
+    FROM predictions_of GROUP BY model"""
+
+
 @query(
     "target_metrics",
-    f"""SELECT 'LABEL' AS target, count(*) AS n_samples, true AS as_predicted, {len(SMALL_GRID)} AS n_params
-        FROM embeddings
-        UNION ALL SELECT 'NOPE', 0, false, 0""",
+    f"""{run_sql(2, CHECKED)}, m AS ({METRICS_SQL})
+        SELECT 'LABEL' AS target, (SELECT count(*) FROM embeddings) AS n_samples,
+               r.r2 AS baseline_r2, r.mae AS baseline_mae, r.pearson AS baseline_pearson,
+               f.r2 AS rf_r2, f.mae AS rf_mae, f.pearson AS rf_pearson,
+               round(b.mean_r2, 6) AS rf_best_cv_r2, b.params AS rf_best_params, false AS target_rna_in_top50
+        FROM m r JOIN m f ON r.model = 'ridge' AND f.model = 'forest' CROSS JOIN best_draw b
+        UNION ALL SELECT 'NOPE', 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '', false""",
 )
 def target_metrics(spark, folder):
-    """Metrics of a run next to those computed anew from its predictions."""
-    result = embedding_result(spark, folder)
-    again = reports.regression_metrics(result.predictions, ["target", "model"])
-    by_model = again.groupBy("target").agg(
-        *[
-            F.max(F.when(F.col("model") == model, F.col(metric))).alias(f"_{name}_{metric}")
-            for model, name in (("ridge", "baseline"), ("forest", "rf"))
-            for metric in ("r2", "mae", "pearson")
-        ]
-    )
-    same = F.lit(True)
-    for name in ("baseline", "rf"):
-        for metric in ("r2", "mae", "pearson"):
-            gap = F.abs(F.col(f"{name}_{metric}") - F.col(f"_{name}_{metric}"))
-            same = same & F.coalesce(gap < 1e-9, F.lit(False))
-    params = F.from_json("rf_best_params", "map<string,string>")
-    return result.metrics.join(by_model, "target", "left").select(
-        "target",
-        "n_samples",
-        same.alias("as_predicted"),
-        F.coalesce(F.size(F.map_keys(params)), F.lit(0)).alias("n_params"),
-    )
+    found = checked_run(spark, folder).metrics
+    numbers = ["baseline_r2", "baseline_mae", "baseline_pearson", "rf_r2", "rf_mae", "rf_pearson", "rf_best_cv_r2"]
+    return found.withColumns({name: F.round(name, 6) for name in numbers})
+
+
+SWEPT = [2, 4]
 
 
 @query(
     "k_sweep_run",
-    """SELECT 'label' AS target, k::INTEGER AS k, count(*) AS n_samples, true AS scored
-       FROM embeddings CROSS JOIN (VALUES (2), (4)) t(k) GROUP BY k""",
+    " UNION ALL ".join(
+        f"""SELECT * FROM ({run_sql(k, CHECKED)} SELECT 'label' AS target, {k} AS k,
+            (SELECT count(*) FROM embeddings) AS n_samples, round(mean_r2, 6) AS rf_best_cv_r2,
+            params AS rf_best_params FROM best_draw)"""
+        for k in SWEPT
+    ),
 )
 def k_sweep_run(spark, folder):
     rna, protein = _embedding_run(spark, folder)
-    results = plan.run_sweep(rna, protein, ["label"], [2, 4], SETTINGS)
+    results = plan.run_sweep(rna, protein, ["label"], SWEPT, CHECKED)
     frames = [
         r.metrics.select(
-            "target", F.lit(k).alias("k"), "n_samples", F.col("rf_best_cv_r2").isNotNull().alias("scored")
+            "target", F.lit(k).alias("k"), "n_samples", rounded("rf_best_cv_r2"), "rf_best_params"
         )
         for k, r in results.items()
     ]
     return frames[0].unionByName(frames[1])
+
+
+@query("full_search")
+def full_search(spark, folder):
+    """The default search: thirty draws of the whole grid on five folds, twenty features."""
+    prepared = embedding_design(spark, folder, 20)
+    draws = search.parameter_draws(spark)
+    targets = prepared.rows.select("target").distinct()
+    return plan.fold_scores(prepared, targets, draws, plan.Settings(k_best=20))

@@ -281,7 +281,7 @@ SQL_VIEWS = {
 def with_views(body: str) -> str:
     """Prefix a statement with the views it needs, found by name."""
     def mentions(sql: str, name: str) -> bool:
-        return re.search(rf"\b{name}\b", sql) is not None
+        return re.search(rf"\b{name}\b", re.sub(r"'[^']*'", "", sql)) is not None
 
     needed: set[str] = set()
     todo = [body]
@@ -292,8 +292,8 @@ def with_views(body: str) -> str:
                 needed.add(name)
                 todo.append(definition)
     parts = [f"{name} AS ({sql})" for name, sql in SQL_VIEWS.items() if name in needed]
-    own = re.match(r"\s*WITH\b(.*)", body, re.DOTALL)
+    own = re.match(r"\s*WITH(\s+RECURSIVE)?\b(.*)", body, re.DOTALL)
     joined = ", ".join(parts)
     if own and parts:
-        return f"WITH {joined}, {own.group(1)}"
+        return f"WITH{own.group(1) or ''} {joined}, {own.group(2)}"
     return f"WITH {joined} {body}" if parts else body
