@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm import decontamination, language_id, near_copies, packing, substring_dedup
-from assayframe.llm.common import table
+from assayframe.llm import decontamination, language_id, packing, simhash_dedup, substring_dedup
+from assayframe.llm.common import content_key, table
+from assayframe.llm.url_filters import split_by_filter
 from assayframe.sources.scratch import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,9 +32,39 @@ def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies."""
-    copies = near_copies.near_copies(docs).where("doc_id <> component_id")
-    return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
+    """Keep one document of each class of SimHash fingerprints (three words, three bits).
+
+    The smallest id stays, a null one only where there is no other, and of several texts
+    under one id the first by a hash. Of repeated rows one stays.
+    """
+    keyed = docs.select(*COLUMNS, *content_key(F.col("text")))
+    named = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key_a", "key_b")
+    prints = simhash_dedup.fingerprints(keyed.select(named.alias("doc_id"), "text"))
+    rows = simhash_dedup.classes(prints).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.first("component_id").alias("component_id")
+    )
+    named_rows = materialize(
+        rows.select(
+            F.col("doc_id.doc_id").alias("row_id"),
+            F.col("doc_id.key_a").alias("key"),
+            F.col("doc_id.key_b").alias("row_b"),
+            F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays"),
+            "n",
+        ).where("NOT stays OR n > 1"),
+        "pipeline-copies",
+    )
+    # Only rows that may be copies are shuffled.
+    maybe, others = split_by_filter(keyed.withColumn("key", F.col("key_a")), named_rows.select("key").distinct())
+    listed = named_rows.withColumnRenamed("key", "row_a")
+    same = (
+        maybe["doc_id"].eqNullSafe(listed["row_id"])
+        & (maybe["key_a"] == listed["row_a"])
+        & (maybe["key_b"] == listed["row_b"])
+    )
+    told = maybe.join(listed, same, "left")
+    single = told.where("stays IS NULL").select(COLUMNS)
+    repeated = told.where("stays").dropDuplicates(["doc_id", "key_a", "key_b"]).select(COLUMNS)
+    return others.select(COLUMNS).unionByName(single).unionByName(repeated)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -71,7 +102,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again.
+
+    Null and empty texts, and those without a letter, have no language and go with the
+    first stage. Rows of one id with different texts are documents of their own; of
+    repeated rows one stays. Without documents there are no pieces. Further columns of
+    ``documents`` have no part in it.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
