@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# Rows handed to Python at once. A text is rarely over some hundred kilobytes, so
-# a batch stays within some ten megabytes.
-BATCH_ROWS = 512
+# What is handed to Python at once: so many rows, or bytes; one longer text is a batch.
+BATCH_ROWS, BATCH_BYTES = 50_000, 2 << 20
 # Distinct elements counted at once when lists are compared.
 COLUMNS = 4096
 
@@ -53,10 +52,12 @@ def in_batches(
     frame: DataFrame,
     function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str | StructType,
-    rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """``mapInArrow`` with batches small enough for whole texts."""
-    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """``mapInArrow`` with batches bounded by bytes, so that whole texts fit. The
+    bounds are settings of the session, the same for all operators."""
+    settings = frame.sparkSession.conf
+    settings.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    settings.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return frame.mapInArrow(function, schema)
 
 

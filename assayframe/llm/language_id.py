@@ -145,7 +145,7 @@ def train(labelled: DataFrame) -> LanguageModel:
         "language-words",
     )
     grams = materialize(
-        in_batches(words, _count_grams, counted, rows=10_000)
+        in_batches(words, _count_grams, counted)
         .groupBy("lang", F.length("entry").alias("size"), "entry")
         .agg(F.sum("n").alias("n")),
         "language-grams",

@@ -205,7 +205,7 @@ def stretches(
     return at[first], at[np.append(first[1:] - 1, len(at) - 1)]
 
 
-def _words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words between ASCII white space, and where each text's words begin and end."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat, sizes = split.flatten(), pc.list_value_length(split).to_numpy()
@@ -217,7 +217,7 @@ def _words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def _examined(texts: pa.Array, least_words: int, least_periods: int) -> list[pa.Array]:
     """Number of words, runs and collapsed text of each text."""
-    words, bounds = _words_of(texts)
+    words, bounds = words_of(texts)
     codes = words.dictionary_encode().indices.to_numpy().astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     kept = np.ones(len(codes), dtype=bool)

@@ -198,7 +198,7 @@ def links(prints: DataFrame) -> DataFrame:
     values as all such links do."""
     rows = _split_hot(cells_of(prints))
     dealt = rows.repartition("cell", "part").sortWithinPartitions("cell", "part")
-    return in_batches(dealt.select("cell", "part", "home", "fingerprint"), _compare, "a long, b long", 50_000)
+    return in_batches(dealt.select("cell", "part", "home", "fingerprint"), _compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

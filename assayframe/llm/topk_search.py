@@ -22,7 +22,6 @@ LEAF = 64
 # The top level is chosen from a sample of this size, which also gives each query a
 # first bound. It has no say in the result, only in what is pruned.
 SAMPLE, MOST_PIVOTS = 1024, 256
-ROWS_A_BATCH = 64
 LEAST = np.iinfo(np.int64).min
 
 
@@ -300,14 +299,13 @@ def top_k(
 
     placed = "dim int, vec array<bigint>, ids array<bigint>, row bigint, pivot int, away double"
     points = materialize(
-        in_batches(points.select("dim", "vec", "ids", "row"), _nearest(pivots), placed, ROWS_A_BATCH),
+        in_batches(points.select("dim", "vec", "ids", "row"), _nearest(pivots), placed),
         "search-placed",
     )
     asking = in_batches(
         asking.select("dim", "vec", F.array("row").alias("ids"), "row"),
         _nearest(coarse),
         placed,
-        ROWS_A_BATCH,
     )
     # One row per pivot and length.
     nodes: dict[int, list] = {}
@@ -389,7 +387,6 @@ def top_k(
         pairs.join(blocks, ["dim", "pivot", "salt"]).select("asked", "data"),
         search,
         "query_id long, vec_id long, score long",
-        ROWS_A_BATCH,
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

@@ -4,9 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from assayframe.llm import language_id
+from assayframe.llm.simhash_dedup import fingerprint, shingle_hashes
 from assayframe.llm.tokens import WordEncoder, read_definition
 
 FOLDER = "/root/testdata/sf0.001"
@@ -49,16 +51,51 @@ def test_language(stages):
     assert len(gone) <= 5
 
 
+def prints_of(rows):
+    return np.array([fingerprint(shingle_hashes(r["text"], 3)) for r in rows], dtype=np.int64).view(np.uint64)
+
+
+def survivors(rows):
+    """Positions of the rows that stay, by all pairs of fingerprints."""
+    prints, root = prints_of(rows), list(range(len(rows)))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0))
+    for place, a in enumerate(order):
+        for b in order[place + 1 :]:
+            if root[a] != root[b] and np.bitwise_count(prints[a] ^ prints[b]) <= 3:
+                low, high = sorted((root[a], root[b]), key=order.index)
+                root = [low if r == high else r for r in root]
+    return {i for i in range(len(rows)) if root[i] == i}
+
+
 def test_one_of_each_group_of_copies_stays(stages):
-    before = {r["doc_id"]: shingles(r["text"]) for r in stages[1].collect()}
-    similar = lambda a, b: len(before[a] & before[b]) >= 0.8 * len(before[a] | before[b])
-    root = {i: i for i in before}
-    for a in sorted(before):
-        for b in sorted(before):
-            if a < b and root[a] != root[b] and similar(a, b):
-                low, high = sorted((root[a], root[b]))
-                root = {i: low if r == high else r for i, r in root.items()}
-    assert ids(stages[2]) == set(root.values())
+    before = sorted(stages[1].collect(), key=lambda r: r["doc_id"])
+    assert ids(stages[2]) == {before[i]["doc_id"] for i in survivors(before)}
+
+
+def test_copies_by_row_not_by_id(spark):
+    text = "one two three four five six seven eight nine ten"
+    other = "a wholly different text that shares no run of words with it"
+    rows = [
+        (5, text, "en", "s", 1), (5, text, "en", "s", 1), (5, other, "en", "s", 1), (3, text, "en", "s", 1),
+        (None, text, "en", "s", 1), (None, "nobody has this one but a row without id", None, None, None),
+        (None, "nobody has this one but a row without id", None, None, None), (7, "", "en", "s", 0),
+        (8, None, "en", "s", 0), (9, other + " 2", "en", "s", 1), (9, other + " 2", "en", "s", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("key", F.lit("x")).withColumn("component_id", F.lit(1))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, FOLDER)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    listed = [dict(doc_id=r[0], text=r[1]) for r in rows]
+    expected = sorted([(rows[i][0], rows[i][1]) for i in survivors(listed)], key=repr)
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == expected
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), FOLDER).collect() == []
+
+
+def test_no_documents(spark, tmp_path):
+    empty = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_no_long_run_is_left_twice(stages):
