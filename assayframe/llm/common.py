@@ -13,8 +13,6 @@ from pyspark.sql.types import StructType
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # What is handed to Python at once: so many rows, or bytes; one longer text is a batch.
 BATCH_ROWS, BATCH_BYTES = 50_000, 2 << 20
-# Distinct elements counted at once when lists are compared.
-COLUMNS = 4096
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,22 +57,3 @@ def in_batches(
     settings.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     settings.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return frame.mapInArrow(function, schema)
-
-
-def common_counts(lists: list[np.ndarray]) -> np.ndarray:
-    """For every two of the lists, how many elements of the first the second has."""
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    _, column, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    # Elements that occur once are common to none.
-    shared = times[column] > 1
-    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    counts = np.zeros((len(lists), len(lists)), np.float32)
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        low, high = np.searchsorted(column, [first, first + COLUMNS])
-        cells = owner[low:high] * COLUMNS + column[low:high] - first
-        part = np.bincount(cells, minlength=len(lists) * COLUMNS).reshape(-1, COLUMNS).astype(np.float32)
-        counts += part @ (part > 0).T.astype(np.float32)
-    counts[np.diag_indices(len(lists))] = [len(x) for x in lists]
-    return counts
