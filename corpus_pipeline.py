@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from assayframe.llm import decontamination, language_id, packing, simhash_dedup, substring_dedup
 from assayframe.llm.common import content_key, table
 from assayframe.llm.url_filters import split_by_filter
+from assayframe.operators.joins import checked_broadcast
 from assayframe.sources.scratch import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -53,9 +54,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
         ).where("NOT stays OR n > 1"),
         "pipeline-copies",
     )
-    # Only rows that may be copies are shuffled.
+    # Rows stay where they are, or only those that may be copies are shuffled.
     maybe, others = split_by_filter(keyed.withColumn("key", F.col("key_a")), named_rows.select("key").distinct())
-    listed = named_rows.withColumnRenamed("key", "row_a")
+    listed = checked_broadcast(named_rows.withColumnRenamed("key", "row_a"))
     same = (
         maybe["doc_id"].eqNullSafe(listed["row_id"])
         & (maybe["key_a"] == listed["row_a"])
