@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.functions import clean_sample_id
+from assayframe.functions import clean_sample_id, split_list
 from assayframe.operators import combine
 from assayframe.schema import PROTEIN, RNA
 from assayframe.sources.cells import (
@@ -16,7 +16,7 @@ from assayframe.sources.cells import (
     write_cells,
 )
 from assayframe.sources.matrices import read_wide, with_header
-from assayframe.sources.sinks import write_summary
+from assayframe.sources.sinks import read_summary, upsert_summary, write_summary
 
 
 def raw_cells(spark: SparkSession, raw_root: str, index: str | None = None) -> DataFrame:
@@ -34,6 +34,28 @@ def raw_cells(spark: SparkSession, raw_root: str, index: str | None = None) -> D
     return conform(with_header(tagged))
 
 
+RAW_SUMMARY = "cohort string, assay string, n_rows long, n_cols long, path string"
+
+
+def summarise_raw(
+    spark: SparkSession, raw_root: str, path: str, only: str = "", index: str | None = None
+) -> DataFrame:
+    """Summary of the raw tables at ``path``: rows and columns of each. Entries of the
+    cohorts looked at now (``only`` lists some) are replaced, those of others stay."""
+    cells = raw_cells(spark, raw_root, index)
+    if only.strip(" ,"):
+        cells = cells.filter(F.array_contains(split_list(F.lit(only)), F.col("cohort")))
+    table = ["cohort", "assay"]
+    rows = cells.groupBy(*table).agg(F.countDistinct("sample_id", "occ").alias("n_rows"))
+    columns = combine.feature_dimension(cells, table, [*combine.FEATURE, "transcript_id"])
+    shapes = rows.join(columns.groupBy(*table).agg(F.count(F.lit(1)).alias("n_cols")), table)
+    place = F.concat(F.lit(f"{raw_root.rstrip('/')}/"), "cohort", F.lit("/"), "assay", F.lit(".parquet"))
+    new = shapes.select(*table, "n_rows", "n_cols", place.alias("path"))
+    schema = spark.createDataFrame([], RAW_SUMMARY).schema
+    write_summary(upsert_summary(read_summary(spark, path, schema), new, ["cohort"]), path)
+    return read_summary(spark, path, schema)
+
+
 def gene_cells(cells: DataFrame) -> DataFrame:
     """RNA cells at gene level: transcript tables collapsed, others as they are."""
     rna = cells.filter(F.col("assay") == RNA)

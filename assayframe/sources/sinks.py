@@ -25,10 +25,23 @@ def write_csv(
     chosen.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
+def _staged(path: str) -> str:
+    return f"{path.rstrip('/')}.next"
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def read_summary(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Earlier summary; an absent or broken one counts as empty."""
+    """Earlier summary; an absent or broken one counts as empty. One that was written in
+    full but not yet put in the place of the one before is found where that is gone."""
+    system, target = _file_system(spark, path)
+    written = _file_system(spark, f"{_staged(path)}/_SUCCESS")[1]
+    found = _staged(path) if not system.exists(target) and system.exists(written) else path
     try:
-        read = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+        read = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(found)
         read.isEmpty()
         return read
     except AnalysisException:
@@ -42,9 +55,18 @@ def upsert_summary(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
-    """Replace the summary at ``path``, which ``summary`` may be built from."""
+    """Replace the summary at ``path``, which ``summary`` may be built from.
+
+    The new one is written beside it and takes its place when it is complete: a run that
+    fails on the way leaves the old one or the new one, see :func:`read_summary`.
+    """
     settled = materialize(summary, "summary")
-    settled.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    spark = settled.sparkSession
+    settled.write.mode("overwrite").option("ignoreNullFields", "false").json(_staged(path))
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+    if not system.rename(_file_system(spark, _staged(path))[1], target):
+        raise OSError(f"cannot put {_staged(path)} in place of {path}")
 
 
 def summary_documents(summary: DataFrame, entry: str, keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from assayframe.plans.combining import build_tables, raw_cells
+from assayframe.plans.combining import build_tables, raw_cells, summarise_raw
 from assayframe.plans.elbow import elbow_report
 from assayframe.plans.quality import quality_report
 from assayframe.schema import PROTEIN, RNA
@@ -89,6 +89,19 @@ def test_build_tables(spark, raw_root, tmp_path):
     ]
 
 
+def test_summary_of_raw_tables(spark, raw_root, tmp_path):
+    path = str(tmp_path / "raw_summary.json")
+    first = {(r.cohort, r.assay): r for r in summarise_raw(spark, str(raw_root), path).collect()}
+    assert first["ov", RNA].n_rows == 2 and first["ov", RNA].n_cols == 2
+    assert first["brca", RNA].n_rows == 3 and first["brca", RNA].path == f"{raw_root}/brca/{RNA}.parquet"
+    # Entries of cohorts that aren't looked at stay, whatever they say.
+    kind = spark.read.json(path).schema
+    older = sinks.read_summary(spark, path, kind).withColumn("n_rows", F.lit(77).cast("long"))
+    sinks.write_summary(older, path)
+    again = {(r.cohort, r.assay): r.n_rows for r in summarise_raw(spark, str(raw_root), path, only="ov, none").collect()}
+    assert again["ov", RNA] == 2 and again["brca", RNA] == 77 and again.keys() == first.keys()
+
+
 def test_quality_report(spark, raw_root, tmp_path):
     report = quality_report(spark, str(raw_root), str(tmp_path / "qc"))
     got = {r.assay: r for r in report.tables.collect()}
@@ -287,6 +300,26 @@ def test_summary_upsert_roundtrip(spark, frame, tmp_path):
     assert rows(sinks.read_summary(spark, path, kind), "cohort") == [("a", 1), ("b", 9)]
 
 
+def test_a_summary_survives_a_failure_in_between(spark, frame, tmp_path, monkeypatch):
+    schema, path = "cohort string, n long", str(tmp_path / "summary.json")
+    kind = frame([], schema).schema
+    sinks.write_summary(frame([("a", 1)], schema), path)
+    broken = frame([("a", 2)], schema).select("cohort", F.raise_error(F.lit("lost")).cast("long").alias("n"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_summary(broken, path)
+    assert rows(sinks.read_summary(spark, path, kind)) == [("a", 1)]
+    # Written in full, and the old one gone: the new one counts.
+    sinks.write_summary(frame([("b", 3)], schema), str(tmp_path / "other"))
+    (tmp_path / "other").rename(tmp_path / "summary.json.next")
+    assert rows(sinks.read_summary(spark, path, kind)) == [("a", 1)]
+    (tmp_path / "summary.json").rename(tmp_path / "away")
+    assert rows(sinks.read_summary(spark, path, kind)) == [("b", 3)]
+    merged = sinks.upsert_summary(sinks.read_summary(spark, path, kind), frame([("c", 4)], schema), ["cohort"])
+    sinks.write_summary(merged, path)
+    assert rows(sinks.read_summary(spark, path, kind), "cohort") == [("b", 3), ("c", 4)]
+    assert not (tmp_path / "summary.json.next").exists()
+
+
 def test_summary_documents(frame):
     df = frame([("brca", "proteomics", 5), ("brca", "transcriptomics", 4)], "cohort string, assay string, rows long")
     (row,) = sinks.summary_documents(df, "cohort", ["assay"]).collect()

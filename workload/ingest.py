@@ -22,9 +22,6 @@ from workload import views
 from workload.registry import query
 from workload.tables import rounded
 
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-
-
 @query(
     "cells_roundtrip",
     """SELECT assay, cohort, count(*) AS n_cells, count(DISTINCT sample_id) AS n_samples,
@@ -54,15 +51,15 @@ def cohort_inventory(spark, folder):
 
 
 def events_wide(spark, folder):
-    return matrices.pivot_mean(
-        views.table(spark, folder, "events"), "user_id", "event_type", EVENT_TYPES
-    )
+    """A column for every type there is."""
+    events = views.table(spark, folder, "events")
+    types = events.select("event_type").distinct().orderBy("event_type").collect()
+    return matrices.pivot_mean(events, "user_id", "event_type", [row.event_type for row in types])
 
 
 EVENTS_LONG = """SELECT user_id::VARCHAR AS sample_id, event_type AS feature,
                         round(avg(value), 6) AS value
-                 FROM events WHERE event_type IN ('click', 'error', 'purchase', 'signup', 'view')
-                 GROUP BY ALL HAVING avg(value) IS NOT NULL"""
+                 FROM events GROUP BY ALL HAVING avg(value) IS NOT NULL"""
 
 
 @query("unpivot_wide", EVENTS_LONG)
@@ -83,15 +80,12 @@ def wide_scan(spark, folder):
 
 @query(
     "pivot_mean",
-    "SELECT user_id, "
-    + ", ".join(
-        f"round(avg(CASE WHEN event_type = '{name}' THEN value END), 6) AS \"{name}\""
-        for name in EVENT_TYPES
-    )
-    + " FROM events GROUP BY user_id",
+    """SELECT * FROM (PIVOT (SELECT user_id, event_type, value FROM events) ON event_type
+                      USING round(avg(value), 6) GROUP BY user_id)""",
 )
 def pivot_mean(spark, folder):
-    return events_wide(spark, folder).select("user_id", *[rounded(n) for n in EVENT_TYPES])
+    wide = events_wide(spark, folder)
+    return wide.select("user_id", *[rounded(n) for n in wide.columns if n != "user_id"])
 
 
 @query(
@@ -172,7 +166,10 @@ def recorded_runs(spark, folder):
 
 @query(
     "metrics_files",
-    """SELECT protein, k, count(*) AS n, round(sum(r2), 6) AS sum_r2 FROM metric_rows GROUP BY ALL""",
+    """SELECT protein, k, count(*) AS n, round(sum(r2), 6) AS sum_r2, 1::BIGINT AS first_row,
+              sum(count(*)) OVER (PARTITION BY k)::BIGINT AS last_row,
+              sum(count(*)) OVER (PARTITION BY k)::BIGINT AS numbered
+       FROM metric_rows GROUP BY protein, k""",
 )
 def metrics_files(spark, folder):
     """Metrics written as files, one run folder per k, and read back."""
@@ -182,9 +179,16 @@ def metrics_files(spark, folder):
         own = runs.filter(F.col("k") == k).select("target", "rf_r2", "rf_mae")
         sinks.write_csv(own, f"{root}/outputs_k{k}/metrics.csv")
     found = metrics.read_metrics(spark, [f"{root}/outputs*"])
-    return found.groupBy("protein", "k").agg(
+    # Rows are numbered through the file of a run.
+    ordinals = found.groupBy("k").agg(
+        F.min("iteration").alias("first_row"),
+        F.max("iteration").alias("last_row"),
+        F.countDistinct("iteration").alias("numbered"),
+    )
+    sums = found.groupBy("protein", "k").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("r2"), 6).alias("sum_r2")
     )
+    return sums.join(ordinals, "k")
 
 
 @query(
