@@ -1,4 +1,9 @@
-"""Language identification by words, backing off to character n-grams."""
+"""Language identification by words, backing off to character n-grams.
+
+Words that are common in the training texts are scored where a text is read, from a
+broadcast table of bounded size. The evidence of all other words is joined to them, with
+the counts of every word and n-gram there is, so that the bound moves work but no result.
+"""
 
 from __future__ import annotations
 
@@ -10,33 +15,44 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from assayframe.llm.common import in_batches
+from assayframe.llm.common import content_key, in_batches
 from assayframe.sources.scratch import materialize
 
 UNDETERMINED = "und"
 LETTERS = regex.compile(r"\p{L}+")
 LONGEST_GRAM = 5
-# Size of a model, in (entry, language) counts: the commonest are kept. They bound
-# what is broadcast, to some 15 MB, not which texts are read.
-MODEL_WORDS = 80_000
-MODEL_GRAMS = 80_000
+# Words scored where a text is read: so many, and so many log frequencies of them, some
+# 13 MB. They bound what is broadcast; rarer words are joined.
+BROADCAST_WORDS = 200_000
+BROADCAST_CELLS = 1_600_000
 # A word counts for at least this much where a language never had it.
 SMOOTHING = 0.5
+# Sums this close, in parts of the larger, are a tie: the order of adding is left open.
+TIE = 1e-9
+PAIR = ["key_a", "key_b"]
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Log frequencies, a column per language; ``grams`` hold every length."""
+    """Counts per language as log frequencies.
+
+    ``bases[k, l]`` is the log frequency in language ``l`` of what it never had: a word
+    (``k`` = 0) or an n-gram of ``k`` letters. ``words`` holds ``(key_a, key_b,
+    evidence)`` for each word of the training texts and ``grams`` ``(size, entry,
+    language, gain)`` for each n-gram. A gain is what a count adds to the base; evidence
+    is a list of ``(at, value)``, gains at the number of a language and a 1 at the number
+    of languages plus ``k``, which asks for the base.
+    """
 
     languages: list[str]
-    words: dict[str, int]
-    word_logs: np.ndarray
-    grams: dict[str, int]
-    gram_logs: np.ndarray
+    bases: np.ndarray
+    common: dict[str, int]
+    common_logs: np.ndarray
+    words: DataFrame | None
+    grams: DataFrame | None
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -114,29 +130,22 @@ def _commonest(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(level >= F.lit(float(least)))
 
 
-def _rows(counts: DataFrame) -> Iterator[tuple[str, str, int]]:
-    found = counts.toArrow()
-    return zip(*(found.column(c).to_pylist() for c in found.column_names))
+def _gain(n: Column) -> Column:
+    return F.log((n + F.lit(SMOOTHING)) / F.lit(SMOOTHING))
 
 
-def _logs(rows, languages, totals):
-    column = {lang: i for i, lang in enumerate(languages)}
-    index: dict[str, int] = {}
-    cells = []
-    for lang, entry, n in rows:
-        cells.append((index.setdefault(entry, len(index)), column[lang], n))
-    counts = np.full((len(index), len(languages)), SMOOTHING)
-    for row, col, n in cells:
-        counts[row, col] += n
-    return index, np.log(counts / totals)
+def _at(number: Column | int, value: Column) -> Column:
+    place = F.lit(number) if isinstance(number, int) else number
+    return F.struct(place.cast("int").alias("at"), value.cast("double").alias("value"))
 
 
 def train(labelled: DataFrame) -> LanguageModel:
     """Fit on every row of ``lang`` and ``text`` where both are given.
 
     Words are counted per language in Spark; n-gram counts follow from the word
-    counts. Rows without a language or text teach nothing; with no rows at all
-    the model has no language and answers ``und``.
+    counts. Repeated rows count as often as they occur. Rows without a language or text
+    teach nothing; with no words at all the model has no language and answers ``und``.
+    Totals of each language and the commonest words reach the driver, counts don't.
     """
     known = labelled.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     counted = "lang string, entry string, n long"
@@ -151,92 +160,244 @@ def train(labelled: DataFrame) -> LanguageModel:
         "language-grams",
     )
     word_totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    # Each length is a distribution of its own.
-    gram_totals = {
-        (r["lang"], r["size"]): r["n"]
-        for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()
-    }
     languages = sorted(word_totals)
-    columns = ("lang", "entry", "n")
-    word_rows = _rows(_commonest(words, MODEL_WORDS).select(*columns))
-    gram_rows = _rows(_commonest(grams, MODEL_GRAMS).select(*columns))
-    smoothed = lambda total: total + SMOOTHING * 10_000
-    index, logs = _logs(word_rows, languages, [smoothed(word_totals[g]) for g in languages])
-    gram_index, gram_logs = _logs(gram_rows, languages, [1.0] * len(languages))
-    for gram, row in gram_index.items():
-        gram_logs[row] -= np.log([smoothed(gram_totals.get((g, len(gram)), 0)) for g in languages])
-    return LanguageModel(languages, index, logs, gram_index, gram_logs)
-
-
-class Scorer:
-    """Row of log frequencies per word: of the model's words, and as many more as are
-    remembered of the unseen ones met lately."""
-
-    REMEMBERED = 400_000
-
-    def __init__(self, model: LanguageModel):
-        self.model = model
-        unseen = np.empty((self.REMEMBERED, max(1, len(model.languages))))
-        self.logs = np.vstack([model.word_logs.reshape(-1, unseen.shape[1]), unseen])
-        self._forget()
-
-    def _forget(self) -> None:
-        self.rows = dict(self.model.words)
-
-    def unseen_logs(self, word: str) -> np.ndarray:
-        """The mean log frequencies of the word's longest n-grams of which any is
-        known, else no evidence."""
-        model = self.model
-        for size in range(LONGEST_GRAM, 0, -1):
-            found = [g for g in map(model.grams.get, grams_of(word, size)) if g is not None]
-            if found:
-                return model.gram_logs[found].mean(axis=0)
-        return np.zeros(len(model.languages))
-
-    def row(self, word: str) -> int:
-        at = self.rows.get(word)
-        if at is None:
-            at = self.rows[word] = len(self.rows)
-            self.logs[at] = self.unseen_logs(word)
-        return at
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = letter_words(text)
-        if not words or not self.model.languages:
-            return UNDETERMINED, 0.0
-        sums = np.zeros(len(self.model.languages))
-        # In slices, so that a very long text doesn't outgrow the memory.
-        for start in range(0, len(words), self.REMEMBERED // 2):
-            part = words[start : start + self.REMEMBERED // 2]
-            if len(self.rows) + len(part) > len(self.logs):
-                self._forget()
-            sums += self.logs[list(map(self.row, part))].sum(axis=0)
-        best = int(np.argmax(sums))
-        return self.model.languages[best], float(1 / np.exp(sums - sums[best]).sum())
+    if not languages:
+        nothing = np.zeros((LONGEST_GRAM + 1, 0))
+        return LanguageModel([], nothing, {}, nothing, None, None)
+    # Each length is a distribution of its own.
+    totals = np.zeros((LONGEST_GRAM + 1, len(languages)))
+    totals[0] = [word_totals[g] for g in languages]
+    for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect():
+        totals[r["size"], languages.index(r["lang"])] = r["n"]
+    bases = np.log(SMOOTHING / (totals + SMOOTHING * 10_000))
+    named = [F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)]
+    language = F.create_map(*named)[F.col("lang")]
+    entries = materialize(
+        words.groupBy("entry")
+        .agg(
+            F.collect_list(_at(language, _gain(F.col("n")))).alias("evidence"),
+            F.sum("n").alias("n"),
+        )
+        .withColumn("evidence", F.concat("evidence", F.array(_at(len(languages), F.lit(1.0)))))
+        .select("entry", *content_key(F.col("entry")), "evidence", "n"),
+        "language-evidence",
+    )
+    most = min(BROADCAST_WORDS, BROADCAST_CELLS // len(languages))
+    found = _commonest(entries, most).select("entry", "evidence").toArrow()
+    common = {word: i for i, word in enumerate(found.column("entry").to_pylist())}
+    logs = np.tile(bases[0], (len(common), 1))
+    lists = found.column("evidence").combine_chunks()
+    row = np.repeat(np.arange(len(common)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    at, value = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    of_language = at < len(languages)
+    logs[row[of_language], at[of_language]] += value[of_language]
+    return LanguageModel(
+        languages,
+        bases,
+        common,
+        logs,
+        entries.select(*PAIR, "evidence"),
+        grams.select("size", "entry", language.alias("language"), _gain(F.col("n")).alias("gain")),
+    )
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to each row, from ``text`` alone.
+def _read_texts(texts: DataFrame, model: LanguageModel) -> DataFrame:
+    """``(key_a, key_b, n_words, sums, rarer)`` of each different text: log frequencies
+    of its common words, and the other words with their counts."""
+    sent = texts.sparkSession.sparkContext.broadcast((model.common, model.common_logs))
+    width = len(model.languages)
 
-    ``score`` is the share of the best language in the likelihood of the words,
-    0 to 1; ties go to the first language by name. Null texts and texts without a
-    letter get ``und`` and 0. Columns of these names are replaced.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, logs = sent.value
+        for batch in batches:
+            n_words, sums = [], np.zeros((batch.num_rows, width))
+            words, counts, ends = [], [], [0]
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                counted = Counter(letter_words(text))
+                n_words.append(counted.total())
+                rows, times = [], []
+                for word, n in counted.items():
+                    row = common.get(word)
+                    if row is None:
+                        words.append(word)
+                        counts.append(n)
+                    else:
+                        rows.append(row)
+                        times.append(n)
+                if rows:
+                    sums[i] = np.array(times, dtype=float) @ logs[rows]
+                ends.append(len(words))
+            pairs = pa.StructArray.from_arrays(
+                [pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"]
+            )
+            steps = pa.array(np.arange(len(sums) + 1, dtype=np.int32) * np.int32(width))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key_a"),
+                    batch.column("key_b"),
+                    pa.array(n_words, pa.int64()),
+                    pa.ListArray.from_arrays(steps, pa.array(sums.ravel())),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+                ],
+                names=["key_a", "key_b", "n_words", "sums", "rarer"],
+            )
+
+    schema = (
+        "key_a long, key_b long, n_words long, sums array<double>, "
+        "rarer array<struct<word: string, n: long>>"
+    )
+    read = in_batches(texts.select(*content_key(F.col("text")), "text"), run, schema)
+    once = [F.first(name).alias(name) for name in ("n_words", "sums", "rarer")]
+    return materialize(read.groupBy(*PAIR).agg(*once), "language-texts")
+
+
+def _grams_of_words(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, entries, times = [], [], []
+            for i, word in enumerate(batch.column("word").to_pylist()):
+                counted = Counter(grams_of(word, size))
+                place += [i] * len(counted)
+                entries += counted.keys()
+                times += counted.values()
+            place = pa.array(place, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key_a").take(place),
+                    batch.column("key_b").take(place),
+                    pa.array(entries, pa.string()),
+                    pa.array(times, pa.int64()),
+                ],
+                names=["key_a", "key_b", "entry", "times"],
+            )
+
+    return run
+
+
+def unseen_evidence(unseen: DataFrame, model: LanguageModel) -> DataFrame:
+    """``(key_a, key_b, evidence)`` of words that the training texts don't have, a row of
+    ``(key_a, key_b, word)`` each: the mean log frequencies of a word's longest n-grams of
+    which any is known. Words without a known letter are left out.
+
+    Only the words for which a length has nothing go on to the next shorter one.
     """
-    kept = docs.drop("lang_pred", "score")
-    schema = StructType([*kept.schema]).add("lang_pred", "string").add("score", "double")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    width = len(model.languages)
+    left, found = unseen, []
+    for size in range(LONGEST_GRAM, 0, -1):
+        pieces = in_batches(
+            left, _grams_of_words(size), "key_a long, key_b long, entry string, times long"
+        )
+        known = (
+            model.grams.where(F.col("size") == size)
+            .groupBy("entry")
+            .agg(F.collect_list(_at(F.col("language"), F.col("gain"))).alias("gains"))
+        )
+        one = F.array(_at(width + size, F.lit(1.0)))
+        summed = (
+            pieces.join(known, "entry")
+            .select(*PAIR, "times", F.inline(F.concat("gains", one)))
+            .groupBy(*PAIR, "at")
+            .agg(F.sum(F.col("times") * F.col("value")).alias("value"))
+        )
+        # The n-grams found are counted at the last place of all.
+        lists = summed.groupBy(*PAIR).agg(
+            F.collect_list(_at(F.col("at"), F.col("value"))).alias("sums"),
+            F.max_by("value", "at").alias("n"),
+        )
+        mean = F.transform("sums", lambda s: _at(s["at"], s["value"] / F.col("n")))
+        found.append(materialize(lists.select(*PAIR, mean.alias("evidence")), f"language-unseen-{size}"))
+        if size > 1:
+            left = materialize(left.join(found[-1], PAIR, "left_anti"), f"language-left-{size}")
+            if left.isEmpty():
+                break
+    evidence = found[0]
+    for more in found[1:]:
+        evidence = evidence.unionByName(more)
+    return evidence
+
+
+def _joined_sums(texts: DataFrame, model: LanguageModel) -> DataFrame:
+    """``(key_a, key_b, joined)``: summed evidence of the words that were not broadcast."""
+    rarer = texts.select(
+        F.col("key_a").alias("text_a"), F.col("key_b").alias("text_b"), F.inline("rarer")
+    )
+    keyed = rarer.select("text_a", "text_b", *content_key(F.col("word")), "word", "n")
+    unseen = materialize(
+        keyed.select(*PAIR, "word").dropDuplicates(PAIR).join(model.words, PAIR, "left_anti"),
+        "language-unseen",
+    )
+    evidence = model.words.unionByName(unseen_evidence(unseen, model))
+    return (
+        keyed.drop("word")
+        .join(evidence, PAIR)
+        .select("text_a", "text_b", "n", F.inline("evidence"))
+        .groupBy("text_a", "text_b", "at")
+        .agg(F.sum(F.col("n") * F.col("value")).alias("value"))
+        .groupBy(F.col("text_a").alias("key_a"), F.col("text_b").alias("key_b"))
+        .agg(F.collect_list(_at(F.col("at"), F.col("value"))).alias("joined"))
+    )
+
+
+def _decided(model: LanguageModel):
+    languages, bases = model.languages, model.bases
+    width = len(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
         for batch in batches:
-            found = [scorer(text) for text in batch.column("text").to_pylist()]
+            joined = batch.column("joined")
+            lengths = joined.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            at, value = (
+                joined.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1)
+            )
+            gathered = np.zeros((batch.num_rows, width + LONGEST_GRAM + 1))
+            np.add.at(gathered, (row, at), value)
+            sums = np.vstack([np.zeros((0, width)), *batch.column("sums").to_pylist()])
+            sums = sums + gathered[:, :width] + gathered[:, width:] @ bases
+            top = sums.max(axis=1, keepdims=True)
+            tied = sums >= top - TIE * np.maximum(1.0, np.abs(top))
+            best = tied.argmax(axis=1)
+            share = 1 / np.exp(sums - sums[np.arange(len(best)), best][:, None]).sum(axis=1)
+            empty = np.array(batch.column("n_words").to_pylist(), dtype=np.int64) == 0
+            labels = [UNDETERMINED if e else languages[b] for e, b in zip(empty, best)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns,
-                    pa.array([lang for lang, _ in found], pa.string()),
-                    pa.array([score for _, score in found], pa.float64()),
+                    batch.column("key_a"),
+                    batch.column("key_b"),
+                    pa.array(labels, pa.string()),
+                    pa.array(np.where(empty, 0.0, np.minimum(share, 1.0))),
                 ],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                names=["key_a", "key_b", "lang_pred", "score"],
             )
 
-    return in_batches(kept, run, schema)
+    return run
+
+
+def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """Add ``lang_pred`` and ``score`` to each row, from ``text`` alone.
+
+    ``score`` is the share of the best language in the likelihood of the words,
+    0 to 1; ties go to the first language by name. Null texts and texts without a
+    letter get ``und`` and 0. Repeated rows stay, equal texts are read as one. Columns
+    of these names are replaced; all others are kept, whatever their names.
+    """
+    kept = docs.drop("lang_pred", "score")
+    if not model.languages:
+        return kept.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+    texts = _read_texts(kept, model)
+    rows = texts.drop("rarer").join(_joined_sums(texts, model), PAIR, "left")
+    decided = in_batches(
+        rows, _decided(model), "key_a long, key_b long, lang_pred string, score double"
+    )
+    own = []
+    for name in PAIR:
+        while name in kept.columns or name in own:
+            name += "_"
+        own.append(name)
+    keys = dict(zip(own, content_key(F.col("text"))))
+    named = decided.withColumnsRenamed(dict(zip(PAIR, own)))
+    return (
+        kept.withColumns(keys)
+        .join(named, own)
+        .select(*kept.columns, "lang_pred", "score")
+    )
