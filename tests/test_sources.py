@@ -234,6 +234,44 @@ def test_read_metrics(spark, run_folders):
     ]
 
 
+def test_read_metrics_of_any_header(spark, tmp_path):
+    """Files of many different headers, rows too short and too long, blank lines, repeated
+    names, quoted names and separators; the ordinal counts blank targets."""
+    import csv
+    import io
+
+    columns = ["target", "rf_r2", "r2", "rf_mae", "mae", "n, all", 'x"y']
+    expected = []
+    for i in range(30):
+        header = columns[i % 7 :] + columns[: i % 7] + ["target"] * (i % 2) + ["z"] * (i % 5)
+        text = io.StringIO()
+        table = csv.writer(text, lineterminator="\r\n" if i % 3 == 0 else "\n")
+        if i % 4 == 0:
+            text.write("  \n")
+        table.writerow(header)
+        for row in range(1, 6):
+            # The first column of a name counts.
+            cells = {"rf_r2": f"0.{row}", "rf_mae": f"{i}.5", "n, all": "a, b", 'x"y': 'q"'}
+            cells["target"] = " " if row == 2 else f"T{row}, {i}"
+            line = [cells.get(name, "") for name in header]
+            for extra in range(len(columns), len(header)):
+                line[extra] = "other"
+            table.writerow(line + ["more"] * (3 if row == 3 else 0))
+            if row == 4:
+                text.write("\n")
+            if row != 2:
+                expected.append((i + 1, row, f"T{row}, {i}", row / 10, i + 0.5))
+        path = tmp_path / f"outputs_k{i + 1}" / "sub+dir %20 é" / f"METRICS{i}.csv"
+        path.parent.mkdir(parents=True)
+        path.write_bytes(text.getvalue().encode())
+    (tmp_path / "outputs_k1" / "metrics.csv").write_text("")
+    (tmp_path / "outputs_k2" / "metrics.csv").write_text("r2\n1\n")
+    (tmp_path / "outputs_k3" / "metrics_short.csv").write_text("r2,target\n1,A\n2\n")
+    got = metrics.read_metrics(spark, [f"{tmp_path}/outputs*/", f"{tmp_path}/nothing*", f"{tmp_path}/outputs_k5"])
+    found = rows(got.select("k", "iteration", "protein", "r2", "mae"), "k", "iteration", "protein")
+    assert found == sorted([*expected, (3, 1, "A", 1.0, None)])
+
+
 def test_read_metrics_needs_files(spark, tmp_path):
     (tmp_path / "outputs").mkdir()
     (tmp_path / "outputs" / "x.csv").write_text("target,r2\nA,1\n")
