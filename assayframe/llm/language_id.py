@@ -202,8 +202,9 @@ def train(labelled: DataFrame) -> LanguageModel:
 
 
 def _read_texts(texts: DataFrame, model: LanguageModel) -> DataFrame:
-    """``(key_a, key_b, n_words, sums, rarer)`` of each different text: log frequencies
-    of its common words, and the other words with their counts."""
+    """``(key_a, key_b, text, n_words, sums, rarer)`` of each different text: a number that
+    stands for it, log frequencies of its common words, and the other words with their
+    counts. The numbers are written, so that they stay the same for all who read them."""
     sent = texts.sparkSession.sparkContext.broadcast((model.common, model.common_logs))
     width = len(model.languages)
 
@@ -248,7 +249,13 @@ def _read_texts(texts: DataFrame, model: LanguageModel) -> DataFrame:
     )
     read = in_batches(texts.select(*content_key(F.col("text")), "text"), run, schema)
     once = [F.first(name).alias(name) for name in ("n_words", "sums", "rarer")]
-    return materialize(read.groupBy(*PAIR).agg(*once), "language-texts")
+    different = read.groupBy(*PAIR).agg(*once)
+    return materialize(
+        different.select(
+            *PAIR, F.monotonically_increasing_id().alias("text"), "n_words", "sums", "rarer"
+        ),
+        "language-texts",
+    )
 
 
 def _grams_of_words(size: int):
@@ -317,11 +324,9 @@ def unseen_evidence(unseen: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def _joined_sums(texts: DataFrame, model: LanguageModel) -> DataFrame:
-    """``(key_a, key_b, joined)``: summed evidence of the words that were not broadcast."""
-    rarer = texts.select(
-        F.col("key_a").alias("text_a"), F.col("key_b").alias("text_b"), F.inline("rarer")
-    )
-    keyed = rarer.select("text_a", "text_b", *content_key(F.col("word")), "word", "n")
+    """``(text, joined)``: summed evidence of the words that were not broadcast."""
+    rarer = texts.select("text", F.inline("rarer"))
+    keyed = rarer.select("text", *content_key(F.col("word")), "word", "n")
     unseen = materialize(
         keyed.select(*PAIR, "word").dropDuplicates(PAIR).join(model.words, PAIR, "left_anti"),
         "language-unseen",
@@ -330,10 +335,10 @@ def _joined_sums(texts: DataFrame, model: LanguageModel) -> DataFrame:
     return (
         keyed.drop("word")
         .join(evidence, PAIR)
-        .select("text_a", "text_b", "n", F.inline("evidence"))
-        .groupBy("text_a", "text_b", "at")
+        .select("text", "n", F.inline("evidence"))
+        .groupBy("text", "at")
         .agg(F.sum(F.col("n") * F.col("value")).alias("value"))
-        .groupBy(F.col("text_a").alias("key_a"), F.col("text_b").alias("key_b"))
+        .groupBy("text")
         .agg(F.collect_list(_at(F.col("at"), F.col("value"))).alias("joined"))
     )
 
@@ -385,7 +390,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     if not model.languages:
         return kept.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
     texts = _read_texts(kept, model)
-    rows = texts.drop("rarer").join(_joined_sums(texts, model), PAIR, "left")
+    rows = texts.drop("rarer").join(_joined_sums(texts, model), "text", "left")
     decided = in_batches(
         rows, _decided(model), "key_a long, key_b long, lang_pred string, score double"
     )
