@@ -270,20 +270,19 @@ def _grams_of_words(size: int):
             place = pa.array(place, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("key_a").take(place),
-                    batch.column("key_b").take(place),
+                    batch.column("number").take(place),
                     pa.array(entries, pa.string()),
                     pa.array(times, pa.int64()),
                 ],
-                names=["key_a", "key_b", "entry", "times"],
+                names=["number", "entry", "times"],
             )
 
     return run
 
 
 def unseen_evidence(unseen: DataFrame, model: LanguageModel) -> DataFrame:
-    """``(key_a, key_b, evidence)`` of words that the training texts don't have, a row of
-    ``(key_a, key_b, word)`` each: the mean log frequencies of a word's longest n-grams of
+    """``(number, evidence)`` of words that the training texts don't have, a stored row of
+    ``(number, word)`` each: the mean log frequencies of a word's longest n-grams of
     which any is known. Words without a known letter are left out.
 
     Only the words for which a length has nothing go on to the next shorter one.
@@ -291,9 +290,7 @@ def unseen_evidence(unseen: DataFrame, model: LanguageModel) -> DataFrame:
     width = len(model.languages)
     left, found = unseen, []
     for size in range(LONGEST_GRAM, 0, -1):
-        pieces = in_batches(
-            left, _grams_of_words(size), "key_a long, key_b long, entry string, times long"
-        )
+        pieces = in_batches(left, _grams_of_words(size), "number long, entry string, times long")
         known = (
             model.grams.where(F.col("size") == size)
             .groupBy("entry")
@@ -302,19 +299,19 @@ def unseen_evidence(unseen: DataFrame, model: LanguageModel) -> DataFrame:
         one = F.array(_at(width + size, F.lit(1.0)))
         summed = (
             pieces.join(known, "entry")
-            .select(*PAIR, "times", F.inline(F.concat("gains", one)))
-            .groupBy(*PAIR, "at")
+            .select("number", "times", F.inline(F.concat("gains", one)))
+            .groupBy("number", "at")
             .agg(F.sum(F.col("times") * F.col("value")).alias("value"))
         )
         # The n-grams found are counted at the last place of all.
-        lists = summed.groupBy(*PAIR).agg(
+        lists = summed.groupBy("number").agg(
             F.collect_list(_at(F.col("at"), F.col("value"))).alias("sums"),
             F.max_by("value", "at").alias("n"),
         )
         mean = F.transform("sums", lambda s: _at(s["at"], s["value"] / F.col("n")))
-        found.append(materialize(lists.select(*PAIR, mean.alias("evidence")), f"language-unseen-{size}"))
+        found.append(materialize(lists.select("number", mean.alias("evidence")), f"language-unseen-{size}"))
         if size > 1:
-            left = materialize(left.join(found[-1], PAIR, "left_anti"), f"language-left-{size}")
+            left = materialize(left.join(found[-1], "number", "left_anti"), f"language-left-{size}")
             if left.isEmpty():
                 break
     evidence = found[0]
@@ -327,11 +324,14 @@ def _joined_sums(texts: DataFrame, model: LanguageModel) -> DataFrame:
     """``(text, joined)``: summed evidence of the words that were not broadcast."""
     rarer = texts.select("text", F.inline("rarer"))
     keyed = rarer.select("text", *content_key(F.col("word")), "word", "n")
+    without = keyed.select(*PAIR, "word").dropDuplicates(PAIR).join(model.words, PAIR, "left_anti")
     unseen = materialize(
-        keyed.select(*PAIR, "word").dropDuplicates(PAIR).join(model.words, PAIR, "left_anti"),
-        "language-unseen",
+        without.withColumn("number", F.monotonically_increasing_id()), "language-unseen"
+    )
+    found = unseen_evidence(unseen.select("number", "word"), model)
+    evidence = model.words.unionByName(
+        unseen.drop("word").join(found, "number").select(*PAIR, "evidence")
     )
-    evidence = model.words.unionByName(unseen_evidence(unseen, model))
     return (
         keyed.drop("word")
         .join(evidence, PAIR)
