@@ -57,3 +57,16 @@ def in_batches(
     settings.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     settings.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return frame.mapInArrow(function, schema)
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``least`` bytes or little more, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)

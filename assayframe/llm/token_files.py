@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import in_batches
-from assayframe.llm.tokens import encoder_of, read_definition
+from assayframe.llm.common import in_batches, in_blocks
+from assayframe.llm.tokens import BLOCK_BYTES, encoder_of, read_definition
 from assayframe.sources.scratch import materialize, scratch_path
 
 MAGIC = b"TOKENS01"
@@ -65,8 +65,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> Dat
         ids: list[int | None] = []
         store.create_dir(place, recursive=True)
         with store.open_output_stream(f"{place}/{name}.bin") as out:
-            for batch in batches:
-                encoded = encoder.encode_all(batch.column("text").to_pylist())
+            for batch in in_blocks(batches, BLOCK_BYTES):
+                encoded = encoder.encode_all(batch.column("text"))
                 out.write(b"".join(x for one in encoded for x in (one, end)))
                 counts += [len(one) // width + 1 for one in encoded]
                 ids += batch.column("doc_id").to_pylist()

@@ -59,6 +59,40 @@ def test_forgetting_changes_nothing(library, monkeypatch):
         assert ids_of(encoder, text) == plain(library, text)
 
 
+def test_marks_at_the_end_of_words(library, encoder):
+    heads = ["word", "ΑΣ", "Émile", "x1", "don't", "a<|endoftext", "é", "漢", ""]
+    tails = [".", "...", "!!", "***", ",&&&", "|>", "'", "'s", "_", "<|", "\u0301", "´."]
+    for text in [h + t for h in heads for t in tails]:
+        assert ids_of(encoder, text) == plain(library, text), text
+
+
+def test_words_of_letters_are_encoded_without_the_patterns(library):
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.words = tokenizer, []
+
+        def encode_batch_fast(self, texts, **settings):
+            self.words += texts
+            return self.tokenizer.encode_batch_fast(texts, **settings)
+
+    encoder = tokens.WordEncoder(tokens.read_definition(TOKENIZER))
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    text = "Straße façade*** über!! word, end. 12.5 word"
+    assert ids_of(encoder, text * 2) == plain(library, text * 2)
+    # Only what isn't letters, once; not the words before the marks.
+    assert sorted(encoder.tokenizer.words) == ["!!", "***", ",", ".", "12.5"]
+
+
+def test_columns_with_nulls_and_slices(library, encoder):
+    import pyarrow as pa
+
+    column = pa.array(["cut off", *TEXTS, "cut off"], pa.string()).slice(1, len(TEXTS))
+    for part in (column, column.cast(pa.large_string())):
+        got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode_all(part)]
+        assert got == [plain(library, t) for t in TEXTS]
+    assert encoder.encode_all([]) == [] and encoder.encode_all([None, ""]) == [b"", b""]
+
+
 def rows_of(spark, extra=()):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(5, TEXTS[3]), (5, TEXTS[3]), (None, "null id"), *extra]
     return spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, start int, ids int")
