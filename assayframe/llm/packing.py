@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import in_batches
-from assayframe.llm.tokens import encoder_of, read_definition
+from assayframe.llm.common import in_batches, in_blocks
+from assayframe.llm.tokens import BLOCK_BYTES, encoder_of, read_definition
 from assayframe.sources.scratch import materialize
 
 # Hashed token counts, their random projection, and the bits kept of each dimension.
@@ -57,13 +57,21 @@ def _projection() -> np.ndarray:
     return np.random.default_rng(PROJECTION_SEED).standard_normal((HASHED, DIMENSIONS))
 
 
+def _buckets(ids: np.ndarray) -> np.ndarray:
+    mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    return (mixed & np.uint64(HASHED - 1)).astype(np.int64)
+
+
+# Of all ids of two bytes.
+_SHORT_BUCKETS = _buckets(np.arange(1 << 16))
+
+
 def curve_keys(documents: list[np.ndarray], projection: np.ndarray) -> np.ndarray:
     """Hilbert keys of documents by their token ids."""
     vectors = np.zeros((len(documents), HASHED))
     for row, ids in zip(vectors, documents):
-        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-        counts = np.bincount((mixed & np.uint64(HASHED - 1)).astype(np.int64), minlength=HASHED)
-        row[:] = np.sqrt(counts)
+        buckets = _SHORT_BUCKETS[ids] if ids.itemsize == 2 else _buckets(ids)
+        row[:] = np.sqrt(np.bincount(buckets, minlength=HASHED))
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     flat = vectors / np.maximum(norms, 1e-12) @ projection
     # About normal, so that this spreads them over the unit interval.
@@ -76,8 +84,8 @@ def _encode(definition, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(definition.value)
         end, projection = encoder.id_bytes([end_id]), _projection()
-        for batch in batches:
-            encoded = [x + end for x in encoder.encode_all(batch.column("text").to_pylist())]
+        for batch in in_blocks(batches, BLOCK_BYTES):
+            encoded = [x + end for x in encoder.encode_all(batch.column("text"))]
             keys = curve_keys([np.frombuffer(x, encoder.dtype) for x in encoded], projection)
             yield pa.RecordBatch.from_arrays(
                 [

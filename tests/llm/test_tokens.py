@@ -152,6 +152,25 @@ def test_packing_copies_and_nothing(spark):
     assert packing.pack(docs.limit(0), TOKENIZER, 2).count() == 0
 
 
+def test_blocks_of_batches_keep_all_rows():
+    import pyarrow as pa
+
+    from assayframe.llm.common import in_blocks
+
+    batches = [pa.record_batch({"x": pa.array(range(i, i + 5), pa.int64())}) for i in range(0, 35, 5)]
+    blocks = list(in_blocks(iter(batches), 100))
+    assert [b.num_rows for b in blocks] == [15, 15, 5]
+    assert [x for b in blocks for x in b["x"].to_pylist()] == list(range(35))
+    assert list(in_blocks(iter([]), 100)) == []
+
+
+def test_curve_keys_do_not_depend_on_the_width_of_ids():
+    documents = [np.array(ids, "<u2") for ids in ([1, 2, 3, 2], [49407], [5] * 300)]
+    projection = packing._projection()
+    wide = packing.curve_keys([ids.astype("<u4") for ids in documents], projection)
+    assert (packing.curve_keys(documents, projection) == wide).all()
+
+
 def test_hilbert_neighbours_touch():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = packing.hilbert_keys(grid, 3)
