@@ -65,3 +65,43 @@ def test_every_node_covers_its_points():
             spans = [(tree.start[c], tree.end[c]) for c in children]
             assert spans[0][0] == tree.start[i] and spans[-1][1] == tree.end[i]
             assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_id_with_several_vectors_of_one_score_counts_once(spark):
+    rows = [(0, [1.0, 0.0]), (6, [1.0, 0.25]), (6, [1.0, 0.5]), (7, [0.5, 0.0]), (8, [0.25, 0.0])]
+    assert found(spark, rows, 2) == [(0, 1, 6, 65536), (0, 2, 7, 32768)]
+
+
+def test_net_of_a_block_takes_no_pass_for_each_centre(monkeypatch):
+    """Where no points are near each other every one of them is a centre."""
+    calls, plain = [], topk_search._distances
+    monkeypatch.setattr(topk_search, "_distances", lambda *given: calls.append(1) or plain(*given))
+    points = np.random.default_rng(1).integers(-40, 40, (600, 48))
+    tree = topk_search.cover_tree(points)
+    assert sorted(tree.order) == list(range(600))
+    assert len(calls) <= 2 * len(tree.start)
+
+
+def test_distances_are_exact_for_any_whole_numbers():
+    random = np.random.default_rng(3)
+    for most in (100, 10**6, 10**9):
+        left, right = (random.integers(-most, most, (n, 5)) for n in (40, 7))
+        right[0] = left[0] + 1
+        plain = np.sqrt(((left[:, None, :] - right[None, :, :]).astype(float) ** 2).sum(axis=2))
+        assert np.allclose(topk_search.distances(left, right), plain, rtol=1e-12, atol=0)
+
+
+def test_best_is_kept_from_block_to_block_for_many_candidates():
+    random = np.random.default_rng(5)
+    queries, points = random.integers(-50, 50, (30, 8)), random.integers(-50, 50, (900, 8))
+    own = np.arange(30) * 10
+    best = topk_search.Best(own, 4, np.full(30, topk_search.LEAST))
+    data = [topk_search.cover_tree(points[low : low + 300]) for low in (0, 300, 600)]
+    asked = topk_search.cover_tree(queries)
+    best.query_ids = own[asked.order]
+    for low, tree in zip((0, 300, 600), data):
+        ids = topk_search.Ids(np.ones(300, dtype=int), tree.order + low)
+        topk_search.dual_search(asked, tree, ids, best)
+    for at, query in enumerate(asked.order):
+        scored = sorted((-int(queries[query] @ p), i) for i, p in enumerate(points) if i != own[query])[:4]
+        assert [(-s, i) for s, i in scored] == list(zip(best.scores[at].tolist(), best.ids[at].tolist()))
