@@ -184,3 +184,72 @@ def test_odd_tables(spark):
     no_features = [("N", 0, "train", f"s{i}", float(i), []) for i in range(4)] + [("N", 0, "valid", "v", 1.0, [])]
     (row,) = forests.search(spark.createDataFrame(no_features, SCHEMA), draws, 1).collect()
     assert 0 <= row.prediction <= 3
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_draws_that_differ_in_limits_share_their_trees(whole):
+    """Cut off at the limits of a draw, a tree grown with the loosest ones is its own."""
+    random = np.random.default_rng(7)
+    n = 160
+    x = np.round(random.standard_normal((5, n)), 1)
+    y = random.integers(0, 6, n) * 1.0 if whole else random.standard_normal(n)
+    table = trees.Table(x, y, random.integers(0, trees.PRIME, n), round(y.mean()))
+    held_out = random.standard_normal((5, 40))
+    draws = [
+        trees.TreeParams(4, None, 2, 1, 2, True),
+        trees.TreeParams(7, 3, 5, 1, 2, True),
+        trees.TreeParams(7, 6, 20, 1, 2, True),
+        trees.TreeParams(5, None, 2, 4, 2, True),
+        trees.TreeParams(3, None, 10, 1, 5, False),
+        trees.TreeParams(0, None, 2, 1, 3, False),
+    ]
+    grown, seen = 0, {place: [] for place in range(len(draws))}
+    for places, loosest, numbers in trees.shared(draws, np.arange(1, 12)):
+        for some, nodes in trees.forest(table, loosest, 3, numbers):
+            grown += len(some)
+            for place in places:
+                cut = trees.cut_off(nodes, draws[place], len(some))
+                values = trees.descend(cut, held_out, len(some))
+                for number, line in zip(some.tolist(), values):
+                    seen[place].append(number)
+                    _, own = next(trees.forest(table, draws[place], 3, np.array([number])))
+                    assert np.allclose(line, trees.descend(own, held_out, 1)[0], rtol=1e-12)
+    assert {place: sorted(numbers) for place, numbers in seen.items()} == {
+        place: list(range(1, params.trees + 1)) for place, params in enumerate(draws)
+    }
+    assert grown == 7 + 5 + 3
+
+
+def test_neighbours_of_one_value_are_not_parted_however_many():
+    """Values of few kinds, so that most neighbours in rank are equal."""
+    random = np.random.default_rng(11)
+    x, y = random.integers(0, 3, (4, 90)) * 1.0, random.integers(0, 4, 90) * 1.0
+    table = trees.Table(x, y, random.integers(0, trees.PRIME, 90), 2.0)
+    params = trees.TreeParams(1, None, 2, 3, 2, True)
+    _, nodes = next(trees.forest(table, params, 5, np.array([1])))
+    root = trees.planted(table, 5, np.array([1]), True)
+    times = np.zeros(90, dtype=int)
+    times[root.row] = root.times
+    brute = brute_tree(x.tolist(), (y - 2.0).tolist(), times.tolist(), int(root.key[0]), 0, params)
+    assert flat(nested(nodes, 0)) == pytest.approx(
+        [v + 2.0 if leaf else v for v, leaf in _leaves(brute)], rel=1e-12
+    )
+
+
+def _leaves(tree):
+    if len(tree) == 1:
+        return [(tree[0], True)]
+    return [(tree[0], False), (tree[1], False), *_leaves(tree[2]), *_leaves(tree[3])]
+
+
+def test_each_group_of_trees_has_a_partition_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    rows = design(spark, targets=tuple("ABCDEF"))
+    folds = rows.where("fit <> -1").select("target", "fit").distinct().orderBy("target", "fit").collect()
+    numbered = spark.createDataFrame([(*r, i) for i, r in enumerate(folds)], "target string, fit int, at int")
+    own = rows.withColumns({"row_key": F.lit(5).cast("long"), "centre": F.lit(0.0)}).join(numbered, ["target", "fit"])
+    listed = [(1, {**ONE, "model__n_estimators": 600})]
+    grown = forests._grow_whole(own, listed, 1, len(folds), False)
+    found = grown.withColumn("partition", F.spark_partition_id()).select("target", "fit", "trees", "partition").distinct()
+    assert found.count() == found.select("partition").distinct().count() > 1
